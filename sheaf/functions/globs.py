@@ -8,8 +8,7 @@ lower-casing ASCII letters on both sides. The empty pattern never matches.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,82 +109,84 @@ def _bracket(pattern: str, start: int, fold: bool) -> tuple[str, int] | None:
     return (f"[{body}]" if body else NOTHING), i + 1
 
 
-def _translate(pattern: str, fold: bool) -> tuple[str, bool]:
+def _translate(pattern: str, fold: bool, name: bool) -> tuple[str, bool]:
+    """The regex and whether it holds a bracket; with ``name`` nothing matches a separator."""
+    anything = r"[^/\\]" if name else "."
     out: list[str] = []
     brackets = False
     i = 0
+
+    def literal(ch: str) -> str:
+        return NOTHING if name and ch in "/\\" else _literal(ch, fold)
+
     while i < len(pattern):
         ch = pattern[i]
         if ch == "*":
-            if not out or out[-1] != ".*":
-                out.append(".*")
+            if not out or out[-1] != anything + "*":
+                out.append(anything + "*")
             i += 1
         elif ch == "?":
-            out.append(".")
+            out.append(anything)
             i += 1
         elif ch == "\\":
             if i + 1 == len(pattern):
                 return NOTHING, brackets
-            out.append(_literal(pattern[i + 1], fold))
+            out.append(literal(pattern[i + 1]))
             i += 2
         elif ch == "[" and (found := _bracket(pattern, i, fold)):
             brackets = True
-            out.append(found[0])
+            out.append((r"(?![/\\])" if name else "") + found[0])
             i = found[1]
         else:
-            out.append(_literal(ch, fold))
+            out.append(literal(ch))
             i += 1
     return "".join(out), brackets
 
 
-def glob_body(pattern: str) -> str:
+def _body(pattern: str, name: bool = False) -> str:
     """The regex of one glob, without anchors."""
-    if not pattern:
-        return NOTHING
-    folded, brackets = _translate(pattern, True)
+    folded, brackets = _translate(pattern, True, name)
     if not brackets:
         return folded
     # A bracket can match exactly what it refuses after folding, as [!a] does with A.
-    exact, _ = _translate(pattern, False)
-    return folded if exact == folded else f"(?:{folded}|{exact})"
+    exact, _ = _translate(pattern, False, name)
+    return folded if exact == folded else f"{folded}|{exact}"
 
 
-def glob_alternation(patterns: str | Iterable[str]) -> str:
-    """One regex, to be matched in full, for what any of the globs matches."""
-    listed = [patterns] if isinstance(patterns, str) else list(patterns)
-    bodies = [glob_body(p) for p in dict.fromkeys(listed) if p]
-    return f"(?s)(?:{'|'.join(bodies) if bodies else NOTHING})"
+def _any(patterns: Sequence[str], name: bool = False) -> str:
+    bodies = [_body(p, name) for p in dict.fromkeys(patterns) if p]
+    return f"(?:{'|'.join(bodies) if bodies else NOTHING})"
 
 
-def glob_regex(patterns: str | Iterable[str]) -> str:
-    """The same, anchored for ``rlike``."""
-    return rf"\A{glob_alternation(patterns)}\z"
+# Where a last name begins: a name never holds a separator itself.
+_NAME_START = r"(?:\A|[/\\])"
 
 
-def _plain(text: str) -> bool:
-    return bool(text) and text.isascii() and not set(text) & set("*?[\\")
+def glob_alternation(patterns: str | Sequence[str]) -> str:
+    """One regex, to be matched in full, for what any of the globs matches."""
+    return "(?s)" + _any([patterns] if isinstance(patterns, str) else patterns)
 
 
-def matches_any(value: Column, patterns: Sequence[str]) -> Column:
-    """True where any glob matches ``value``.
+def whole_regex(patterns: Sequence[str]) -> str:
+    """Finds strings that any glob matches as a whole."""
+    return rf"(?s)\A{_any(patterns)}\z"
+
 
-    Plain names, ``*suffix`` and ``prefix*`` become string comparisons; the others share one regex.
-    """
-    lowered = F.translate(
-        value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+def path_or_name_regex(patterns: Sequence[str], omittable: str = "") -> str:
+    """Finds paths that match as a whole, by their last name, or without the prefix ``omittable``."""
+    prefix = f"(?:{omittable})?" if omittable else ""
+    return (
+        rf"(?s)(?:\A{prefix}{_any(patterns)}|{_NAME_START}{_any(patterns, name=True)})\z"
     )
-    names, tests, rest = [], [], []
-    for pattern in dict.fromkeys(patterns):
-        if _plain(pattern):
-            names.append(pattern.lower())
-        elif pattern.startswith("*") and _plain(pattern[1:]):
-            tests.append(F.endswith(lowered, F.lit(pattern[1:].lower())))
-        elif pattern.endswith("*") and _plain(pattern[:-1]):
-            tests.append(F.startswith(lowered, F.lit(pattern[:-1].lower())))
-        elif pattern:
-            rest.append(pattern)
-    if names:
-        tests.insert(0, lowered.isin(names))
-    if rest:
-        tests.append(F.rlike(value, F.lit(glob_regex(rest))))
-    return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+
+def at_or_above_regex(patterns: Sequence[str]) -> str:
+    """Finds paths of which they themselves or a directory above match, as a whole or by name."""
+    return (
+        rf"(?s)(?:\A{_any(patterns)}|{_NAME_START}{_any(patterns, name=True)})(?=/|\z)"
+    )
+
+
+def matches_any(value: Column, patterns: Sequence[str]) -> Column:
+    """True where any glob matches ``value``; all of them are one regex."""
+    return F.rlike(value, F.lit(whole_regex(patterns)))

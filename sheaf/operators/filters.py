@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.content import MAX_DEPTH, MAX_FILE_BYTES, MAX_PATH_BYTES
-from sheaf.functions.globs import matches_any
-from sheaf.functions.paths import ancestors, basename, level, parent
+from sheaf.functions.globs import at_or_above_regex, matches_any, path_or_name_regex
+from sheaf.functions.paths import ancestors, level, parent
 from sheaf.operators.skew import lookup_join
+from sheaf.session import written
 
 # The prefix that include patterns may omit, the room for a directory pattern.
 OMITTABLE_PREFIX = "src/"
 DIRECTORY_PATTERN_BYTES = 1024
 
+# Up to this many dropped directories are named in the filter itself.
+LISTED_DIRECTORIES = 500
+
 
 def trimmed(patterns: Sequence[str]) -> list[str]:
     return [p.strip(" \t") for p in patterns]
@@ -27,32 +31,24 @@ def include_match(path: Column, is_directory: Column, patterns: Sequence[str]) -
     """True for a directory, or a file some pattern selects; without patterns, for everything."""
     if not patterns:
         return F.lit(True)
-    wanted = trimmed(patterns)
-    shortened = F.when(
-        F.startswith(path, F.lit(OMITTABLE_PREFIX)),
-        F.substring(path, F.lit(len(OMITTABLE_PREFIX) + 1), F.length(path)),
-    )
-    return (
-        is_directory
-        | matches_any(basename(path), wanted)
-        | matches_any(path, wanted)
-        | F.coalesce(matches_any(shortened, wanted), F.lit(False))
-    )
+    regex = path_or_name_regex(trimmed(patterns), OMITTABLE_PREFIX)
+    return is_directory | F.rlike(path, F.lit(regex))
 
 
 def exclude_match(path: Column, is_directory: Column, patterns: Sequence[str]) -> Column:
     """True if a pattern hits the path or its last name, or for a directory ``pattern/*`` does."""
     inside = [p + "/*" for p in patterns if len(p.encode()) + 2 < DIRECTORY_PATTERN_BYTES]
-    return (
-        matches_any(path, patterns)
-        | matches_any(basename(path), patterns)
-        | (is_directory & matches_any(path, inside))
-    )
+    hit = F.rlike(path, F.lit(path_or_name_regex(patterns)))
+    return hit | (is_directory & matches_any(path, inside))
+
 
+def hidden_match(path: Column, patterns: Sequence[str]) -> Column:
+    """True if the entry or a directory above it is excluded, by one regex on the path.
 
-def below_excluded(path: Column, patterns: Sequence[str]) -> Column:
-    """True if a directory above the entry is excluded, which hides all below it."""
-    return F.exists(ancestors(path), lambda a: exclude_match(a, F.lit(True), patterns))
+    What ``pattern/*`` excludes lies below what ``pattern`` excludes, as paths are relative, so
+    that rule needs no test of its own here.
+    """
+    return F.rlike(path, F.lit(at_or_above_regex(patterns)))
 
 
 def self_output_patterns(root: str, output: str | None) -> list[str]:
@@ -83,9 +79,9 @@ def keep_entries(
         kept = kept.where(include_match(F.col("path"), F.col("is_directory"), include))
     hidden = [*own_output, *trimmed(exclude)]
     if hidden:
-        kept = kept.where(~exclude_match(F.col("path"), F.col("is_directory"), hidden))
-        if prune:
-            kept = kept.where(~below_excluded(F.col("path"), hidden))
+        path = F.col("path")
+        own = exclude_match(path, F.col("is_directory"), hidden)
+        kept = kept.where(~(hidden_match(path, hidden) if prune else own))
     return kept
 
 
@@ -103,11 +99,17 @@ def directories_of(paths: DataFrame) -> DataFrame:
 
 
 def prune_dropped(entries: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Remove everything below the directories in ``dropped`` (column ``path``).
+    """Remove everything below the directories in ``dropped`` (column ``path``, written).
 
-    For predicates on row attributes, which the ancestors' paths alone cannot decide. Only
-    directories are exploded; a file then needs one lookup, of its parent.
+    For predicates on row attributes, which the ancestors' paths alone cannot decide. A short
+    list of directories becomes a constant of the filter. Otherwise only directories are
+    exploded, and a file needs one lookup, of its parent.
     """
+    names = [row.path for row in dropped.select("path").limit(LISTED_DIRECTORIES + 1).collect()]
+    if len(names) <= LISTED_DIRECTORIES:
+        if not names:
+            return entries
+        return entries.where(~F.exists(ancestors(F.col("path")), lambda a: a.isin(names)))
     homes = directories_of(entries).select("path")
     lines = homes.select(
         F.col("path").alias("home"),
@@ -132,7 +134,8 @@ def keep_by_predicates(
         Column.__and__, [F.coalesce(p(entries), F.lit(False)) for p in predicates]
     )
     judged = entries.withColumn("_keep", verdict)
-    dropped = judged.where(F.col("is_directory") & ~F.col("_keep")).select("path")
+    refused = judged.where(F.col("is_directory") & ~F.col("_keep")).select("path")
+    dropped = written(refused, "dropped")
     kept = judged.where("_keep").drop("_keep")
     return prune_dropped(kept, dropped)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.content import MAX_DEPTH
 from sheaf.functions.paths import ancestors
 from sheaf.operators.filters import within_caps
-from sheaf.operators.skew import lookup_join
+from sheaf.operators.skew import lookup_join, measure
 from sheaf.session import written
 
 MAX_HOPS = 40  # Fixed value: a longer chain of links does not resolve on Linux.
@@ -35,6 +35,9 @@ def _chain_ends(jumps: DataFrame) -> DataFrame:
         jumps.select("path", "target", F.when(own, MAX_HOPS + 1).otherwise(1).alias("hops")),
         "jumps",
     )
+    count, small = measure(jumps)
+    if not count:
+        return jumps
     for _ in range(MAX_HOPS.bit_length()):
         onward = jumps.select(
             F.col("path").alias("target"),
@@ -45,7 +48,7 @@ def _chain_ends(jumps: DataFrame) -> DataFrame:
         moving = open_ends.join(onward.select("target"), "target", "left_semi")
         if moving.isEmpty():
             break
-        moved = lookup_join(open_ends, onward, "target", "left").select(
+        moved = lookup_join(open_ends, onward, "target", "left", small=small).select(
             "path",
             F.coalesce("_next", "target").alias("target"),
             (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
@@ -60,7 +63,10 @@ def resolve_links(entries: DataFrame) -> DataFrame:
     What each distinct target stands for is settled first, so a target of many links is settled
     once; then every link looks its target up.
     """
-    links = entries.where("is_symlink").select("path", F.col("link_target").alias("target"))
+    links = written(
+        entries.where("is_symlink").select("path", F.col("link_target").alias("target")), "links"
+    )
+    _, small = measure(links)
     named = links.where("target is not null")
     targets = named.select("target").distinct()
     # Links that are targets of links; usually none.
@@ -78,8 +84,8 @@ def resolve_links(entries: DataFrame) -> DataFrame:
         .where("hops is null or hops < " + str(MAX_HOPS))
         .withColumn("_end", F.coalesce("_end", "target"))
     )
-    found = lookup_join(settled, places, "_end", spread_by="target").drop("hops")
-    resolved = lookup_join(named, found, "target", "left").select(
+    found = lookup_join(settled, places, "_end", spread_by="target", small=small).drop("hops")
+    resolved = lookup_join(named, found, "target", "left", small=small).select(
         "path", F.col("_end").alias("target"), "target_is_directory", "target_size"
     )
     unnamed = links.where("target is null").select("path")
@@ -117,20 +123,20 @@ def follow_links(
             "target",
         )
     )
-    listing = written(plain.unionByName(linked), "listing")
     root = F.array(F.lit(""))
-    start = listing.select(
-        "path",
-        F.col("path").alias("physical"),
-        "is_directory",
-        "is_symlink",
-        "size",
-        "target",
-        F.concat(root, ancestors(F.col("path"))).alias("entered"),
-    )
-    steps = [written(_with_descent(start.where(within_caps(F.col("path"), max_depth))), "follow")]
-    while not steps[-1].where("descend").isEmpty():
-        steps.append(written(_descend(steps[-1], listing, max_depth), "follow"))
+    start = plain.unionByName(linked).withColumn(
+        "entered", F.concat(root, ancestors(F.col("path")))
+    )
+    listing = written(_with_descent(start.withColumn("physical", F.col("path"))), "listing")
+    steps = [listing.where(within_caps(F.col("path"), max_depth))]
+    while True:
+        frontier = steps[-1].where("descend").select(
+            F.col("path").alias("link"), F.col("here").alias("above"), "entered"
+        )
+        count, small = measure(frontier)
+        if not count:
+            break
+        steps.append(written(_descend(frontier, small, listing, max_depth), "follow"))
     return reduce(DataFrame.unionByName, steps).select(
         "path",
         F.col("here").alias("physical_path"),
@@ -154,19 +160,21 @@ def _with_descent(rows: DataFrame) -> DataFrame:
             "descend", F.col("is_directory") & F.col("is_symlink") & ~F.col("is_cycle")
         )
         .withColumn("entered", F.when(F.col("descend"), F.array_append("entered", F.col("here"))))
-        .drop("physical", "target")
+        .drop("physical")
     )
 
 
-def _descend(previous: DataFrame, listing: DataFrame, max_depth: int) -> DataFrame:
-    frontier = previous.where("descend").select(
-        F.col("path").alias("link"), F.col("here").alias("above"), "entered"
-    )
-    wanted = frontier.select("above").distinct()
-    below = listing.withColumn("above", F.explode(ancestors(F.col("path")))).join(
-        wanted, "above", "left_semi"
-    )
-    joined = lookup_join(below, frontier, "above")
+def _descend(
+    frontier: DataFrame, small: bool, listing: DataFrame, max_depth: int
+) -> DataFrame:
+    """All below the targets of the links in ``frontier``, each under its link's path."""
+    entries = listing.select("path", "is_directory", "is_symlink", "size", "target")
+    below = entries.withColumn("above", F.explode(ancestors(F.col("path"))))
+    if small:
+        joined = below.join(F.broadcast(frontier), "above")
+    else:
+        wanted = frontier.select("above").distinct()
+        joined = lookup_join(below.join(wanted, "above", "left_semi"), frontier, "above")
     rest = F.substring(F.col("path"), F.length("above") + 2, F.length("path"))
 
     def physical(directory: Column) -> Column:
@@ -209,11 +217,11 @@ def contents_through_links(
         "content", F.when(F.col("target_is_directory"), F.lit(b""))
     )
     sources = contents.select(F.col("path").alias("target"), "content")
-    through = lookup_join(links.where("not target_is_directory"), sources, "target")
+    readable = links.where("not target_is_directory")
+    _, small = measure(links)
+    through = lookup_join(readable, sources, "target", small=small)
     # A target that is listed but has no content row is unreadable, not gone.
-    missing = links.where("not target_is_directory").join(
-        sources.select("target"), "target", "left_anti"
-    )
+    missing = readable.join(through.select("path"), "path", "left_anti")
     unread = missing.withColumn("content", F.lit(None).cast("binary"))
     return (
         own.select(*columns)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sheaf.functions.content import ChunkFunction
 from sheaf.functions.paths import level, order_key, size_kb
 from sheaf.operators.contents import OK
-from sheaf.operators.ordering import with_running_sum
+from sheaf.operators.ordering import with_position, with_running_sum
+from sheaf.session import written
 
 FRAGMENT_ORDER = ["section", "order_key", "block_no"]
 HEAD, STRUCTURE, CONTENT_HEAD, CONTENT, TAIL = range(5)
@@ -185,6 +186,24 @@ def document(
     )
 
 
+def with_document_position(fragments: DataFrame, entries: DataFrame) -> DataFrame:
+    """Whole-file fragments with their place in the document as ``position``.
+
+    The places come from the entries alone, so no content is read, sorted or sampled for them;
+    a fragment then meets its place by key.
+    """
+    frame = fragments.where(~F.col("section").isin(STRUCTURE, CONTENT))
+    listed = entries.select(order_key(F.col("path")).alias("order_key"), "is_directory")
+    sections = F.when(F.col("is_directory"), F.array(F.lit(STRUCTURE))).otherwise(
+        F.array(F.lit(STRUCTURE), F.lit(CONTENT))
+    )
+    keys = listed.select(F.explode(sections).alias("section"), "order_key").unionByName(
+        frame.select("section", "order_key")
+    )
+    places = with_position(keys, ["section", "order_key"])
+    return fragments.join(places, ["section", "order_key"])
+
+
 def bundles(
     processed: DataFrame,
     group: str,
@@ -202,8 +221,10 @@ def bundles(
     texts = processed.select(
         group, "path", order_key(F.col("path")).alias("order_key"), file_text(formatter).alias("text")
     )
-    sizes = texts.select(
-        group, "path", "order_key", F.octet_length("text").cast("long").alias("bytes")
+    # Written, because range partitioning reads its input twice and this one reads all contents.
+    sizes = written(
+        texts.select(group, "path", "order_key", F.octet_length("text").cast("long").alias("bytes")),
+        "sizes",
     )
     placed = with_running_sum(sizes, [group], ["order_key"], F.col("bytes"), "offset").select(
         "path", F.floor(F.col("offset") / volume_bytes).cast("long").alias("volume")

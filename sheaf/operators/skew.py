@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEY_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
+
+
+def measure(table: DataFrame) -> tuple[int, bool]:
+    """The number of rows, and whether all of them together stay below the broadcast limit.
+
+    Measured, not estimated, with one action, so ``table`` should be a written one.
+    """
+    row = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(row), F.lit(0))).first()
+    return rows, size <= BROADCAST_BYTES
 
 
 def hot_keys(rows: DataFrame, key: str, threshold: int = HOT_KEY_ROWS) -> DataFrame:
@@ -28,13 +39,18 @@ def lookup_join(
     key: str,
     how: str = "inner",
     spread_by: str = "path",
+    small: bool = False,
     threshold: int = HOT_KEY_ROWS,
 ) -> DataFrame:
-    """Join ``rows`` to ``table`` (unique or few rows per key) on ``key``.
+    """Join ``rows`` to ``table`` (few rows per key) on ``key``.
 
-    Rows of a hot key are dealt over its pieces by a hash of ``spread_by``; only that key's rows
-    in ``table`` are repeated, once per piece. Every other key keeps its single copy.
+    If the caller has measured that ``rows`` is small, its keys are broadcast to reduce ``table``
+    where it is read, and no key can be hot. Otherwise rows of a hot key are dealt over its pieces
+    by a hash of ``spread_by``; only that key's rows in ``table`` are repeated, once per piece.
     """
+    if small:
+        wanted = F.broadcast(rows.select(key).distinct())
+        return rows.join(table.join(wanted, key, "left_semi"), key, how)
     hot = F.broadcast(hot_keys(rows, key, threshold))
     spread = F.pmod(F.xxhash64(spread_by), F.coalesce(F.col("_pieces"), F.lit(1)))
     left = rows.join(hot, key, "left").withColumn("_piece", spread.cast("int")).drop("_pieces")

@@ -352,12 +352,11 @@ def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whole_document(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
-    """The document's fragments with their place; contents are joined to narrow sorted keys."""
     files = kept_files(spark, sf_dir)
     entries = entries_of(files).withColumn("is_symlink", F.lit(False))
     run = assemble_tables(entries, files.select("path", "content"), options)
-    texts = run.fragments.select("section", "order_key", *digest(F.col("text")))
-    return with_position(texts, ["section", "order_key"]).drop("order_key")
+    placed = render.with_document_position(run.fragments, run.entries)
+    return placed.select("section", "position", *digest(F.col("text")))
 
 
 @query
