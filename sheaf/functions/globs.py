@@ -94,6 +94,8 @@ def _bracket(pattern: str, start: int, fold: bool) -> tuple[str, int] | None:
             return None
         low, i = member
         high = low
+        if pattern[i:] == "-":
+            return NOTHING, len(pattern)  # a range without an end fails the whole pattern
         if pattern.startswith("-", i) and i + 1 < len(pattern) and pattern[i + 1] != "]":
             member = take(i + 1)
             if member is None:

@@ -81,7 +81,8 @@ def select_entries(entries: DataFrame, options: Options) -> DataFrame:
     return filters.keep_by_predicates(kept, path_predicates(list(options.plugins)))
 
 
-def _settings(options: Options) -> dict:
+def content_settings(options: Options) -> dict:
+    """The keyword arguments of the content pass."""
     plugins = list(options.plugins)
     formatter = None if options.format == "json" else render.formatter_named(options.format)
     return {
@@ -135,7 +136,7 @@ def assemble_tables(
         files,
         max_file_bytes=options.max_file_bytes,
         link_placeholders=options.symlinks == "placeholder",
-        **_settings(options),
+        **content_settings(options),
     )
     found = found.unionByName(stats.content_diagnostics(processed, options.max_file_bytes))
     return Run(kept, processed, _fragments(kept, processed, options), found)
@@ -178,7 +179,7 @@ def assemble_tree(
     blocks = filetree.read_blocks(readable, root, options.block_bytes, options.max_file_bytes)
     processed = process_tree_blocks(blocks, options)
     if options.symlinks == "placeholder":
-        processed = processed.unionByName(_placeholders(kept, _settings(options)["written"]))
+        processed = processed.unionByName(_placeholders(kept, content_settings(options)["written"]))
     errors = blocks.where("code is not null").select("path", "code", "message")
     return Run(
         kept, processed, _fragments(kept, processed, options), found.unionByName(errors)
@@ -186,7 +187,7 @@ def assemble_tree(
 
 
 def process_tree_blocks(blocks: DataFrame, options: Options) -> DataFrame:
-    good = contents.process_blocks(blocks.where("code is null"), **_settings(options))
+    good = contents.process_blocks(blocks.where("code is null"), **content_settings(options))
     columns = ["path", "size", "block_no", "blocks", "status", "input_bytes", "body", "body_bytes"]
     bad = blocks.where("code is not null").select(
         "path",

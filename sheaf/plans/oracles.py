@@ -63,7 +63,7 @@ _CONV = """conv AS (
 
 def _prefixes(table: str) -> str:
     return f"""dirs AS (
-  SELECT DISTINCT array_to_string(parts[1:n], '/') AS path, n - 1 AS level
+  SELECT DISTINCT array_to_string(parts[1:n], '/') AS path, CAST(n - 1 AS INTEGER) AS level
   FROM (SELECT parts, unnest(range(1, len(parts))) AS n
         FROM (SELECT string_split(path, '/') AS parts FROM {table})))"""
 
@@ -145,7 +145,7 @@ oracle(
     _CORPUS,
     f"SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN {_base()} ELSE path END AS joined FROM corpus",
 )
-oracle("path_level", _PAGES, f"SELECT page_id, path, {_DEPTH} AS level FROM pages_corpus")
+oracle("path_level", _PAGES, f"SELECT page_id, path, CAST({_DEPTH} AS INTEGER) AS level FROM pages_corpus")
 oracle(
     "size_kb", _CORPUS, "SELECT doc_id, size, CAST(ceil(size / 1024.0) AS BIGINT) AS kb FROM corpus"
 )
@@ -179,7 +179,7 @@ oracle(
     "chunks",
     _CORPUS,
     _chunked(),
-    """SELECT path, k AS chunk_no, k * step AS "offset", md5(chunk) AS md5,
+    """SELECT path, CAST(k AS INTEGER) AS chunk_no, k * step AS "offset", md5(chunk) AS md5,
          octet_length(chunk) AS bytes FROM chunks""",
 )
 oracle(
@@ -496,7 +496,7 @@ walk AS (
 oracle(
     "symlink_follow",
     _TREE,
-    f"SELECT path, is_directory, is_symlink, size, {_DEPTH} AS level FROM walk",
+    f"SELECT path, is_directory, is_symlink, size, CAST({_DEPTH} AS INTEGER) AS level FROM walk",
     recursive=True,
 )
 oracle(
@@ -565,6 +565,6 @@ oracle(
     """lines AS (SELECT path, k, chunk, 1 + coalesce(sum(len(regexp_extract_all(hex(chunk),
          '(?:(?:[1-9A-F].|0[0-9B-F])*)(0A)'))) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
          AND 1 PRECEDING), 0) AS line FROM chunks)""",
-    """SELECT path, k AS chunk_no, md5(encode(line || ': ') || chunk) AS md5,
+    """SELECT path, CAST(k AS INTEGER) AS chunk_no, md5(encode(line || ': ') || chunk) AS md5,
          octet_length(encode(line || ': ') || chunk) AS bytes FROM lines""",
 )
