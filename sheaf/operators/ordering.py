@@ -1,23 +1,29 @@
-"""Global order without one big task.
+"""Global order without one big task, and without sorting contents.
 
-A position or running sum over a whole corpus would be one task as a plain window. Here the
-narrow key columns are range partitioned and sorted, the partition number and the row's index
-in it are written out, and only one total per partition crosses partitions. So the broadcast
-side has at most as many rows as there are shuffle partitions. No single key can overload a
-partition, because the order columns are unique.
+Positions, running sums and partition boundaries come from narrow key columns alone. These are
+range partitioned, sorted and written out with the partition number and the row's index in it;
+then only one total per partition crosses partitions, so what is broadcast has at most as many
+rows as there are shuffle partitions. No single key can overload a partition, because the order
+columns are unique. Rows with contents are then sent straight to the partition their key belongs
+to: one shuffle, and no sampling pass over the contents.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.session import written
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
+PART_BYTES = 256 << 20
+# Bounds the list of boundaries that every task gets.
+MAX_PARTS = 30_000
+
 
 def _ordered_table(keys: DataFrame, order: Sequence[str]) -> DataFrame:
     tagged = (
@@ -27,52 +33,93 @@ def _ordered_table(keys: DataFrame, order: Sequence[str]) -> DataFrame:
     )
     return written(tagged, "ordered").select(
         *keys.columns,
-        F.shiftright("_mid", _INDEX_BITS).alias("_part"),
+        F.shiftright("_mid", _INDEX_BITS).alias("_range"),
         F.col("_mid").bitwiseAND((1 << _INDEX_BITS) - 1).alias("_index"),
     )
 
 
+def _before(order: str, *group: str):
+    window = Window.partitionBy(*group).orderBy(order) if group else Window.orderBy(order)
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_position(keys: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Add the 1-based global position of each row in the order of ``order`` (unique)."""
     table = _ordered_table(keys, order)
-    totals = table.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return table.join(F.broadcast(carry), "_part").select(
-        *keys.columns, (F.col("_before") + F.col("_index") + 1).alias(name)
+    totals = table.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(_before("_range")), F.lit(0))
+    carry = totals.select("_range", earlier.alias("_earlier"))
+    return table.join(F.broadcast(carry), "_range").select(
+        *keys.columns, (F.col("_earlier") + F.col("_index") + 1).alias(name)
     )
 
 
-def with_running_sum(
-    keys: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str
-) -> DataFrame:
-    """Add the sum of ``value`` over the rows before this one in its group.
+def with_offsets(keys: DataFrame, group: str, order: Sequence[str], weight: str) -> DataFrame:
+    """Add what comes before each row: ``total`` of ``weight`` over all rows in the order of
+    ``group`` and ``order``, and ``offset`` over the rows of its group only.
 
-    A group of any size is spread over range partitions. Only a group that goes on from an
-    earlier partition needs a carry, and a partition has at most one such group.
+    A group of any size is spread over ranges. Only a group that goes on from an earlier range
+    needs a carry, and a range has at most one such group.
     """
-    valued = keys.withColumn("_value", value)
-    table = _ordered_table(valued, [*group, *order])
-    totals = table.groupBy("_part", *group).agg(F.sum("_value").alias("_sum"))
-    earlier = (
-        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        totals.withColumn("_carry", F.sum("_sum").over(earlier))
-        .where(F.col("_carry").isNotNull())
-        .select("_part", *group, "_carry")
+    table = _ordered_table(keys, [group, *order])
+    sums = table.groupBy("_range", group).agg(F.sum(weight).alias("_sum"))
+    ranges = sums.groupBy("_range").agg(F.sum("_sum").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(_before("_range")), F.lit(0))
+    range_carry = ranges.select("_range", earlier.alias("_range_carry"))
+    group_carry = (
+        sums.withColumn("_group_carry", F.sum("_sum").over(_before("_range", group)))
+        .where(F.col("_group_carry").isNotNull())
+        .select("_range", group, "_group_carry")
     )
-    within = (
-        Window.partitionBy("_part", *group)
-        .orderBy("_index")
-        .rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(*within: str) -> Column:
+        return F.coalesce(F.sum(weight).over(_before("_index", *within)), F.lit(0))
+
+    # The window over whole ranges first: its partitioning serves the other one too.
+    local = table.withColumn("_in_range", running("_range")).withColumn(
+        "_in_group", running("_range", group)
     )
-    running = F.coalesce(F.sum("_value").over(within), F.lit(0))
     return (
-        table.withColumn("_local", running)
-        .join(F.broadcast(carry), ["_part", *group], "left")
+        local.join(F.broadcast(range_carry), "_range")
+        .join(F.broadcast(group_carry), ["_range", group], "left")
         .select(
             *keys.columns,
-            (F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0))).cast("long").alias(name),
+            (F.col("_in_range") + F.col("_range_carry")).cast("long").alias("total"),
+            (F.col("_in_group") + F.coalesce("_group_carry", F.lit(0))).cast("long").alias("offset"),
         )
     )
+
+
+def part_size(spark: SparkSession, total: int, part_bytes: int = PART_BYTES) -> int:
+    """Bytes per partition: at most ``part_bytes`` and no fewer parts than cores, unless that
+    makes more than ``MAX_PARTS``."""
+    parts = max(-(-total // part_bytes), spark.sparkContext.defaultParallelism)
+    return max(-(-total // min(parts, MAX_PARTS)), 1)
+
+
+def _part_of(key: Column, starts: Sequence[str]) -> Column:
+    """The number of the part ``key`` falls into, by binary search in the sorted ``starts``."""
+    # One constant, folded once; ``starts`` may be long.
+    sorted_starts = F.from_json(F.lit(json.dumps(list(starts))), "array<string>")
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state.low + state.high, 1)
+        right = F.struct((middle + 1).alias("low"), state.high.alias("high"))
+        left = F.struct(state.low.alias("low"), middle.alias("high"))
+        return (
+            F.when(state.low >= state.high, state)
+            .when(F.get(sorted_starts, middle) <= key, right)
+            .otherwise(left)
+        )
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high"))
+    steps = F.sequence(F.lit(1), F.lit(len(starts).bit_length() + 1))
+    found = F.aggregate(steps, whole, halve, lambda state: state.low)
+    return F.greatest(found - 1, F.lit(0))
+
+
+def route(rows: DataFrame, key: Column, starts: Sequence[str], part: str) -> DataFrame:
+    """Send each row to the partition of its ``key``: partition n holds the keys from
+    ``starts[n]`` up to the next start. Adds the partition number as ``part``."""
+    numbered = rows.withColumn(part, _part_of(key, starts).cast("int"))
+    return numbered.repartitionById(len(starts), F.col(part))

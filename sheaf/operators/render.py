@@ -7,18 +7,23 @@ files, ``bundles`` as volumes of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.content import ChunkFunction
-from sheaf.functions.paths import level, order_key, size_kb
+from sheaf.functions.paths import LOWEST, level, order_key, size_kb
 from sheaf.operators.contents import OK
-from sheaf.operators.ordering import with_position, with_running_sum
-from sheaf.session import written
+from sheaf.operators.ordering import (
+    PART_BYTES,
+    part_size,
+    route,
+    with_offsets,
+    with_position,
+)
 
 FRAGMENT_ORDER = ["section", "order_key", "block_no"]
 HEAD, STRUCTURE, CONTENT_HEAD, CONTENT, TAIL = range(5)
-VOLUME_BYTES = 64 << 20
+VOLUME_BYTES = 16 << 20
 
 
 class Formatter:
@@ -186,56 +191,118 @@ def document(
     )
 
 
-def with_document_position(fragments: DataFrame, entries: DataFrame) -> DataFrame:
-    """Whole-file fragments with their place in the document as ``position``.
+def _document_keys(fragments: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(section, order_key, bytes)`` of the document's fragments, bytes as recorded.
 
-    The places come from the entries alone, so no content is read, sorted or sampled for them;
-    a fragment then meets its place by key.
+    Derived from the entries alone, so no content is read for them.
     """
+    path, size = F.col("path"), F.col("size")
     frame = fragments.where(~F.col("section").isin(STRUCTURE, CONTENT))
-    listed = entries.select(order_key(F.col("path")).alias("order_key"), "is_directory")
-    sections = F.when(F.col("is_directory"), F.array(F.lit(STRUCTURE))).otherwise(
-        F.array(F.lit(STRUCTURE), F.lit(CONTENT))
-    )
-    keys = listed.select(F.explode(sections).alias("section"), "order_key").unionByName(
-        frame.select("section", "order_key")
+    line = F.struct(F.lit(STRUCTURE).alias("section"), F.octet_length(path).cast("long").alias("b"))
+    body = F.struct(F.lit(CONTENT).alias("section"), (F.octet_length(path) + size).alias("b"))
+    lines = F.when(F.col("is_directory"), F.array(line)).otherwise(F.array(line, body))
+    return (
+        entries.select(order_key(path).alias("order_key"), F.explode(lines).alias("line"))
+        .select("line.section", "order_key", F.col("line.b").alias("bytes"))
+        .unionByName(frame.select("section", "order_key", F.lit(0).cast("long").alias("bytes")))
     )
+
+
+def with_document_position(fragments: DataFrame, entries: DataFrame) -> DataFrame:
+    """Whole-file fragments with their place in the document as ``position``."""
+    keys = _document_keys(fragments, entries).drop("bytes")
     places = with_position(keys, ["section", "order_key"])
     return fragments.join(places, ["section", "order_key"])
 
 
+def in_order(
+    fragments: DataFrame, entries: DataFrame | None = None, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """Fragments sorted over all partitions, so that part files in name order are the document.
+
+    With the run's ``entries`` the partition bounds come from recorded sizes, so partitions are
+    even in bytes and contents are read and shuffled once. Without them Spark samples.
+    """
+    if entries is None:
+        return fragments.orderBy(*FRAGMENT_ORDER)
+    keys = _document_keys(fragments, entries)
+    sized = with_offsets(keys, "section", ["order_key"], "bytes")
+    total = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    step = part_size(fragments.sparkSession, total, part_bytes)
+    key = F.concat(F.col("section").cast("string"), F.col("order_key"))
+    firsts = sized.groupBy(F.floor(F.col("total") / step)).agg(F.min(key).alias("key"))
+    starts = sorted(row.key for row in firsts.collect())
+    routed = route(fragments, key, starts, "_part").drop("_part")
+    return routed.sortWithinPartitions(*FRAGMENT_ORDER)
+
+
 def bundles(
+    files: DataFrame,
     processed: DataFrame,
     group: str,
     formatter: Formatter | None = None,
     volume_bytes: int = VOLUME_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """One document per ``group``, as numbered volumes ``(group, volume, files, text)``.
 
-    A volume takes the fragments that start in its ``volume_bytes`` of the document, so no row
-    exceeds that by more than one file, however large the group; the volumes of a group in order
-    are its document. Offsets come from narrow rows; the contents are shuffled once to meet
-    theirs and once to meet each other.
+    ``files`` gives the recorded ``path``, ``size`` and ``group`` of what ``processed`` holds. A
+    volume takes the files that start in its ``volume_bytes`` of the group's recorded bytes, so
+    no row exceeds that by more than one file, however large the group; the volumes of a group in
+    order are its document. Groups of any size are spread: partitions begin at volumes and are
+    even in bytes. The contents are read once and shuffled once, for the numbering of volumes and
+    the joining of texts alike.
     """
     formatter = formatter or TextFormatter()
+    path = F.col("path")
+    keys = files.select(
+        F.col(group).cast("string").alias("_group"), order_key(path).alias("order_key"), "size"
+    )
+    sized = with_offsets(keys, "_group", ["order_key"], "size").withColumn(
+        "volume", F.floor(F.col("offset") / volume_bytes)
+    )
+    key = F.concat(F.col("_group"), F.lit(LOWEST), F.col("order_key"))
+    spark = files.sparkSession
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    step = part_size(spark, total, part_bytes)
+    volumes = sized.groupBy("_group", "volume").agg(
+        F.min(key).alias("key"), F.min("total").alias("total"), F.min("offset").alias("offset")
+    )
+    first = F.min(F.struct("key", "_group", "offset"))
+    firsts = volumes.groupBy(F.floor(F.col("total") / step)).agg(first.alias("first"))
+    starts = sorted(row.first for row in firsts.collect())
+    if not starts:
+        starts = [("", "", 0)]
+    carry = spark.createDataFrame(
+        [(n, begins[1], begins[2]) for n, begins in enumerate(starts)],
+        "_part int, _group string, _carry long",
+    )
     texts = processed.select(
-        group, "path", order_key(F.col("path")).alias("order_key"), file_text(formatter).alias("text")
+        F.col(group),
+        F.col(group).cast("string").alias("_group"),
+        order_key(path).alias("order_key"),
+        "size",
+        file_text(formatter).alias("text"),
     )
-    # Written, because range partitioning reads its input twice and this one reads all contents.
-    sizes = written(
-        texts.select(group, "path", "order_key", F.octet_length("text").cast("long").alias("bytes")),
-        "sizes",
+    routed = route(texts, key, [begins[0] for begins in starts], "_part")
+    within = (
+        Window.partitionBy("_part", "_group")
+        .orderBy("order_key")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = with_running_sum(sizes, [group], ["order_key"], F.col("bytes"), "offset").select(
-        "path", F.floor(F.col("offset") / volume_bytes).cast("long").alias("volume")
+    offset = F.coalesce(F.sum("size").over(within), F.lit(0))
+    numbered = routed.withColumn("_local", offset).join(
+        F.broadcast(carry), ["_part", "_group"], "left"
     )
+    volume = F.floor((F.col("_local") + F.coalesce("_carry", F.lit(0))) / volume_bytes)
     return (
-        texts.join(placed, "path")
-        .groupBy(group, "volume")
+        numbered.withColumn("volume", volume.cast("long"))
+        .groupBy("_part", group, "volume")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.expr("listagg(text, X'') within group (order by order_key)").alias("text"),
         )
+        .drop("_part")
     )
 
 

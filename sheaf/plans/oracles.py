@@ -429,8 +429,8 @@ oracle(
     _CORPUS,
     _KEPT,
     _judged(table="kept"),
-    f"texts AS (SELECT source, path, {_TEXT} AS text FROM judged)",
-    """placed AS (SELECT *, coalesce(sum(octet_length(text)) OVER (PARTITION BY source
+    f"texts AS (SELECT source, path, size, {_TEXT} AS text FROM judged)",
+    """placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source
          ORDER BY string_split(path, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
          // 65536 AS volume FROM texts)""",
     """volumes AS (SELECT source, CAST(volume AS BIGINT) AS volume, count(*) AS files,
@@ -441,9 +441,9 @@ oracle(
 oracle(
     "bundle_conversations",
     _CONV,
-    """texts AS (SELECT conv_id, path, '// File: ' || path || chr(10) || text || chr(10) || chr(10)
+    """texts AS (SELECT conv_id, path, strlen(text) AS size, '// File: ' || path || chr(10) || text || chr(10) || chr(10)
          AS text FROM conv)""",
-    """placed AS (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id
+    """placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id
          ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS volume
          FROM texts)""",
     """SELECT conv_id, CAST(volume AS BIGINT) AS volume, count(*) AS files,

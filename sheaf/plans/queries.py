@@ -407,15 +407,17 @@ def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bundle_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    processed = contents.process_files(kept_files(spark, sf_dir))
-    volumes = render.bundles(processed, "source", volume_bytes=SHORT_VOLUME)
+    files = kept_files(spark, sf_dir)
+    processed = contents.process_files(files)
+    volumes = render.bundles(files, processed, "source", volume_bytes=SHORT_VOLUME)
     return volumes.select("source", "volume", "files", *digest(F.col("text")))
 
 
 @query
 def bundle_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    processed = contents.process_files(fixtures.conversations(spark, sf_dir))
-    volumes = render.bundles(processed, "conv_id", volume_bytes=1 << 10)
+    files = fixtures.conversations(spark, sf_dir)
+    processed = contents.process_files(files)
+    volumes = render.bundles(files, processed, "conv_id", volume_bytes=1 << 10)
     return volumes.select("conv_id", "volume", "files", F.col("text").cast("string").alias("text"))
 
 

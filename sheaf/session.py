@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "sheaf") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", app: str = "sheaf", config: dict[str, str] | None = None
+) -> SparkSession:
     """A local session; on a cluster the caller brings their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -19,8 +21,10 @@ def local_session(cpus: int | str = "*", app: str = "sheaf") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for name, value in (config or {}).items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from sheaf.operators.render import FRAGMENT_ORDER, json_files
+from sheaf.operators.render import in_order, json_files
 
 
 @dataclass
@@ -92,20 +92,17 @@ class DocumentSink(DataSource):
         return _DocumentWriter(self.options["path"], overwrite)
 
 
-def in_order(fragments: DataFrame) -> DataFrame:
-    """Fragments sorted over all partitions by range, so that part files in name order are the
-    document."""
-    return fragments.orderBy(*FRAGMENT_ORDER)
+def write_document(fragments: DataFrame, path: str, entries: DataFrame | None = None) -> None:
+    """Replace the document at ``path``, a folder that all executors reach.
 
-
-def write_document(fragments: DataFrame, path: str) -> None:
-    """Replace the document at ``path``, a folder that all executors reach."""
+    ``entries`` are the run's, see ``in_order``.
+    """
     fragments.sparkSession.dataSource.register(DocumentSink)
-    ordered = in_order(fragments).select("text")
+    ordered = in_order(fragments, entries).select("text")
     ordered.write.format("document").mode("overwrite").save(path)
 
 
-def write_text(fragments: DataFrame, path: str) -> None:
+def write_text(fragments: DataFrame, path: str, entries: DataFrame | None = None) -> None:
     """The same through Spark's text sink, for any file system Spark writes to.
 
     That sink ends every record with a line feed, so each fragment gives its own last one up. A
@@ -115,7 +112,7 @@ def write_text(fragments: DataFrame, path: str) -> None:
     ends = F.substring("text", -1, 1) == F.lit(b"\n")
     line = F.substring(F.col("text"), F.lit(1), F.octet_length("text") - 1).cast("string")
     refused = F.raise_error(F.lit("a fragment has no last line feed; use write_document"))
-    ordered = in_order(fragments).select(
+    ordered = in_order(fragments, entries).select(
         F.when(ends, line).otherwise(refused.cast("string")).alias("value")
     )
     ordered.write.mode("overwrite").text(path)

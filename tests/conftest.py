@@ -14,7 +14,9 @@ def spark(tmp_path_factory):
     os.chdir(tmp_path_factory.mktemp("work"))
     from sheaf.session import local_session
 
-    session = local_session(8, "tests")
+    # Few tasks per stage: the inputs are tiny.
+    few = {"spark.default.parallelism": "2", "spark.sql.shuffle.partitions": "4"}
+    session = local_session(8, "tests", few)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -26,7 +26,7 @@ def make(root, files):
 
 
 def text_of(spark, run, path) -> bytes:
-    document.write_document(run.fragments, str(path))
+    document.write_document(run.fragments, str(path), run.entries)
     parts = sorted(p for p in os.listdir(path) if p.startswith("part-"))
     return b"".join(open(f"{path}/{p}", "rb").read() for p in parts)
 
