@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.session import written
@@ -25,9 +25,15 @@ PART_BYTES = 256 << 20
 MAX_PARTS = 30_000
 
 
-def _ordered_table(keys: DataFrame, order: Sequence[str]) -> DataFrame:
+def ordered_table(keys: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Narrow ``keys`` in ranges of ``order`` (unique), as a written table.
+
+    The keys are written before they are partitioned too, because finding the ranges samples its
+    input: what they are derived from, often all contents, is read once.
+    """
     tagged = (
-        keys.repartitionByRange(*order)
+        written(keys, "keys")
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
@@ -45,7 +51,7 @@ def _before(order: str, *group: str):
 
 def with_position(keys: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
     """Add the 1-based global position of each row in the order of ``order`` (unique)."""
-    table = _ordered_table(keys, order)
+    table = ordered_table(keys, order)
     totals = table.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(_before("_range")), F.lit(0))
     carry = totals.select("_range", earlier.alias("_earlier"))
@@ -54,14 +60,14 @@ def with_position(keys: DataFrame, order: Sequence[str], name: str = "position")
     )
 
 
-def with_offsets(keys: DataFrame, group: str, order: Sequence[str], weight: str) -> DataFrame:
-    """Add what comes before each row: ``total`` of ``weight`` over all rows in the order of
-    ``group`` and ``order``, and ``offset`` over the rows of its group only.
+def with_offsets(table: DataFrame, group: str, weight: str) -> DataFrame:
+    """Add what comes before each row of an ordered table whose order begins with ``group``:
+    ``total`` of ``weight`` over all rows, and ``offset`` over the rows of its group only.
 
     A group of any size is spread over ranges. Only a group that goes on from an earlier range
     needs a carry, and a range has at most one such group.
     """
-    table = _ordered_table(keys, [group, *order])
+    columns = [c for c in table.columns if c not in ("_range", "_index")]
     sums = table.groupBy("_range", group).agg(F.sum(weight).alias("_sum"))
     ranges = sums.groupBy("_range").agg(F.sum("_sum").alias("_sum"))
     earlier = F.coalesce(F.sum("_sum").over(_before("_range")), F.lit(0))
@@ -83,17 +89,18 @@ def with_offsets(keys: DataFrame, group: str, order: Sequence[str], weight: str)
         local.join(F.broadcast(range_carry), "_range")
         .join(F.broadcast(group_carry), ["_range", group], "left")
         .select(
-            *keys.columns,
+            *columns,
             (F.col("_in_range") + F.col("_range_carry")).cast("long").alias("total"),
             (F.col("_in_group") + F.coalesce("_group_carry", F.lit(0))).cast("long").alias("offset"),
         )
     )
 
 
-def part_size(spark: SparkSession, total: int, part_bytes: int = PART_BYTES) -> int:
-    """Bytes per partition: at most ``part_bytes`` and no fewer parts than cores, unless that
-    makes more than ``MAX_PARTS``."""
-    parts = max(-(-total // part_bytes), spark.sparkContext.defaultParallelism)
+def part_size(table: DataFrame, weight: str, part_bytes: int = PART_BYTES) -> int:
+    """Bytes per partition for all of ``weight``: at most ``part_bytes`` and no fewer parts than
+    cores, unless that makes more than ``MAX_PARTS``."""
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    parts = max(-(-total // part_bytes), table.sparkSession.sparkContext.defaultParallelism)
     return max(-(-total // min(parts, MAX_PARTS)), 1)
 
 

@@ -15,6 +15,7 @@ from sheaf.functions.paths import LOWEST, level, order_key, size_kb
 from sheaf.operators.contents import OK
 from sheaf.operators.ordering import (
     PART_BYTES,
+    ordered_table,
     part_size,
     route,
     with_offsets,
@@ -225,10 +226,9 @@ def in_order(
     """
     if entries is None:
         return fragments.orderBy(*FRAGMENT_ORDER)
-    keys = _document_keys(fragments, entries)
-    sized = with_offsets(keys, "section", ["order_key"], "bytes")
-    total = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    step = part_size(fragments.sparkSession, total, part_bytes)
+    keys = ordered_table(_document_keys(fragments, entries), ["section", "order_key"])
+    sized = with_offsets(keys, "section", "bytes")
+    step = part_size(keys, "bytes", part_bytes)
     key = F.concat(F.col("section").cast("string"), F.col("order_key"))
     firsts = sized.groupBy(F.floor(F.col("total") / step)).agg(F.min(key).alias("key"))
     starts = sorted(row.key for row in firsts.collect())
@@ -255,16 +255,15 @@ def bundles(
     """
     formatter = formatter or TextFormatter()
     path = F.col("path")
-    keys = files.select(
+    narrow = files.select(
         F.col(group).cast("string").alias("_group"), order_key(path).alias("order_key"), "size"
     )
-    sized = with_offsets(keys, "_group", ["order_key"], "size").withColumn(
+    keys = ordered_table(narrow, ["_group", "order_key"])
+    sized = with_offsets(keys, "_group", "size").withColumn(
         "volume", F.floor(F.col("offset") / volume_bytes)
     )
     key = F.concat(F.col("_group"), F.lit(LOWEST), F.col("order_key"))
-    spark = files.sparkSession
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    step = part_size(spark, total, part_bytes)
+    step = part_size(keys, "size", part_bytes)
     volumes = sized.groupBy("_group", "volume").agg(
         F.min(key).alias("key"), F.min("total").alias("total"), F.min("offset").alias("offset")
     )
@@ -273,7 +272,7 @@ def bundles(
     starts = sorted(row.first for row in firsts.collect())
     if not starts:
         starts = [("", "", 0)]
-    carry = spark.createDataFrame(
+    carry = files.sparkSession.createDataFrame(
         [(n, begins[1], begins[2]) for n, begins in enumerate(starts)],
         "_part int, _group string, _carry long",
     )

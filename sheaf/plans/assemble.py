@@ -23,6 +23,7 @@ from sheaf.operators.skew import lookup_join
 from sheaf.plans.plugins import FilterPlugin, chunk_rules, chunk_transforms, path_predicates
 from sheaf.session import written
 from sheaf.sources import filetree
+from sheaf.sources.document import write_document
 
 LINK_MODES = ("skip", "follow", "include", "placeholder")
 
@@ -60,6 +61,10 @@ class Run:
     fragments: DataFrame  # the document, unsorted
     diagnostics: DataFrame
 
+    def write(self, path: str) -> None:
+        """Write the document; see ``write_document``."""
+        write_document(self.fragments, path, self.entries)
+
     def stats(self) -> DataFrame:
         """One row of counters."""
         rows = self.processed
@@ -72,13 +77,17 @@ class Run:
         return stats.run_stats(rows)
 
 
-def select_entries(entries: DataFrame, options: Options) -> DataFrame:
-    """Globs first, then links, then user predicates, in that order as each costs more."""
+def select_by_row(entries: DataFrame, options: Options) -> DataFrame:
+    """What an entry's own row decides: globs, with pruning by path, caps, links."""
     kept = filters.keep_entries(entries, options.include, options.exclude, options.own_output)
     kept = kept.where(filters.within_caps(F.col("path"), options.max_depth))
-    if options.symlinks == "skip":
-        kept = links.skip_links(kept)
-    return filters.keep_by_predicates(kept, path_predicates(list(options.plugins)))
+    return links.skip_links(kept) if options.symlinks == "skip" else kept
+
+
+def select_entries(entries: DataFrame, options: Options) -> DataFrame:
+    """All path rules; user predicates last, as a refused directory hides all below it."""
+    predicates = path_predicates(list(options.plugins))
+    return filters.keep_by_predicates(select_by_row(entries, options), predicates)
 
 
 def content_settings(options: Options) -> dict:
@@ -142,6 +151,44 @@ def assemble_tables(
     return Run(kept, processed, _fragments(kept, processed, options), found)
 
 
+def assemble_corpus(files: DataFrame, options: Options | None = None) -> Run:
+    """From a corpus table ``(path, size, content, is_symlink, link_target)``, one row per file.
+
+    Directories are those the paths imply. Rules that a row decides run on the content rows
+    themselves, so contents are not joined to anything unless links are read through or user
+    predicates apply.
+    """
+    options = options or Options()
+    listed = files.select(
+        "path", F.lit(False).alias("is_directory"), "is_symlink", "size", "link_target"
+    )
+    implied = filters.directories_of(files).select(
+        "path",
+        F.lit(True).alias("is_directory"),
+        F.lit(False).alias("is_symlink"),
+        F.lit(0).cast("long").alias("size"),
+        F.lit(None).cast("string").alias("link_target"),
+    )
+    entries = written(listed.unionByName(implied), "entries")
+    if options.symlinks in ("follow", "include"):
+        return assemble_tables(entries, files.select("path", "content"), options)
+    kept = select_entries(entries, options)
+    if path_predicates(list(options.plugins)):
+        taken = files.join(kept.select("path"), "path", "left_semi")
+    else:
+        taken = select_by_row(files.withColumn("is_directory", F.lit(False)), options)
+    processed = contents.process_files(
+        taken,
+        max_file_bytes=options.max_file_bytes,
+        link_placeholders=options.symlinks == "placeholder",
+        **content_settings(options),
+    )
+    found = stats.listing_diagnostics(entries, options.max_depth).unionByName(
+        stats.content_diagnostics(processed, options.max_file_bytes)
+    )
+    return Run(kept, processed, _fragments(kept, processed, options), found)
+
+
 def _followed_contents(
     kept: DataFrame, resolved: DataFrame, file_contents: DataFrame
 ) -> DataFrame:

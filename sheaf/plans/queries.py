@@ -13,7 +13,7 @@ from sheaf.functions.globs import matches_any
 from sheaf.operators import contents, filters, links, render, stats
 from sheaf.operators.ordering import with_position
 from sheaf.plans import fixtures, plugins
-from sheaf.plans.assemble import Options, assemble_tables
+from sheaf.plans.assemble import Options, assemble_corpus, assemble_tables
 from sheaf.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,7 +306,7 @@ def symlink_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def symlink_include(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = fixtures.link_entries(spark, sf_dir)
+    entries = written(fixtures.link_entries(spark, sf_dir), "entries")
     sources = links.skip_links(fixtures.corpus(spark, sf_dir)).select("path", "content")
     files = links.contents_through_links(entries, entries, sources)
     processed = contents.process_files(files)
@@ -352,9 +352,8 @@ def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _whole_document(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
-    files = kept_files(spark, sf_dir)
-    entries = entries_of(files).withColumn("is_symlink", F.lit(False))
-    run = assemble_tables(entries, files.select("path", "content"), options)
+    files = kept_files(spark, sf_dir).withColumn("link_target", F.lit(None).cast("string"))
+    run = assemble_corpus(files, options)
     placed = render.with_document_position(run.fragments, run.entries)
     return placed.select("section", "position", *digest(F.col("text")))
 
@@ -426,13 +425,13 @@ def bundle_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def symlink_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    followed = links.follow_links(fixtures.link_tree(spark, sf_dir))
+    followed = links.follow_links(written(fixtures.link_tree(spark, sf_dir), "entries"))
     return followed.select("path", "is_directory", "is_symlink", "size", P.level(F.col("path")).alias("level"))
 
 
 @query
 def symlink_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    followed = links.follow_links(fixtures.link_tree(spark, sf_dir))
+    followed = links.follow_links(written(fixtures.link_tree(spark, sf_dir), "entries"))
     return followed.where("is_cycle").select("path", "physical_path")
 
 
@@ -456,7 +455,7 @@ def progress_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries too deep, files too large, and links read through that lead nowhere."""
-    entries = fixtures.link_entries(spark, sf_dir)
+    entries = written(fixtures.link_entries(spark, sf_dir), "entries")
     sources = links.skip_links(fixtures.corpus(spark, sf_dir)).select("path", "content")
     options = Options(symlinks="include", max_file_bytes=SMALL_CAP, max_depth=SHALLOW)
     return assemble_tables(entries, sources, options).diagnostics
@@ -469,7 +468,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def link_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = fixtures.link_tree(spark, sf_dir)
+    tree = written(fixtures.link_tree(spark, sf_dir), "entries")
     resolved = written(links.resolve_links(tree), "resolved")
     return links.link_diagnostics(links.follow_links(tree, resolved=resolved), resolved)
 

@@ -38,13 +38,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="sheaf-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sheaf-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def _tables_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/sheaf/{spark.sparkContext.applicationId}"
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/sheaf/{name}-{uuid.uuid4().hex}"
+    return f"{_tables_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once no DataFrame over them is needed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from sheaf.functions import paths as P
 from sheaf.functions.content import link_placeholder
 from sheaf.operators import contents, filters, links, ordering, render, skew, stats
 from sheaf.plans import fixtures, plugins
-from sheaf.plans.assemble import Options, assemble_tables
+from sheaf.plans.assemble import Options, assemble_corpus, assemble_tables
 
 FILES = "grp string, path string, content binary, size long, is_directory boolean"
 
@@ -81,7 +81,8 @@ def test_positions_and_offsets_with_a_hot_group(spark):
     assert {r.path: r.position for r in got} == {
         path: n + 1 for n, path in enumerate(sorted(r[1] for r in rows))
     }
-    sized = ordering.with_offsets(table.select("grp", "path", "size"), "grp", ["path"], "size")
+    ranged = ordering.ordered_table(table.select("grp", "path", "size"), ["grp", "path"])
+    sized = ordering.with_offsets(ranged, "grp", "size")
     expected, total, seen = {}, 0, {}
     for group, path, _, size, _ in sorted(rows):
         expected[path] = (total, seen.get(group, 0))
@@ -208,6 +209,29 @@ def test_followed_tables_carry_their_targets_contents(spark):
     assert codes == {("bad", "unresolvable_link"), ("bad", "unreadable")}
 
 
+@pytest.mark.parametrize("mode", ["skip", "include", "placeholder", "follow"])
+@pytest.mark.parametrize("plugged", [False, True])
+def test_a_corpus_table_gives_the_document_of_its_tables(spark, mode, plugged):
+    rows = [(f"d{n % 3}/e/f{n}.{'c' if n % 2 else 'md'}", bytes([n % 5]) * n, False, n, None) for n in range(25)]
+    rows += [("d0/l", b"", True, 7, "d1/e/f1.c"), ("k", b"", True, 4, "none")]
+    schema = "path string, content binary, is_symlink boolean, size long, link_target string"
+    files = spark.createDataFrame(rows, schema)
+    folders = [(d, True, False, 0, None) for n in range(3) for d in (f"d{n}", f"d{n}/e")]
+    narrow = spark.createDataFrame([(p, False, s, z, t) for p, _, s, z, t in rows] + folders, LINKS)
+    plugin = plugins.register_filter("no_d2", path=lambda e: F.col("path") != "d2")
+    options = Options(symlinks=mode, exclude=["*.md"], plugins=[plugin] if plugged else [])
+    one = assemble_corpus(files, options)
+    two = assemble_tables(narrow, files.select("path", "content"), options)
+
+    def text(run):
+        return b"".join(bytes(r.text) for r in render.in_order(run.fragments, run.entries).collect())
+
+    assert text(one) == text(two)
+    assert (b"d2/" in text(one)) != plugged
+    assert one.stats().collect() == two.stats().collect()
+    assert sorted(map(str, one.diagnostics.collect())) == sorted(map(str, two.diagnostics.collect()))
+
+
 def test_blocks_and_whole_files_agree(spark):
     """The block form of the content pass on blocks cut by hand."""
     rng = random.Random(3)
@@ -279,16 +303,43 @@ def test_streamed_fragments_equal_the_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
-    from sheaf import session
+def test_intermediate_tables_can_be_dropped(spark):
+    import os
+
+    from sheaf.session import checkpoint_dir, drop_written, written
+
+    assert written(spark.range(5), "t").count() == 5
+    root = f"{checkpoint_dir(spark).removeprefix('file:')}/sheaf/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(root)
+    drop_written(spark)
+    assert not os.path.exists(root)
+
+
+class FakeContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_checkpoint_folder_comes_from_the_session():
+    from types import SimpleNamespace
+
+    from sheaf.session import checkpoint_dir
+
+    def session(master, **conf):
+        conf = {k.replace("_", "."): v for k, v in conf.items()}
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=conf.get), sparkContext=FakeContext(master)
+        )
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        session.written(spark.range(3), "t").count()
-        assert (tmp_path / "shared" / "sheaf").is_dir()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+    assert checkpoint_dir(session("yarn", spark_checkpoint_dir="hdfs://x/c")) == "hdfs://x/c"
+    assert checkpoint_dir(session("local[2]", spark_checkpoint_dir="/shared")) == "/shared"
+    local = session("local[2]")
+    assert checkpoint_dir(local) == checkpoint_dir(local) == local.sparkContext.folder
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("yarn"))
