@@ -95,7 +95,9 @@ def _bracket(pattern: str, start: int, fold: bool) -> tuple[str, int] | None:
         low, i = member
         high = low
         if pattern[i:] == "-":
-            return NOTHING, len(pattern)  # a range without an end fails the whole pattern
+            # A range without an end fails the whole pattern, unless the bracket took a "[" before.
+            took = low == "[" or any(lo <= ord("[") <= hi for lo, hi in spans)
+            return None if took else (NOTHING, len(pattern))
         if pattern.startswith("-", i) and i + 1 < len(pattern) and pattern[i + 1] != "]":
             member = take(i + 1)
             if member is None:
