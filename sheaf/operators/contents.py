@@ -27,6 +27,8 @@ from sheaf.functions.content import (
     link_placeholder,
     transform_chunks,
 )
+from sheaf.operators.skew import measure
+from sheaf.session import written as table_of
 
 OK = "ok"
 EXCLUDED = "content_excluded"
@@ -126,10 +128,14 @@ def process_blocks(
     rules: Sequence[ContentRule] = (),
     transforms: Sequence[ChunkFunction] = (),
     written: ChunkFunction | None = None,
+    one_block: bool = False,
 ) -> DataFrame:
     """The same for block rows ``(path, size, block_no, content)`` of readable files.
 
     Blocks behind a file's first refused block are dropped, that block keeps its accepted part.
+    With ``one_block`` every file is one block and nothing is shuffled. Otherwise the files that
+    have a refused chunk are found first; unless they are very many, they are broadcast, so that
+    contents stay where they are read.
     """
     size, content = F.col("size"), F.col("content")
 
@@ -141,13 +147,18 @@ def process_blocks(
     if binary == "placeholder":
         marks["_nul"] = first(first_refused(content, size, [SKIP_BINARY]))
     judged = blocks.withColumns({f"{name}_here": mark for name, mark in marks.items()})
-    # Only files with a refused chunk appear here, so no row per file is shuffled for the rest.
-    cuts = (
-        judged.where(" or ".join(f"{name}_here is not null" for name in marks))
-        .groupBy(F.col("path").alias("_path"))
-        .agg(*(F.min(f"{name}_here").alias(name) for name in marks))
-    )
-    joined = judged.join(cuts, F.col("path") == F.col("_path"), "left").drop("_path")
+    if one_block:
+        joined = judged.withColumns({name: F.col(f"{name}_here") for name in marks})
+    else:
+        cuts = table_of(
+            judged.where(" or ".join(f"{name}_here is not null" for name in marks))
+            .groupBy(F.col("path").alias("_path"))
+            .agg(*(F.min(f"{name}_here").alias(name) for name in marks)),
+            "cuts",
+        )
+        _, small = measure(cuts)
+        right = F.broadcast(cuts) if small else cuts
+        joined = judged.join(right, F.col("path") == F.col("_path"), "left").drop("_path")
     at_cut = F.col("block_no") == F.col("_cut.block_no")
     given = accepted(content, size, F.when(at_cut, F.col("_cut.chunk_no")))
     hidden, notice = None, F.lit(BINARY_PLACEHOLDER.encode())

@@ -192,26 +192,24 @@ def document(
     )
 
 
-def _document_keys(fragments: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(section, order_key, bytes)`` of the document's fragments, bytes as recorded.
+def _listed_keys(entries: DataFrame) -> DataFrame:
+    """``(section, order_key, bytes)`` of the fragments of entries, bytes as recorded.
 
     Derived from the entries alone, so no content is read for them.
     """
     path, size = F.col("path"), F.col("size")
-    frame = fragments.where(~F.col("section").isin(STRUCTURE, CONTENT))
     line = F.struct(F.lit(STRUCTURE).alias("section"), F.octet_length(path).cast("long").alias("b"))
     body = F.struct(F.lit(CONTENT).alias("section"), (F.octet_length(path) + size).alias("b"))
     lines = F.when(F.col("is_directory"), F.array(line)).otherwise(F.array(line, body))
-    return (
-        entries.select(order_key(path).alias("order_key"), F.explode(lines).alias("line"))
-        .select("line.section", "order_key", F.col("line.b").alias("bytes"))
-        .unionByName(frame.select("section", "order_key", F.lit(0).cast("long").alias("bytes")))
-    )
+    return entries.select(
+        order_key(path).alias("order_key"), F.explode(lines).alias("line")
+    ).select("line.section", "order_key", F.col("line.b").alias("bytes"))
 
 
 def with_document_position(fragments: DataFrame, entries: DataFrame) -> DataFrame:
     """Whole-file fragments with their place in the document as ``position``."""
-    keys = _document_keys(fragments, entries).drop("bytes")
+    frame = fragments.where(~F.col("section").isin(STRUCTURE, CONTENT))
+    keys = _listed_keys(entries).drop("bytes").unionByName(frame.select("section", "order_key"))
     places = with_position(keys, ["section", "order_key"])
     return fragments.join(places, ["section", "order_key"])
 
@@ -226,7 +224,13 @@ def in_order(
     """
     if entries is None:
         return fragments.orderBy(*FRAGMENT_ORDER)
-    keys = ordered_table(_document_keys(fragments, entries), ["section", "order_key"])
+    frame = entries.sparkSession.range(TAIL + 1).select(
+        F.col("id").cast("int").alias("section"),
+        F.lit("").alias("order_key"),
+        F.lit(0).cast("long").alias("bytes"),
+    )
+    listed = _listed_keys(entries).unionByName(frame)
+    keys = ordered_table(listed, ["section", "order_key"])
     sized = with_offsets(keys, "section", "bytes")
     step = part_size(keys, "bytes", part_bytes)
     key = F.concat(F.col("section").cast("string"), F.col("order_key"))
@@ -321,10 +325,12 @@ def json_files(processed: DataFrame) -> DataFrame:
     return processed.withColumn("json", F.to_json(record))
 
 
-def json_document(processed: DataFrame) -> DataFrame:
+def json_document(entries: DataFrame, processed: DataFrame) -> DataFrame:
     """The fragments of the one JSON document ``{"files": [...]}``, unsorted."""
     keyed = json_files(processed).select(order_key(F.col("path")).alias("order_key"), "json")
-    first = processed.select(F.min(order_key(F.col("path"))).alias("k")).scalar()
+    # From the narrow entries, so that contents are not read to find the first file.
+    keys = entries.where("not is_directory").select(order_key(F.col("path")).alias("k"))
+    first = keys.select(F.min("k")).scalar()
     comma = F.when(F.col("order_key") == first, F.lit("")).otherwise(F.lit(","))
     body = keyed.select(
         F.lit(CONTENT).alias("section"),

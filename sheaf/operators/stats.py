@@ -10,30 +10,32 @@ from sheaf.functions.paths import level
 from sheaf.operators.contents import EXCLUDED, TOO_LARGE, UNREADABLE
 
 
-def run_columns() -> list[Column]:
-    """The counters, over rows of one file each."""
+def run_columns(blocked: bool = False) -> list[Column]:
+    """The counters. A file in blocks counts at its first, which every file has."""
+    file = F.col("block_no") == 0 if blocked else F.lit(True)
 
-    def rows(*statuses: str) -> Column:
-        return F.count_if(F.col("status").isin(*statuses))
+    def files(*statuses: str) -> Column:
+        return F.count_if(file & F.col("status").isin(*statuses))
 
     return [
-        F.count(F.lit(1)).alias("total_files"),
-        (F.count(F.lit(1)) - rows(EXCLUDED)).alias("processed_files"),
-        rows(EXCLUDED, TOO_LARGE).alias("skipped_files"),
+        F.count_if(file).alias("total_files"),
+        (F.count_if(file) - files(EXCLUDED)).alias("processed_files"),
+        files(EXCLUDED, TOO_LARGE).alias("skipped_files"),
         F.coalesce(F.sum("input_bytes"), F.lit(0)).alias("processed_bytes"),
         F.coalesce(F.sum("body_bytes"), F.lit(0)).alias("filtered_bytes"),
     ]
 
 
 def run_stats(processed: DataFrame) -> DataFrame:
-    """One row of counters over processed whole-file rows."""
-    return processed.agg(*run_columns())
+    """One row of counters over processed rows, of whole files or of blocks."""
+    return processed.agg(*run_columns("block_no" in processed.columns))
 
 
 def observed(processed: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
     """The same counters, collected while another action (the sink) runs."""
     observation = Observation(name)
-    return processed.observe(observation, *run_columns()), observation
+    counters = run_columns("block_no" in processed.columns)
+    return processed.observe(observation, *counters), observation
 
 
 def progress_by_file(processed: DataFrame) -> DataFrame:

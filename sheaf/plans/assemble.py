@@ -4,6 +4,7 @@ diagnostics. Every part is a lazy DataFrame; only sinks and the tree listing act
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,6 @@ from sheaf.functions.content import (
     ContentRule,
     link_placeholder,
 )
-from sheaf.functions.paths import level
 from sheaf.operators import contents, filters, links, render, stats
 from sheaf.operators.skew import lookup_join
 from sheaf.plans.plugins import FilterPlugin, chunk_rules, chunk_transforms, path_predicates
@@ -58,23 +58,27 @@ class Options:
 class Run:
     entries: DataFrame  # kept entries, directories included
     processed: DataFrame  # per file or block: status, accepted bytes, body
-    fragments: DataFrame  # the document, unsorted
     diagnostics: DataFrame
+    options: Options
 
-    def write(self, path: str) -> None:
-        """Write the document; see ``write_document``."""
-        write_document(self.fragments, path, self.entries)
+    @property
+    def fragments(self) -> DataFrame:
+        """The document, unsorted."""
+        return _fragments(self.entries, self.processed, self.options)
 
     def stats(self) -> DataFrame:
         """One row of counters."""
-        rows = self.processed
-        if "block_no" in rows.columns:
-            rows = rows.groupBy("path").agg(
-                F.max("status").alias("status"),
-                F.sum("input_bytes").alias("input_bytes"),
-                F.sum("body_bytes").alias("body_bytes"),
-            )
-        return stats.run_stats(rows)
+        return stats.run_stats(self.processed)
+
+    def write(self, path: str) -> dict:
+        """Write the document, see ``write_document``, and report on the run.
+
+        The counters come from the same pass over the contents that writes them.
+        """
+        started = time.monotonic()
+        watched, report = stats.observed(self.processed)
+        write_document(_fragments(self.entries, watched, self.options), path, self.entries)
+        return report.get | {"seconds": time.monotonic() - started}
 
 
 def select_by_row(entries: DataFrame, options: Options) -> DataFrame:
@@ -106,7 +110,7 @@ def _fragments(entries: DataFrame, processed: DataFrame, options: Options) -> Da
     if options.format == "json":
         if "block_no" in processed.columns:
             processed = join_blocks(processed)
-        return render.json_document(processed)
+        return render.json_document(entries, processed)
     formatter = render.formatter_named(options.format)
     return render.document(entries, processed, formatter, options.show_size)
 
@@ -148,7 +152,7 @@ def assemble_tables(
         **content_settings(options),
     )
     found = found.unionByName(stats.content_diagnostics(processed, options.max_file_bytes))
-    return Run(kept, processed, _fragments(kept, processed, options), found)
+    return Run(kept, processed, found, options)
 
 
 def assemble_corpus(files: DataFrame, options: Options | None = None) -> Run:
@@ -186,7 +190,7 @@ def assemble_corpus(files: DataFrame, options: Options | None = None) -> Run:
     found = stats.listing_diagnostics(entries, options.max_depth).unionByName(
         stats.content_diagnostics(processed, options.max_file_bytes)
     )
-    return Run(kept, processed, _fragments(kept, processed, options), found)
+    return Run(kept, processed, found, options)
 
 
 def _followed_contents(
@@ -220,23 +224,39 @@ def assemble_tree(
         max_depth=options.max_depth,
     )
     kept = select_entries(listed, options)
-    readable = kept
-    if options.symlinks == "placeholder":
-        readable = links.skip_links(kept)
-    blocks = filetree.read_blocks(readable, root, options.block_bytes, options.max_file_bytes)
-    processed = process_tree_blocks(blocks, options)
+    readable = links.skip_links(kept) if options.symlinks == "placeholder" else kept
+    processed = _tree_contents(readable, root, options)
     if options.symlinks == "placeholder":
         processed = processed.unionByName(_placeholders(kept, content_settings(options)["written"]))
-    errors = blocks.where("code is not null").select("path", "code", "message")
-    return Run(
-        kept, processed, _fragments(kept, processed, options), found.unionByName(errors)
-    )
+    unread = filetree.read_diagnostics(readable, options.max_file_bytes)
+    return Run(kept, processed, found.unionByName(unread), options)
+
+
+def _tree_contents(entries: DataFrame, root: str, options: Options) -> DataFrame:
+    """Files of one block are processed where they are read; only those of several blocks, if
+    there are any, need to know of each other's blocks."""
+    sized = filetree.with_blocks(entries.where("not is_directory"), options.block_bytes)
+    several = sized.where((F.col("blocks") > 1) & (F.col("size") <= options.max_file_bytes))
+    if several.isEmpty():
+        return process_tree_blocks(_blocks(entries, root, options), options, one_block=True)
+    rest = sized.where((F.col("blocks") == 1) | (F.col("size") > options.max_file_bytes))
+    single = process_tree_blocks(_blocks(rest, root, options), options, one_block=True)
+    return single.unionByName(process_tree_blocks(_blocks(several, root, options), options))
 
 
-def process_tree_blocks(blocks: DataFrame, options: Options) -> DataFrame:
-    good = contents.process_blocks(blocks.where("code is null"), **content_settings(options))
+def _blocks(files: DataFrame, root: str, options: Options) -> DataFrame:
+    return filetree.read_blocks(files, root, options.block_bytes, options.max_file_bytes)
+
+
+def process_tree_blocks(
+    blocks: DataFrame, options: Options, one_block: bool = False
+) -> DataFrame:
+    good = contents.process_blocks(
+        blocks.where("code is null"), one_block=one_block, **content_settings(options)
+    )
     columns = ["path", "size", "block_no", "blocks", "status", "input_bytes", "body", "body_bytes"]
-    bad = blocks.where("code is not null").select(
+    # A file that cannot be opened is one row, whatever the number of its blocks.
+    bad = blocks.where("code is not null and block_no = 0").select(
         "path",
         "size",
         "block_no",
@@ -263,7 +283,3 @@ def _placeholders(kept: DataFrame, written: ChunkFunction | None) -> DataFrame:
         (written(notice) if written else notice).alias("body"),
         F.octet_length(notice).cast("long").alias("body_bytes"),
     )
-
-
-def with_level(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("level", level(F.col("path")))

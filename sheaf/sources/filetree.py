@@ -14,6 +14,7 @@ import stat
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ BLOCK_BYTES = 16 << 20
 # Entries a task lists before it hands the rest of its work back to be spread anew.
 TASK_ENTRIES = 20_000
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
 
 _ROWS = T.StructType(
     [
@@ -53,6 +55,7 @@ _ROWS = T.StructType(
         T.StructField("link_target", T.StringType()),
         T.StructField("device", T.StringType()),
         T.StructField("inode", T.StringType()),
+        T.StructField("read_error", T.StringType()),  # why the content cannot be opened
         T.StructField("code", T.StringType()),
         T.StructField("message", T.StringType()),
     ]
@@ -70,12 +73,13 @@ def _warn(path: str, code: str, message: str) -> dict:
     return _BLANK | {"kind": "diagnostic", "path": path, "code": code, "message": message}
 
 
-def _sniff(full: str) -> bool:
+def _sniff(full: str) -> tuple[bool, str | None]:
+    """Whether the file is binary, or why it cannot be opened."""
     try:
         with open(full, "rb") as file:
-            return b"\x00" in file.read(BINARY_FLAG_WINDOW)
-    except OSError:
-        return False
+            return b"\x00" in file.read(BINARY_FLAG_WINDOW), None
+    except OSError as error:
+        return False, _code(error)
 
 
 def _lister(follow: bool, exclude: Sequence[str], max_depth: int, budget: int):
@@ -95,7 +99,7 @@ def _lister(follow: bool, exclude: Sequence[str], max_depth: int, budget: int):
         rows = []
         is_link = stat.S_ISLNK(info.st_mode)
         is_dir, size, read_size = stat.S_ISDIR(info.st_mode), info.st_size, info.st_size
-        target = down = None
+        target = down = read_error = None
         if is_link:
             target = os.readlink(full)
             try:
@@ -104,12 +108,15 @@ def _lister(follow: bool, exclude: Sequence[str], max_depth: int, budget: int):
                 if follow:
                     is_dir, size = stat.S_ISDIR(seen.st_mode), seen.st_size
                     down = os.path.realpath(full)
-            except OSError:
-                read_size = 0
+            except OSError as error:
+                read_size, read_error = 0, _code(error)
                 if follow:
                     rows.append(_warn(path, "unresolvable_link", f"Cannot resolve symlink: {path}"))
         if hidden(path) or hidden(name) or (is_dir and inside(path)):
             return [], None
+        is_binary = False
+        if stat.S_ISREG(info.st_mode):
+            is_binary, read_error = _sniff(full)
         rows.append(
             _BLANK
             | {
@@ -122,11 +129,12 @@ def _lister(follow: bool, exclude: Sequence[str], max_depth: int, budget: int):
                 "modified_time": int(info.st_mtime),
                 "is_directory": is_dir,
                 "is_symlink": is_link,
-                "is_binary": stat.S_ISREG(info.st_mode) and _sniff(full),
+                "is_binary": is_binary,
                 "permissions": info.st_mode,
                 "link_target": target,
                 "device": str(info.st_dev),
                 "inode": str(info.st_ino),
+                "read_error": read_error,
             }
         )
         return rows, (down or full) if is_dir else None
@@ -242,6 +250,7 @@ def read_tree(
         "device",
         "inode",
         "read_size",
+        "read_error",
     )
     return entries, found.where("kind = 'diagnostic'").select("path", "code", "message")
 
@@ -254,29 +263,40 @@ _BLOCKS = T.StructType(
         T.StructField("blocks", T.IntegerType()),
         T.StructField("content", T.BinaryType()),
         T.StructField("code", T.StringType()),
-        T.StructField("message", T.StringType()),
+    ]
+)
+_ARROW_BLOCKS = pa.schema(
+    [
+        ("path", pa.string()),
+        ("size", pa.int64()),
+        ("block_no", pa.int32()),
+        ("blocks", pa.int32()),
+        ("content", pa.binary()),
+        ("code", pa.string()),
     ]
 )
 
 
-def plan_blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block to read; a block holds whole chunks, an empty file has one block."""
+def with_blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Add ``block_bytes`` and the number of ``blocks``; a block holds whole chunks, an empty
+    file has one block."""
     step = chunk_bytes(F.col("size")).cast("long")
     whole = step * F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / step))
-    return (
-        files.withColumn("block_bytes", whole)
-        .withColumn(
-            "blocks",
-            F.greatest(F.lit(1), F.ceil(F.col("read_size") / F.col("block_bytes"))).cast("int"),
-        )
-        .select(
-            "path",
-            "size",
-            "blocks",
-            "block_bytes",
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_no"),
-        )
-    )
+    count = F.greatest(F.lit(1), F.ceil(F.col("read_size") / F.col("block_bytes")))
+    return files.withColumn("block_bytes", whole).withColumn("blocks", count.cast("int"))
+
+
+def _read(base: str, row: dict) -> dict:
+    content = code = None
+    try:
+        with open(f"{base}/{row['path']}", "rb") as file:
+            file.seek(row["block_no"] * row["block_bytes"])
+            content = file.read(row["block_bytes"])
+    except IsADirectoryError:
+        content = b""  # a link to a directory opens but yields nothing
+    except OSError as error:
+        code = _code(error)
+    return row | {"content": content, "code": code}
 
 
 def read_blocks(
@@ -286,35 +306,34 @@ def read_blocks(
     max_file_bytes: int = MAX_FILE_BYTES,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """The bytes of the files in ``entries``, as rows ``(path, size, block_no, blocks, content)``.
+    """The bytes of the files in ``entries``: ``(path, size, block_no, blocks, content, code)``.
 
-    A file that cannot be opened is one row with ``code`` and ``message`` and no content, a file
-    over the size limit likewise, unread. Reads are spread by block, so size skew does not matter.
+    A block that cannot be read has a ``code`` and no content; a file over the size limit is one
+    such row, unread. Reads are spread by block, so neither file sizes nor directories skew them.
     """
     base = os.path.abspath(root)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        held = 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                content = code = message = None
-                try:
-                    with open(f"{base}/{row.path}", "rb") as file:
-                        file.seek(row.block_no * row.block_bytes)
-                        content = file.read(row.block_bytes)
-                except IsADirectoryError:
-                    content = b""  # a link to a directory opens but yields nothing
-                except OSError as error:
-                    code, message = _code(error), f"Cannot open file: {row.path}"
-                if code is None or row.block_no == 0:
-                    yield pd.DataFrame(
-                        [[row.path, row.size, row.block_no, row.blocks, content, code, message]],
-                        columns=_BLOCKS.names,
-                    )
-
-    files = entries.where(~F.col("is_directory"))
-    fits = files.where(F.col("size") <= max_file_bytes)
+            for row in batch.to_pylist():
+                rows.append(_read(base, row))
+                held += len(rows[-1]["content"] or b"")
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW_BLOCKS)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW_BLOCKS)
+
+    files = with_blocks(entries.where(~F.col("is_directory")), block_bytes)
     slots = parallelism or entries.sparkSession.sparkContext.defaultParallelism * 4
-    read = plan_blocks(fits, block_bytes).repartition(slots, "path", "block_no")
+    plan = (
+        files.where(F.col("size") <= max_file_bytes)
+        .withColumn("block_no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("path", "size", "blocks", "block_bytes", "block_no")
+        .repartition(slots, "path", "block_no")
+    )
     large = files.where(F.col("size") > max_file_bytes).select(
         "path",
         "size",
@@ -322,11 +341,23 @@ def read_blocks(
         F.lit(1).alias("blocks"),
         F.lit(None).cast("binary").alias("content"),
         F.lit(TOO_LARGE).alias("code"),
-        F.format_string(
-            "File too large, skipping (limit %d bytes): %s (%d bytes)",
-            F.lit(max_file_bytes),
-            "path",
-            "size",
-        ).alias("message"),
     )
-    return read.mapInPandas(work, _BLOCKS).unionByName(large)
+    return plan.mapInArrow(work, _BLOCKS).unionByName(large)
+
+
+def read_diagnostics(entries: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``(path, code, message)`` for files whose content stays out, as the listing found them."""
+    large = F.col("size") > max_file_bytes
+    cap = F.format_string(
+        "File too large, skipping (limit %d bytes): %s (%d bytes)",
+        F.lit(max_file_bytes),
+        "path",
+        "size",
+    )
+    return entries.where(~F.col("is_directory") & (large | F.col("read_error").isNotNull())).select(
+        "path",
+        F.when(large, F.lit(TOO_LARGE)).otherwise(F.col("read_error")).alias("code"),
+        F.when(large, cap)
+        .otherwise(F.concat(F.lit("Cannot open file: "), "path"))
+        .alias("message"),
+    )

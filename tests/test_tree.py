@@ -334,6 +334,30 @@ def test_other_sinks_and_run_report(spark, tmp_path):
     assert report.get["processed_files"] == 2 and report.get["processed_bytes"] == 3
 
 
+@pytest.mark.parametrize("block", [16384, 1 << 20])
+def test_the_written_document_comes_with_its_report(spark, tmp_path, block):
+    root = make(tmp_path / "t", NULS | {"big": "x" * 200000, "d/e": "y"})
+    run = assemble_tree(spark, root, Options(block_bytes=block, max_file_bytes=100000))
+    report = run.write(str(tmp_path / "out"))
+    assert report.pop("seconds") > 0
+    assert report == run.stats().first().asDict()
+    flags = [cut(data)[1] for data in NULS.values()]
+    assert report["total_files"] == len(NULS) + 2
+    assert report["skipped_files"] == sum(flags) + 1
+    text = b"".join(open(p, "rb").read() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text.count(b"// File: ") == len(NULS) + 2
+
+
+def test_many_cut_files_are_joined_instead_of_broadcast(spark, tmp_path, monkeypatch):
+    from sheaf.operators import skew
+
+    root = make(tmp_path / "t", NULS)
+    options = Options(block_bytes=16384)
+    usual = text_of(spark, assemble_tree(spark, root, options), tmp_path / "a")
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    assert text_of(spark, assemble_tree(spark, root, options), tmp_path / "b") == usual
+
+
 def test_unknown_options_raise():
     for wrong in ({"format": "xml"}, {"symlinks": "maybe"}, {"binary": "no"}):
         with pytest.raises(ValueError):
