@@ -25,14 +25,14 @@ PART_BYTES = 256 << 20
 MAX_PARTS = 30_000
 
 
-def ordered_table(keys: DataFrame, order: Sequence[str]) -> DataFrame:
+def ordered_table(keys: DataFrame, order: Sequence[str], costly: bool = False) -> DataFrame:
     """Narrow ``keys`` in ranges of ``order`` (unique), as a written table.
 
-    The keys are written before they are partitioned too, because finding the ranges samples its
-    input: what they are derived from, often all contents, is read once.
+    Finding the ranges reads ``keys`` once more; if they are ``costly``, derived from contents,
+    they are written first.
     """
     tagged = (
-        written(keys, "keys")
+        (written(keys, "keys") if costly else keys)
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
@@ -60,39 +60,40 @@ def with_position(keys: DataFrame, order: Sequence[str], name: str = "position")
     )
 
 
-def with_offsets(table: DataFrame, group: str, weight: str) -> DataFrame:
-    """Add what comes before each row of an ordered table whose order begins with ``group``:
-    ``total`` of ``weight`` over all rows, and ``offset`` over the rows of its group only.
+def with_total(table: DataFrame, weight: str) -> DataFrame:
+    """Add to an ordered table the sum of ``weight`` over all rows before each as ``total``."""
+    ranges = table.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(_before("_range")), F.lit(0))
+    carry = ranges.select("_range", earlier.alias("_carry"))
+    running = F.coalesce(F.sum(weight).over(_before("_index", "_range")), F.lit(0))
+    return (
+        table.withColumn("_running", running)
+        .join(F.broadcast(carry), "_range")
+        .withColumn("total", (F.col("_running") + F.col("_carry")).cast("long"))
+        .drop("_running", "_carry")
+    )
+
+
+def with_offset(table: DataFrame, group: str, weight: str) -> DataFrame:
+    """Add to a table ordered by ``group`` first the same over the rows of its group only, as
+    ``offset``.
 
     A group of any size is spread over ranges. Only a group that goes on from an earlier range
     needs a carry, and a range has at most one such group.
     """
-    columns = [c for c in table.columns if c not in ("_range", "_index")]
     sums = table.groupBy("_range", group).agg(F.sum(weight).alias("_sum"))
-    ranges = sums.groupBy("_range").agg(F.sum("_sum").alias("_sum"))
-    earlier = F.coalesce(F.sum("_sum").over(_before("_range")), F.lit(0))
-    range_carry = ranges.select("_range", earlier.alias("_range_carry"))
-    group_carry = (
-        sums.withColumn("_group_carry", F.sum("_sum").over(_before("_range", group)))
-        .where(F.col("_group_carry").isNotNull())
-        .select("_range", group, "_group_carry")
-    )
-
-    def running(*within: str) -> Column:
-        return F.coalesce(F.sum(weight).over(_before("_index", *within)), F.lit(0))
-
-    # The window over whole ranges first: its partitioning serves the other one too.
-    local = table.withColumn("_in_range", running("_range")).withColumn(
-        "_in_group", running("_range", group)
+    carry = (
+        sums.withColumn("_carry", F.sum("_sum").over(_before("_range", group)))
+        .where(F.col("_carry").isNotNull())
+        .select("_range", group, "_carry")
     )
+    running = F.coalesce(F.sum(weight).over(_before("_index", "_range", group)), F.lit(0))
+    offset = F.col("_running") + F.coalesce("_carry", F.lit(0))
     return (
-        local.join(F.broadcast(range_carry), "_range")
-        .join(F.broadcast(group_carry), ["_range", group], "left")
-        .select(
-            *columns,
-            (F.col("_in_range") + F.col("_range_carry")).cast("long").alias("total"),
-            (F.col("_in_group") + F.coalesce("_group_carry", F.lit(0))).cast("long").alias("offset"),
-        )
+        table.withColumn("_running", running)
+        .join(F.broadcast(carry), ["_range", group], "left")
+        .withColumn("offset", offset.cast("long"))
+        .drop("_running", "_carry")
     )
 
 

@@ -18,8 +18,9 @@ from sheaf.operators.ordering import (
     ordered_table,
     part_size,
     route,
-    with_offsets,
+    with_offset,
     with_position,
+    with_total,
 )
 
 FRAGMENT_ORDER = ["section", "order_key", "block_no"]
@@ -231,7 +232,7 @@ def in_order(
     )
     listed = _listed_keys(entries).unionByName(frame)
     keys = ordered_table(listed, ["section", "order_key"])
-    sized = with_offsets(keys, "section", "bytes")
+    sized = with_total(keys, "bytes")
     step = part_size(keys, "bytes", part_bytes)
     key = F.concat(F.col("section").cast("string"), F.col("order_key"))
     firsts = sized.groupBy(F.floor(F.col("total") / step)).agg(F.min(key).alias("key"))
@@ -262,8 +263,9 @@ def bundles(
     narrow = files.select(
         F.col(group).cast("string").alias("_group"), order_key(path).alias("order_key"), "size"
     )
-    keys = ordered_table(narrow, ["_group", "order_key"])
-    sized = with_offsets(keys, "_group", "size").withColumn(
+    keys = ordered_table(narrow, ["_group", "order_key"], costly=True)
+    # The total first: its partitioning serves the offset too.
+    sized = with_offset(with_total(keys, "size"), "_group", "size").withColumn(
         "volume", F.floor(F.col("offset") / volume_bytes)
     )
     key = F.concat(F.col("_group"), F.lit(LOWEST), F.col("order_key"))
