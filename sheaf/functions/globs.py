@@ -177,7 +177,7 @@ def whole_regex(patterns: Sequence[str]) -> str:
 
 
 def path_or_name_regex(patterns: Sequence[str], omittable: str = "") -> str:
-    """Finds paths that match as a whole, by their last name, or without the prefix ``omittable``."""
+    """Finds paths that match as a whole, by last name, or without the prefix ``omittable``."""
     prefix = f"(?:{omittable})?" if omittable else ""
     return (
         rf"(?s)(?:\A{prefix}{_any(patterns)}|{_NAME_START}{_any(patterns, name=True)})\z"

@@ -201,7 +201,7 @@ def _descend(
 def contents_through_links(
     kept: DataFrame, entries: DataFrame, contents: DataFrame
 ) -> DataFrame:
-    """The files in ``kept`` with ``content``, a link with its target's; NULL where it leads nowhere.
+    """The files in ``kept`` with ``content``, a link with its target's; NULL if it leads nowhere.
 
     Links resolve against all ``entries``. ``size`` stays the entry's own, for a link the length
     of its target's name. Only links are looked up, so regular files meet their own content in one

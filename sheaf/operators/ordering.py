@@ -74,9 +74,9 @@ def with_total(table: DataFrame, weight: str) -> DataFrame:
     )
 
 
-def with_offset(table: DataFrame, group: str, weight: str) -> DataFrame:
-    """Add to a table ordered by ``group`` first the same over the rows of its group only, as
-    ``offset``.
+def with_offset(table: DataFrame, totalled: DataFrame, group: str, weight: str) -> DataFrame:
+    """Add to ``totalled``, made of a ``table`` ordered by ``group`` first, the same over the rows
+    of its group only, as ``offset``. The partitioning of the one serves the other.
 
     A group of any size is spread over ranges. Only a group that goes on from an earlier range
     needs a carry, and a range has at most one such group.
@@ -90,7 +90,7 @@ def with_offset(table: DataFrame, group: str, weight: str) -> DataFrame:
     running = F.coalesce(F.sum(weight).over(_before("_index", "_range", group)), F.lit(0))
     offset = F.col("_running") + F.coalesce("_carry", F.lit(0))
     return (
-        table.withColumn("_running", running)
+        totalled.withColumn("_running", running)
         .join(F.broadcast(carry), ["_range", group], "left")
         .withColumn("offset", offset.cast("long"))
         .drop("_running", "_carry")

@@ -264,8 +264,8 @@ def bundles(
         F.col(group).cast("string").alias("_group"), order_key(path).alias("order_key"), "size"
     )
     keys = ordered_table(narrow, ["_group", "order_key"], costly=True)
-    # The total first: its partitioning serves the offset too.
-    sized = with_offset(with_total(keys, "size"), "_group", "size").withColumn(
+    totalled = with_total(keys, "size")
+    sized = with_offset(keys, totalled, "_group", "size").withColumn(
         "volume", F.floor(F.col("offset") / volume_bytes)
     )
     key = F.concat(F.col("_group"), F.lit(LOWEST), F.col("order_key"))

@@ -54,7 +54,9 @@ def listing_diagnostics(
     )
     message = F.when(
         F.col("code") == "path_too_long", F.concat(F.lit("Path too long, skipping: "), "path")
-    ).otherwise(F.format_string("Maximum directory depth (%d) exceeded: %s", F.lit(max_depth), "path"))
+    ).otherwise(
+        F.format_string("Maximum directory depth (%d) exceeded: %s", F.lit(max_depth), "path")
+    )
     return (
         entries.withColumn("code", code)
         .where("code is not null")

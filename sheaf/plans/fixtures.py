@@ -101,9 +101,9 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.lpad(F.col("turn").cast("string"), 4, "0")
     return table(spark, sf_dir, "conversations").select(
         "conv_id",
-        F.concat(
-            F.lit("conv_"), F.col("conv_id"), F.lit("/"), turn, F.lit("_"), F.col("role"), F.lit(".txt")
-        ).alias("path"),
+        F.concat(F.lit("conv_"), "conv_id", F.lit("/"), turn, F.lit("_"), "role", F.lit(".txt")).alias(
+            "path"
+        ),
         F.col("text").cast("binary").alias("content"),
         F.octet_length("text").cast("long").alias("size"),
         F.lit(False).alias("is_directory"),

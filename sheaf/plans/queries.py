@@ -15,6 +15,7 @@ from sheaf.operators.ordering import with_position
 from sheaf.plans import fixtures, plugins
 from sheaf.plans.assemble import Options, assemble_corpus, assemble_tables
 from sheaf.session import written
+from sheaf.sources import filetree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,6 +161,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "chunk_no", "offset", *digest(F.col("content")))
 
 
+@query
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder of the given tables as a tree, each table file read whole in blocks.
+
+    Without SQL: DuckDB is not told where the tables lie.
+    """
+    entries, _ = filetree.read_tree(spark, sf_dir)
+    read = filetree.read_blocks(entries, sf_dir, block_bytes=1 << 20)
+    taken = read.groupBy("path").agg(
+        F.count(F.lit(1)).alias("blocks"),
+        F.sum(F.octet_length("content").cast("long")).alias("bytes"),
+    )
+    shown = entries.select("path", "size", "is_directory", "is_binary", "level")
+    return shown.join(taken, "path", "left")
+
+
 # Filters
 
 
@@ -217,7 +234,8 @@ def symlink_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     processed = contents.process_files(kept_files(spark, sf_dir), max_file_bytes=SMALL_CAP)
-    return processed.select("path", "size", "status", *digest(render.file_text(render.TextFormatter())))
+    text = render.file_text(render.TextFormatter())
+    return processed.select("path", "size", "status", *digest(text))
 
 
 @query
@@ -426,7 +444,8 @@ def bundle_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def symlink_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     followed = links.follow_links(written(fixtures.link_tree(spark, sf_dir), "entries"))
-    return followed.select("path", "is_directory", "is_symlink", "size", P.level(F.col("path")).alias("level"))
+    depth = P.level(F.col("path")).alias("level")
+    return followed.select("path", "is_directory", "is_symlink", "size", depth)
 
 
 @query

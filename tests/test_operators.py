@@ -82,7 +82,8 @@ def test_positions_and_offsets_with_a_hot_group(spark):
         path: n + 1 for n, path in enumerate(sorted(r[1] for r in rows))
     }
     ranged = ordering.ordered_table(table.select("grp", "path", "size"), ["grp", "path"])
-    sized = ordering.with_offset(ordering.with_total(ranged, "size"), "grp", "size")
+    totalled = ordering.with_total(ranged, "size")
+    sized = ordering.with_offset(ranged, totalled, "grp", "size")
     expected, total, seen = {}, 0, {}
     for group, path, _, size, _ in sorted(rows):
         expected[path] = (total, seen.get(group, 0))
