@@ -60,9 +60,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
     sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     # How the order is cut into ranges changes no result, only the spread over tasks.
     per_range = max(RANGE_ROWS, rows.count() // MOST_RANGES)
-    wanted = targets(sizes, weights, cap)
+    # Written, so that its true size decides how it is joined; the ranges are dealt after the join.
+    wanted = written(targets(sizes, weights, cap), "mix-targets")
     place = F.floor(F.col("key") / F.lit(float(1 << 60)) * F.ceil(F.col("source_rows") / per_range))
-    ranged = rows.join(wanted, "source_key").withColumn("range", place)
+    ranged = rows.join(wanted, "source_key").withColumn("range", place).repartition("source_key", "range")
     sums = ranged.groupBy("source_key", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source_key", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))

@@ -1,12 +1,14 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import mixing
+from sheaf.llm import lines, mixing
 
 QUERIES = {
+    "op1_line_dedup": lines.query,
     "op7_mix_sources": mixing.query,
 }
 
 #: Where SQL can express the whole result on whole tables; the others are tested by brute force.
 ORACLES = {
+    "op1_line_dedup": lines.SQL,
     "op7_mix_sources": mixing.SQL,
 }
