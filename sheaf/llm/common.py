@@ -101,3 +101,54 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         before = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of words: anything but ASCII white space, or letters, digits and what is not ASCII.
+WORD_BYTES = ~np.isin(np.arange(256), list(SPACE))
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.full(n, _STEP)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, of: np.ndarray = WORD_BYTES, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lower-cased, and the number of words in each value.
+
+    ``data`` holds the values' bytes end to end, ``bounds`` where each begins and the last one
+    ends; ``of`` marks the bytes of words. Works through ``block`` bytes at a time, so that memory
+    beyond the result does not grow with a value (one word longer than a block is taken whole).
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    hashes, begins = [], []
+    start = 0
+    while start < len(data):
+        end = min(start + block, len(data))
+        while end < len(data) and of[data[end]] and of[data[end - 1]] and not cut[end]:
+            near = np.flatnonzero(~of[data[end : end + 4096]] | cut[end : end + 4096][: len(data[end : end + 4096])])
+            end = end + int(near[0]) if len(near) else min(end + 4096, len(data))
+        part = _LOWER[data[start:end]]
+        inside = of[part]
+        first = inside & ~np.concatenate([[False], inside[:-1]]) | inside & cut[start:end]
+        index = np.flatnonzero(inside)
+        if len(index):
+            begin = np.flatnonzero(first)
+            at = np.flatnonzero(first[index])  # positions of the begins among the word bytes
+            length = np.diff(np.append(at, len(index)))
+            place = np.arange(len(index)) - np.repeat(at, length)
+            with np.errstate(over="ignore"):
+                terms = _BYTES[part[index]] * _powers(int(length.max()))[place]
+                hashes.append(mixed(np.add.reduceat(terms, at) + length.astype(np.uint64)))
+            begins.append(begin + start)
+        start = end
+    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    where = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    return words, np.diff(np.searchsorted(where, bounds))

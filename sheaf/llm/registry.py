@@ -1,14 +1,17 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import lines, mixing
+from sheaf.llm import lines, mixing, search, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.query,
+    "op5_topk": search.query,
     "op7_mix_sources": mixing.query,
+    "op10_toxicity": toxicity.query,
 }
 
 #: Where SQL can express the whole result on whole tables; the others are tested by brute force.
 ORACLES = {
     "op1_line_dedup": lines.SQL,
+    "op5_topk": search.SQL,
     "op7_mix_sources": mixing.SQL,
 }
