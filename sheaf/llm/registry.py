@@ -1,9 +1,10 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import lines, mixing, search, toxicity
+from sheaf.llm import lines, mixing, search, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.query,
+    "op3_embedding_dedup": vectors.query,
     "op5_topk": search.query,
     "op7_mix_sources": mixing.query,
     "op10_toxicity": toxicity.query,
