@@ -1,12 +1,13 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import lines, mixing, search, toxicity, vectors
+from sheaf.llm import lines, mixing, packing, search, toxicity, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.query,
     "op3_embedding_dedup": vectors.query,
     "op5_topk": search.query,
     "op7_mix_sources": mixing.query,
+    "op9_packing": packing.query,
     "op10_toxicity": toxicity.query,
 }
 
