@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import lines, mixing, packing, search, toxicity, urls, vectors
+from sheaf.llm import jaccard, lines, mixing, packing, search, toxicity, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_url_filter": urls.query,
     "op5_topk": search.query,
     "op7_mix_sources": mixing.query,
+    "op8_jaccard_join": jaccard.query,
     "op9_packing": packing.query,
     "op10_toxicity": toxicity.query,
 }
