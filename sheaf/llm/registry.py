@@ -1,12 +1,13 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import jaccard, lines, mixing, packing, search, toxicity, urls, vectors
+from sheaf.llm import jaccard, lines, mixing, packing, pii, search, toxicity, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.query,
     "op3_embedding_dedup": vectors.query,
     "op4_url_filter": urls.query,
     "op5_topk": search.query,
+    "op6_pii": pii.query,
     "op7_mix_sources": mixing.query,
     "op8_jaccard_join": jaccard.query,
     "op9_packing": packing.query,
