@@ -152,3 +152,31 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, of: np.ndarray = WORD_BYTE
     words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     where = np.concatenate(begins) if begins else np.zeros(0, np.int64)
     return words, np.diff(np.searchsorted(where, bounds))
+
+
+def texts_with_keys(docs: DataFrame) -> DataFrame:
+    """(key, doc, text) of every row; rows alike in id and text have the same key."""
+    doc, text = id_column(), text_column()
+    return docs.select(F.xxhash64(doc, text).alias("key"), doc.alias("doc"), text.alias("text"))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows whose ``key`` is perhaps in ``keys``: all that are, and few others.
+
+    Looked up in a bitmap of 2 ** bits bits (8 MB, fixed), so rows need no shuffle to be dropped.
+    """
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << bits)) + 1
+    known = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    known = written(known, "bitmap")
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_place", F.bitmap_bit_position(bit))
+    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    there = F.expr(f"shiftright({byte}, cast(_place % 8 as int)) & 1 = 1")
+    return placed.join(F.broadcast(known), "_bucket").where(there).drop("_bucket", "_place", "_bits")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has been written: they go when the driver finds them unused."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

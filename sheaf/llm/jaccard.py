@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import bytes_of, components, id_back, id_column, mixed, read, slices, text_column, word_hashes
+from sheaf.llm.common import bytes_of, components, id_back, mixed, read, slices, texts_with_keys, word_hashes
 from sheaf.session import written
 
 #: Counters of the n-grams' frequencies, and the blocks they are summed in: a fixed 16 MB.
@@ -56,12 +56,6 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], gram[new]
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """Every row with a key of its id and text: rows alike in both are one document."""
-    doc, text = id_column(), text_column()
-    return docs.select(F.xxhash64(doc, text).alias("key"), doc.alias("doc"), text.alias("text"))
-
-
 _SCAN = "block int, counts binary, key long, doc long, n int, f1 long, f2 long, sizes binary"
 
 
@@ -212,7 +206,7 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
 
     Returns (key, doc, n, component_id, component), one row per row of ``docs``: ``n`` is the size of
     the set, ``component_id`` the smallest doc_id reachable by links (100 * intersection >=
-    ``percent`` * union), ``component`` names the group. ``key`` is that of ``_documents``.
+    ``percent`` * union), ``component`` names the group. ``key`` is that of ``texts_with_keys``.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than an
     n-gram is one n-gram as a whole; null, empty and blank texts have none and link with nothing.
@@ -226,7 +220,7 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     documents are dealt over pairs of pieces.
     """
     spark = docs.sparkSession
-    texts = _documents(docs)
+    texts = texts_with_keys(docs)
     scanned = written(texts.mapInArrow(_scan(words), _SCAN), "shingle-scan")
     everything = scanned.where("key is not null").select("key", "doc", "n", "f1", "f2", "sizes")
     same = everything.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("key"), F.min("doc").alias("least"), F.first("sizes").alias("sizes"))

@@ -1,9 +1,10 @@
 """The queries of the training-data operators, and the SQL that checks them."""
 
-from sheaf.llm import jaccard, lines, mixing, packing, pii, search, toxicity, urls, vectors
+from sheaf.llm import jaccard, lines, mixing, packing, pii, search, suffixes, toxicity, urls, vectors
 
 QUERIES = {
     "op1_line_dedup": lines.query,
+    "op2_suffix_dedup": suffixes.query,
     "op3_embedding_dedup": vectors.query,
     "op4_url_filter": urls.query,
     "op5_topk": search.query,
