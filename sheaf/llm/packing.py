@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from bisect import insort
 
@@ -17,45 +19,95 @@ from sheaf.session import written
 SIZE, END = 2048, 1
 #: Pieces of one length are ranked in groups of about this many, and in at most so many groups.
 RANK_ROWS, MOST_GROUPS = 512, 100_000
-#: Words a task remembers the ids of; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Words a worker remembers the ids of (some 200 MB); beyond that it starts anew.
+REMEMBERED = 1_000_000
 
 
 class Tokens:
-    """Ids of whole texts. No token spans white space, so the ids of a text are those of its words."""
+    """Ids of whole texts. No token spans white space, so the ids of a text are those of its words.
 
-    def __init__(self, path: str | None):
-        import public_tokenizers
+    Words are remembered. New ones of letters only, but for one mark at the end, are encoded many in
+    one string: each is one stretch for the merges, which ends with an end-of-word id.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self._each([b".", b","])
+        self.marks = dict(self.known)
+
+    def _each(self, words: list[bytes]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def _together(self, words: list[bytes], step: int = 1000) -> None:
+        parts = [words[k : k + step] for k in range(0, len(words), step)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                self._each(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, ends):
+                self.known[word] = data[4 * start : 4 * end]
+                start = end
+
+    def _learn(self, words: set[bytes]) -> None:
+        cores, single, marked = set(), [], []
+        for word in words:
+            core = word[:-1] if word[-1:] in self.marks else word
+            if core.isalpha() or not core.isascii() and core.decode().isalpha():
+                if core not in self.known:
+                    cores.add(core)
+                if core is not word:
+                    marked.append((word, core, word[-1:]))
+            else:
+                single.append(word)
+        self._together(list(cores))
+        self._each(single)
+        for word, core, mark in marked:
+            self.known[word] = self.known[core] + self.marks[mark]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         out = []
         for text in texts:
-            words = text.split()  # of bytes: at ASCII white space
-            new = list(set(words).difference(self.known))
+            # Letters are lower-cased by the tokenizer, but for what may be its special tokens.
+            words = (text if b"<|" in text else text.lower()).split()
+            new = set(words).difference(self.known)
             if new:
-                for word, got in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                    self.known[word] = np.array(got.ids, "<u4").tobytes()
+                self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, words)))
-            if len(self.known) > 2 * REMEMBERED:  # one text of very many different words
-                self.known = {}
+            if len(self.known) > REMEMBERED:
+                self.known = dict(self.marks)
         return out
 
 
+def tokens_of_worker(path: str | None) -> Tokens:
+    """The tokenizer of this worker process, with the words that its earlier tasks have met."""
+    import public_tokenizers
+
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    store = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker")).__dict__
+    if path not in store:
+        store[path] = Tokens(path)
+    return store[path]
+
+
 def pieces_of(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens), and ids if asked for: documents cut at each ``size`` tokens."""
     kinds = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
     kinds = kinds if with_ids else kinds[:-1]
 
     def cut(batches):
-        tokens, end = Tokens(path), np.array([END], "<u4").tobytes()
+        tokens, end = tokens_of_worker(path), np.array([END], "<u4").tobytes()
         for batch in slices(batches, "text"):
             rows, values = [], []
             for k, ids in enumerate(tokens(batch.column("text").cast(pa.binary()).to_pylist())):
