@@ -296,5 +296,6 @@ def query(spark, sf_dir):
     found = find(docs, train(docs))
     base = F.filter("spans", lambda s: s["base"])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("row.doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
