@@ -13,10 +13,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import bytes_of, components, id_back, mixed, read, slices, texts_with_keys, word_hashes
+from sheaf.llm.common import bytes_of, components, id_back, id_column, maybe_marked, mixed, read, release, slices, text_column, texts_with_keys, word_hashes
 from sheaf.session import written
 
 #: Counters of the n-grams' frequencies, and the blocks they are summed in: a fixed 16 MB.
@@ -149,13 +149,15 @@ def overlaps(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     left = found.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = found.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"))
-    return partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    out = written(partial.groupBy("a", "b").agg(F.sum("common").alias("common")), "overlaps")
+    release(spark)
+    return out
 
 
 def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs of candidates whose sets are similar enough."""
     size = lambda c: sets.select(F.col("key").alias(c), F.col("n").cast("long").alias(f"n{c}"))
-    sized = written(overlaps(texts, pairs, words), "overlaps").join(size("a"), "a").join(size("b"), "b")
+    sized = overlaps(texts, pairs, words).join(size("a"), "a").join(size("b"), "b")
     return sized.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -167,6 +169,18 @@ def _close(n: np.ndarray, sizes: np.ndarray, i, j, percent: int) -> np.ndarray:
     return fits & (apart * (100 + percent) <= (100 - percent) * both)
 
 
+def _possible(percent: int):
+    def possible(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("sa", "sb"))
+            k = np.arange(batch.num_rows)
+            ok = _close(np.concatenate([na, nb]), np.concatenate([sa, sb]), k, k + batch.num_rows, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return possible
+
+
 def _candidates(percent: int):
     def candidates(table):
         table = table.sort_by([(c, "ascending") for c in ("gram", "i", "j", "key")])
@@ -226,15 +240,18 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     same = everything.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("key"), F.min("doc").alias("least"), F.first("sizes").alias("sizes"))
     sets = written(same, "shingle-sets")
     classes = spark.sparkContext.broadcast(_classes(scanned))
-    prefixes = written(_prefixes(texts, classes, words, percent), "prefixes")
+    # Made twice rather than written: they are many, and cheap to find again.
+    prefixes = _prefixes(texts, classes, words, percent)
     often = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     rows = prefixes.join(often, "gram").join(sets.select("key"), "key", "left_semi").distinct()
     rows = written(rows, "shared-prefixes")
+    release(spark)
     heads = rows.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a < last").select("gram", "a")
     stars = rows.join(heads, "gram").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    size = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"))
-    stars = stars.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    size = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sizes").alias(f"s{c}"))
+    stars = stars.join(size("a"), "a").join(size("b"), "b").mapInArrow(_possible(percent), "a long, b long")
     stars = written(stars, "stars")
+    release(spark)
     links = written(_linked(texts, sets, stars, words, percent), "links")
     # What is still apart: cells of n-grams whose documents are of different components.
     now = components(links).select(F.col("node").alias("key"), "component")
@@ -265,3 +282,27 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
 def query(spark, sf_dir):
     groups = similar_groups(read(spark, sf_dir, "documents"))
     return groups.select(id_back("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), id_back("component_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of similar documents is left with one.
+
+    That is the document with the smallest doc_id (of rows alike in it, the one with the smallest
+    hash, once). Documents without words link with nothing and all stay, as they came.
+    """
+    groups = similar_groups(docs, words, percent).where("n > 0")
+    heads = groups.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("head"), F.count(F.lit(1)).alias("rows"))
+    # Rows alike in id and text share their key: they are told apart only where there are several.
+    alike = groups.groupBy("key").agg(F.count(F.lit(1)).alias("alike"))
+    gone = groups.join(heads, "component").join(alike, "key").where((F.col("key") != F.col("head.key")) | (F.col("alike") > 1))
+    gone = written(gone.select("key", (F.col("key") != F.col("head.key")).alias("gone")).distinct(), "not-kept")
+    doc, text = id_column(), text_column()
+    row = docs.select(F.xxhash64(doc, text).alias("key"), F.struct("*").alias("row"))
+    # Most rows are not in question: only those perhaps in the list meet it by a shuffle.
+    perhaps = maybe_marked(row, gone.select("key"))
+    sure = perhaps.where("not perhaps").select("row.*")
+    asked = perhaps.where("perhaps").join(gone, "key", "left").where("gone is null or not gone")
+    again = Window.partitionBy("key", "gone").orderBy(F.lit(0))
+    single = asked.where("gone is null").select("row.*")
+    once = asked.where("not gone").withColumn("turn", F.row_number().over(again)).where("turn = 1").select("row.*")
+    return sure.unionByName(single).unionByName(once)
