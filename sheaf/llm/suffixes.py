@@ -159,8 +159,12 @@ def repeats(table):
     group = np.cumsum(apart)
     start = begin[piece] + offset
     order = np.lexsort((start, key[piece], doc[piece], group))
-    later = np.append(False, group[order][1:] == group[order][:-1]) if len(order) else np.zeros(0, bool)
-    return _runs(key[piece][order][later], start[order][later])
+    group, key, start = group[order], key[piece][order], start[order]
+    lead = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(order) else np.zeros(0, np.int64)
+    lead = np.repeat(lead, np.diff(np.append(lead, len(order))))
+    # Rows alike in id and text are one document: its strings are there as often.
+    later = (key != key[lead]) | (start != start[lead])
+    return _runs(key[later], start[later])
 
 
 def _find_anchors(batches):
@@ -213,7 +217,8 @@ def _hashed_strings(batches):
 def repeated_stretches(texts: DataFrame) -> DataFrame:
     """(key, first, last): all stretches of starts whose string also starts earlier."""
     spark = texts.sparkSession
-    found = written(texts.mapInArrow(_find_anchors, "anchor long, context long, " + _PLACE), "anchors")
+    # Found twice rather than written: there are very many, and most are in one place only.
+    found = texts.mapInArrow(_find_anchors, "anchor long, context long, " + _PLACE)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     found = written(found.join(often, "anchor"), "recurring-anchors")
     release(spark)
@@ -221,6 +226,7 @@ def repeated_stretches(texts: DataFrame) -> DataFrame:
     place = F.struct("doc", "key", "first", "last")
     contexts = found.groupBy("anchor", "context").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
     contexts = written(contexts, "contexts")
+    release(spark)
     copied = found.join(contexts.where("n > 1").select("anchor", "context", "place"), ["anchor", "context"])
     copied = copied.where(place != F.col("place")).select("key", "first", "last")
     per_anchor = written(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "mixed-anchors")
@@ -229,9 +235,12 @@ def repeated_stretches(texts: DataFrame) -> DataFrame:
     wanted = contexts.join(per_anchor.select("anchor"), "anchor", "left_semi").select("anchor", "place.*")
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("wanted"))
     wanted = written(wanted, "wanted")
-    cut = maybe_in(texts, wanted.select("key")).dropDuplicates(["key"]).join(wanted, "key")
+    copied = written(copied, "copied-stretches")
+    release(spark)
+    cut = maybe_in(texts, wanted.select("key")).join(wanted, "key")
     pieces = cut.select("doc", "key", "text", "wanted").mapInArrow(_cut_pieces, "anchor long, doc long, key long, first long, piece binary")
     pieces = written(pieces.join(F.broadcast(written(hot, "hot-anchors")), "anchor", "left"), "pieces-of-texts")
+    release(spark)
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, int(total // BUCKET)))).alias("bucket")
     sorted_ = pieces.where("hot is null").groupBy(bucket).applyInArrow(repeats, "key long, first long, last long")
     strings = pieces.where("hot").select("doc", "key", "first", "piece").mapInArrow(_hashed_strings, "h1 long, h2 long, doc long, key long, start long")
@@ -275,13 +284,16 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts = texts_with_keys(docs)
     gone = repeated_stretches(texts).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
     gone = written(gone, "gone")
-    some = maybe_in(texts.select("key", "text"), gone.select("key")).dropDuplicates(["key"]).join(gone, "key")
-    some = written(some.select("key", "text", "gone").mapInArrow(_remove, "key long, n_removed long, n_spans long, kept binary"), "cut-texts")
     every = texts.select("key", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    every = written(every, "whole-texts").join(some, "key", "left")
+    every = written(every, "whole-texts")
+    some = maybe_in(texts.select("key", "text"), gone.select("key")).join(gone, "key")
+    some = some.select("key", "text", "gone").mapInArrow(_remove, "key long, n_removed long, n_spans long, kept binary")
+    if every.groupBy("key").count().where("count > 1").take(1):  # rows alike in id and text
+        some = some.dropDuplicates(["key"])
+    # The digest is taken before the join, so that texts nobody asks for do not take part in it.
+    every = every.join(some.withColumn("cut", F.sha2("kept", 256)), "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    sha = F.coalesce(F.sha2("kept", 256), F.col("whole")).alias("sha256")
-    return every.select("key", "doc", "n_bytes", zero("n_removed"), zero("n_spans"), "kept", sha)
+    return every.select("key", "doc", "n_bytes", zero("n_removed"), zero("n_spans"), "kept", F.coalesce("cut", "whole").alias("sha256"))
 
 
 def query(spark, sf_dir):
