@@ -160,18 +160,23 @@ def texts_with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(doc, text).alias("key"), doc.alias("doc"), text.alias("text"))
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame, bits: int = 26) -> DataFrame:
-    """The rows whose ``key`` is perhaps in ``keys``: all that are, and few others.
+def maybe_marked(rows: DataFrame, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows with a column ``perhaps``: true for all whose ``key`` is in ``keys``, and few others.
 
-    Looked up in a bitmap of 2 ** bits bits (8 MB, fixed), so rows need no shuffle to be dropped.
+    Looked up in a bitmap of 2 ** bits bits (8 MB, fixed), so rows need no shuffle to be told apart.
     """
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << bits)) + 1
     known = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
     known = written(known, "bitmap")
     placed = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_place", F.bitmap_bit_position(bit))
     byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
-    there = F.expr(f"shiftright({byte}, cast(_place % 8 as int)) & 1 = 1")
-    return placed.join(F.broadcast(known), "_bucket").where(there).drop("_bucket", "_place", "_bits")
+    there = F.coalesce(F.expr(f"shiftright({byte}, cast(_place % 8 as int)) & 1 = 1"), F.lit(False))
+    return placed.join(F.broadcast(known), "_bucket", "left").withColumn("perhaps", there).drop("_bucket", "_place", "_bits")
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is perhaps in ``keys``: all that are, and few others."""
+    return maybe_marked(rows, keys).where("perhaps").drop("perhaps")
 
 
 def release(spark: SparkSession) -> None:

@@ -9,6 +9,7 @@ run of the lowest level. When a level holds ``fanout`` runs they are compacted t
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 import numpy as np
@@ -113,7 +114,8 @@ class Runs:
 def repeated_lines(keys: DataFrame, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(h1, h2, n, keeper) of the keys found in at least ``min_docs`` documents."""
     spark = keys.sparkSession
-    bounds = sorted(set(keys.stat.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)))
+    shares = [i / batches for i in range(1, batches)]
+    bounds = sorted(set(keys.stat.approxQuantile("doc", shares, 0.01))) if shares else []
     runs = Runs(spark, fanout)
     edges = [None, *map(int, bounds), None]
     for low, high in reversed(list(zip(edges, edges[1:]))):
@@ -165,12 +167,12 @@ def dedup_lines(
         return ided.mapInArrow(drop_known, out)
     # Hot lines: this join's larger side is split by adaptive execution where a key's rows stand out.
     gone = keys.distinct().join(repeated, HASH).where("doc != keeper")
-    gone = gone.groupBy("doc").agg(F.collect_list(F.concat(*[F.struct(h)[h].cast("binary") for h in HASH])).alias("gone"))
+    gone = gone.groupBy("doc").agg(F.collect_list(F.struct(*HASH)).alias("gone"))
 
     def drop_joined(found):
         for batch in slices(found, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            sets = [{x[7::-1] + x[:7:-1] for x in g or ()} for g in batch.column("gone").to_pylist()]
+            sets = [{struct.pack("<qq", x["h1"], x["h2"]) for x in g or ()} for g in batch.column("gone").to_pylist()]
             yield _kept_batch(batch, [_without(t, s.__contains__, min_chars) for s, t in zip(sets, texts)])
 
     return ided.join(gone, "doc", "left").mapInArrow(drop_joined, out)

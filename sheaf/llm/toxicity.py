@@ -44,7 +44,7 @@ class Model:
 def grades(weights, thresholds, rows, feature, counts, n) -> np.ndarray:
     """P(grade > k) for each text (row) and threshold (column)."""
     score = np.bincount(rows, weights[feature] * np.log1p(counts), n)
-    return 1 / (1 + np.exp(np.clip(thresholds - score[:, None], -500, 500)))
+    return np.where(np.isinf(thresholds), 0.0, 1 / (1 + np.exp(np.clip(thresholds - score[:, None], -500, 500))))
 
 
 def telling(toxic, rows, feature) -> tuple[np.ndarray, np.ndarray]:

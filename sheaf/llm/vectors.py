@@ -43,14 +43,28 @@ class Codes:
 
 
 def codes_for(rows: int, width: int, lists: float, per_filter: float) -> tuple[int, int, int, float]:
-    """(padded width, blocks, code vectors per block, threshold) for so many filters per vector and rows per filter."""
+    """(padded width, blocks, code vectors per block, threshold) for so many filters per vector and rows per filter.
+
+    The threshold is set so that random directions lie in ``lists`` filters on average.
+    """
     share = min(0.02, per_filter / max(rows, 1))
     padded = max(16, 1 << (max(width, 1) - 1).bit_length())
-    limit = NormalDist().inv_cdf(1 - share) / padded**0.5
     directions = lists / TABLES / share
     # Two blocks spread directions most evenly; more are needed where that takes too many codes.
-    blocks = 2 if directions <= 1 << 20 else 4
-    return padded, blocks, max(2, round(directions ** (1 / blocks))), limit
+    blocks = 2 if directions <= 1 << 24 else 4
+    size = max(2, round(directions ** (1 / blocks)))
+    trial = np.random.default_rng(SEED + 1).standard_normal((48, padded))
+    trial /= np.linalg.norm(trial, axis=1, keepdims=True)
+    codes = Codes(padded, blocks, size, 0.0).vectors()
+    low, high = 0.0, 1.0
+    for _ in range(14):
+        limit = (low + high) / 2
+        best = NormalDist().inv_cdf(1 - share) / padded**0.5
+        if limit < best / 2 or np.mean([len(f) for f in decode(trial, *codes, limit)]) > lists:
+            low = limit
+        else:
+            high = limit
+    return padded, blocks, size, high
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
