@@ -22,7 +22,7 @@ from sheaf.session import written
 #: Counters of the n-grams' frequencies, and the blocks they are summed in: a fixed 16 MB.
 COUNTER_BITS, BLOCK_BITS = 22, 16
 #: Fine fragments, whose sizes travel with candidates, and fragments that overlaps are counted in.
-FINE_BITS, FRAGMENTS = 7, 8
+FINE_BITS, FRAGMENTS = 9, 8
 #: Rows of one n-gram that are compared at a time, n-grams that may be split, rows of a task's bucket.
 CELL_ROWS, MOST_SPLIT, BUCKET_ROWS, WIDE = 2048, 100_000, 20_000, 64
 #: Bits that say which documents are in a candidate pair (a fixed 8 MB at most; false ones do no harm).
@@ -75,7 +75,9 @@ def _scan(words: int):
                     total = np.append(np.uint64(0), np.cumsum(mixed(gram + np.uint64(salt))))
                     sums.append((total[begins[1:]] - total[begins[:-1]]).view(np.int64))
             fine = row << FINE_BITS | (gram >> np.uint64(64 - FINE_BITS)).astype(np.int64)
-            sizes = np.minimum(np.bincount(fine, minlength=batch.num_rows << FINE_BITS), 255).astype(np.uint8).reshape(batch.num_rows, -1)
+            # Four bits each; a larger size counts as 15, which only weakens the bound.
+            sizes = np.minimum(np.bincount(fine, minlength=batch.num_rows << FINE_BITS), 15).astype(np.uint8).reshape(batch.num_rows, -1)
+            sizes = sizes[:, ::2] << 4 | sizes[:, 1::2]
             nothing = [pa.nulls(batch.num_rows, k) for k in kinds[:2]]
             yield pa.RecordBatch.from_arrays([*nothing, batch.column("key"), batch.column("doc"), pa.array(n.astype(np.int32)), *map(pa.array, sums), pa.array([s.tobytes() for s in sizes], pa.binary())], names)
         blocks = counters.reshape(-1, 1 << BLOCK_BITS)
@@ -161,21 +163,29 @@ def _linked(texts: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, per
     return sized.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _unpacked(sizes: list) -> np.ndarray:
+    """The sizes of the fine fragments of each document, a row each."""
+    packed = np.frombuffer(b"".join(sizes), np.uint8).reshape(len(sizes), -1)
+    return np.concatenate([packed >> 4, packed & 15], axis=1).astype(np.int8)
+
+
 def _close(n: np.ndarray, sizes: np.ndarray, i, j, percent: int) -> np.ndarray:
     """Whether sizes allow the similarity: in all, and summed over the fine fragments."""
     both = n[i] + n[j]
     fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-    apart = np.abs(sizes[i] - sizes[j]).sum(axis=-1, dtype=np.int64)
-    return fits & (apart * (100 + percent) <= (100 - percent) * both)
+    at = np.flatnonzero(fits)
+    apart = np.abs(sizes[i[at]] - sizes[j[at]]).sum(axis=-1, dtype=np.int64)
+    fits[at] = apart * (100 + percent) <= (100 - percent) * both[at]
+    return fits
 
 
 def _possible(percent: int):
     def possible(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int16) for c in ("sa", "sb"))
+            sizes = _unpacked([s for c in ("sa", "sb") for s in batch.column(c).to_pylist()])
             k = np.arange(batch.num_rows)
-            ok = _close(np.concatenate([na, nb]), np.concatenate([sa, sb]), k, k + batch.num_rows, percent)
+            ok = _close(np.concatenate([na, nb]), sizes, k, k + batch.num_rows, percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return possible
@@ -185,8 +195,7 @@ def _candidates(percent: int):
     def candidates(table):
         table = table.sort_by([(c, "ascending") for c in ("gram", "i", "j", "key")])
         gram, i, j, piece, key, part, n = (table.column(c).to_numpy() for c in ("gram", "i", "j", "piece", "key", "component", "n"))
-        packed = table.column("sizes").to_pylist()
-        sizes = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1).astype(np.int16)
+        sizes = _unpacked(table.column("sizes").to_pylist())
         n = n.astype(np.int64)
         new = np.append(True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(gram) else np.zeros(0, bool)
         begins = np.flatnonzero(new)
@@ -196,10 +205,12 @@ def _candidates(percent: int):
         def keep(p, q):
             ok = (part[p] != part[q]) & ((i[p] == j[p]) | (piece[p] != piece[q]))
             p, q = p[ok], q[ok]
-            for start in range(0, len(p), 1 << 15):
-                a, b = p[start : start + (1 << 15)], q[start : start + (1 << 15)]
+            for start in range(0, len(p), 1 << 13):
+                a, b = p[start : start + (1 << 13)], q[start : start + (1 << 13)]
                 ok = _close(n, sizes, a, b, percent)
-                out.append(np.stack([np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])]))
+                if ok.any():
+                    x, y = key[a[ok]], key[b[ok]]
+                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
 
         for begin, length in zip(begins[lengths > WIDE].tolist(), lengths[lengths > WIDE].tolist()):
             for row in range(begin, begin + length - 1):
@@ -209,8 +220,11 @@ def _candidates(percent: int):
         for step in range(1, int(lengths[lengths <= WIDE].max(initial=0))):
             p = np.flatnonzero((run[step:] == run[:-step]) & narrow[step:])
             keep(p, p + step)
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        a, b = np.concatenate(out, axis=1)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return pa.table({"a": a[new], "b": b[new]})
 
     return candidates
 
