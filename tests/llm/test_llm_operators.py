@@ -550,7 +550,7 @@ def test_shortest_pack_first_places_every_piece():
 
 
 def test_toxicity_on_held_out_documents(spark, sf_dir):
-    big = sf_dir.replace("sf0.001", "sf0.01")
+    big = sf_dir.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
     trained = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     rated = toxicity.rate(docs.select("doc_id", "text"), trained).select("row.doc_id", "severity", "toxic")
