@@ -220,7 +220,8 @@ def repeated_stretches(texts: DataFrame) -> DataFrame:
     # Found twice rather than written: there are very many, and most are in one place only.
     found = texts.mapInArrow(_find_anchors, "anchor long, context long, " + _PLACE)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    found = written(found.join(often, "anchor"), "recurring-anchors")
+    # Written first, so that both sides of the join are shuffles that can be split by skew.
+    found = written(found.join(written(often, "often"), "anchor"), "recurring-anchors")
     release(spark)
     # Stretches with one context hold the same strings: the first of them stands for all.
     place = F.struct("doc", "key", "first", "last")
