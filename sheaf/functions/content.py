@@ -17,9 +17,6 @@ SMALL_FILE = 4096
 LARGE_FILE = 16384
 BINARY_FLAG_WINDOW = 8192
 BINARY_SKIP_WINDOW = 1024
-MAX_FILE_BYTES = 1 << 30
-MAX_DEPTH = 256
-MAX_PATH_BYTES = 4096
 BINARY_PLACEHOLDER = "// [Binary file content not displayed]\n"
 LINK_PLACEHOLDER_HEAD = "// [Symbolic link to: "
 LINK_PLACEHOLDER_TAIL = "]\n"
@@ -27,6 +24,9 @@ LINK_TOO_LONG = "// [Symbolic link - target too long]\n"
 LINK_UNREADABLE = "// [Symbolic link - target unreadable]\n"
 LINK_PLACEHOLDER_LIMIT = 2048
 
+# Limits that a run may ask for. None applies by itself.
+USUAL_LIMITS = {"max_file_bytes": 1 << 30, "max_depth": 256, "max_path_bytes": 4096, "max_hops": 40}
+
 NUL = b"\x00"
 
 ChunkFunction = Callable[[Column], Column]
@@ -58,8 +58,14 @@ def chunk_bytes(size: Column) -> Column:
     )
 
 
+def whole_part(n: Column, step: Column | int) -> Column:
+    """How many whole ``step`` fit into ``n``, without rounding: what is divided is a multiple."""
+    return ((n - n % step) / step).cast("long")
+
+
 def chunk_count(content: Column, step: Column) -> Column:
-    return F.ceil(F.octet_length(content) / step).cast("int")
+    length = F.octet_length(content)
+    return (whole_part(length, step) + (length % step > 0).cast("int")).cast("int")
 
 
 def chunk_numbers(content: Column, step: Column) -> Column:

@@ -59,13 +59,9 @@ def order_key(path: Column) -> Column:
     return F.replace(path, F.lit(SEPARATOR), F.lit(LOWEST))
 
 
-def path_of_key(key: Column) -> Column:
-    return F.replace(key, F.lit(LOWEST), F.lit(SEPARATOR))
-
-
 def size_kb(size: Column) -> Column:
     """Kilobytes, rounded up: 0 for an empty file only."""
-    return F.floor((size + 1023) / 1024).cast("long")
+    return F.shiftright(size + 1023, 10).cast("long")
 
 
 def byte_size(value: Column) -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.content import (
     BINARY_PLACEHOLDER,
-    MAX_FILE_BYTES,
     SKIP_BINARY,
     ChunkFunction,
     ContentRule,
@@ -27,6 +26,7 @@ from sheaf.functions.content import (
     link_placeholder,
     transform_chunks,
 )
+from sheaf.operators.filters import too_large
 from sheaf.operators.skew import measure
 from sheaf.session import written as table_of
 
@@ -38,10 +38,12 @@ UNREADABLE = "unreadable"
 BINARY_MODES = ("skip", "include", "placeholder")
 
 
-def explode_chunks(files: DataFrame) -> DataFrame:
-    """One row per chunk of ``content``: its number, offset and bytes."""
+def explode_chunks(files: DataFrame, empty: bool = False) -> DataFrame:
+    """One row per chunk of ``content``: its number, offset and bytes; with ``empty`` also a row of
+    NULLs per file without bytes."""
     step = chunk_bytes(F.col("size"))
-    numbered = files.withColumn("chunk_no", F.explode(chunk_numbers(F.col("content"), step)))
+    explode = F.explode_outer if empty else F.explode
+    numbered = files.withColumn("chunk_no", explode(chunk_numbers(F.col("content"), step)))
     return numbered.withColumn("offset", F.col("chunk_no").cast("long") * step).withColumn(
         "content", chunk_at(F.col("content"), F.col("chunk_no"), step)
     )
@@ -74,7 +76,9 @@ def _shown(
             return result
         return F.when(hidden, event(notice) if event else notice).otherwise(result)
 
-    return {"body": body(written), "body_bytes": F.octet_length(body(None)).cast("long")}
+    # Without an event of the format the body is measured as it stands, not made once more.
+    plain = body(None) if written else F.col("body")
+    return {"body": body(written), "body_bytes": F.octet_length(plain).cast("long")}
 
 
 def process_files(
@@ -84,7 +88,7 @@ def process_files(
     transforms: Sequence[ChunkFunction] = (),
     written: ChunkFunction | None = None,
     link_placeholders: bool = False,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``status``, ``input_bytes`` (accepted), ``body`` and ``body_bytes`` (emitted).
 
@@ -96,7 +100,7 @@ def process_files(
         "_refused", first_refused(content, size, content_rules(binary, rules))
     )
     status = (
-        F.when(size > max_file_bytes, F.lit(TOO_LARGE))
+        F.when(too_large(size, max_file_bytes), F.lit(TOO_LARGE))
         .when(content.isNull(), F.lit(UNREADABLE))
         .when(refused.isNotNull(), F.lit(EXCLUDED))
         .otherwise(F.lit(OK))
@@ -117,7 +121,8 @@ def process_files(
     return (
         judged.withColumn("status", status)
         .withColumn("input_bytes", F.when(shows, taken).otherwise(0).cast("long"))
-        .withColumns({name: F.when(shows, column) for name, column in emitted.items()})
+        .withColumn("body", F.when(shows, emitted["body"]))
+        .withColumn("body_bytes", F.when(shows, emitted["body_bytes"]))
         .drop("_refused")
     )
 
@@ -130,22 +135,29 @@ def process_blocks(
     written: ChunkFunction | None = None,
     one_block: bool = False,
 ) -> DataFrame:
-    """The same for block rows ``(path, size, block_no, content)`` of readable files.
-
-    Blocks behind a file's first refused block are dropped, that block keeps its accepted part.
-    With ``one_block`` every file is one block and nothing is shuffled. Otherwise the files that
-    have a refused chunk are found first; unless they are very many, they are broadcast, so that
-    contents stay where they are read.
+    """The same for block rows ``(path, size, block_no, content)``, with ``code`` if some may have
+    failed.
+
+    Blocks behind a file's first refused block are dropped, that block keeps its accepted part. A
+    file of which any block has a ``code`` is unreadable as a whole: its first block says so, with
+    the code of the first failed block. With ``one_block`` every file is one block and nothing is
+    shuffled. Otherwise the files that have a refused or failed block are found first; unless they
+    are very many, they are broadcast, so that contents stay where they are read.
     """
     size, content = F.col("size"), F.col("content")
 
-    def first(found: Column) -> Column:
-        """Where in its file a refused chunk lies: block, then chunk in the block."""
-        return F.when(found.isNotNull(), F.struct(F.col("block_no"), found.alias("chunk_no")))
+    def first(found: Column, value: Column) -> Column:
+        """Where in its file something lies: block, then what is known of it there."""
+        return F.when(found, F.struct(F.col("block_no"), value))
 
-    marks = {"_cut": first(first_refused(content, size, content_rules(binary, rules)))}
+    refused = first_refused(content, size, content_rules(binary, rules))
+    marks = {"_cut": first(refused.isNotNull(), refused.alias("chunk_no"))}
     if binary == "placeholder":
-        marks["_nul"] = first(first_refused(content, size, [SKIP_BINARY]))
+        nul = first_refused(content, size, [SKIP_BINARY])
+        marks["_nul"] = first(nul.isNotNull(), nul.alias("chunk_no"))
+    coded = "code" in blocks.columns
+    if coded:
+        marks["_bad"] = first(F.col("code").isNotNull(), F.col("code"))
     judged = blocks.withColumns({f"{name}_here": mark for name, mark in marks.items()})
     if one_block:
         joined = judged.withColumns({name: F.col(f"{name}_here") for name in marks})
@@ -172,10 +184,25 @@ def process_blocks(
         later = hidden & (F.col("block_no") > 0)
         emitted["body"] = F.when(later, F.lit(b"")).otherwise(emitted["body"])
         emitted["body_bytes"] = F.when(later, F.lit(0)).otherwise(emitted["body_bytes"])
+    status = F.when(F.col("_cut").isNull(), OK).otherwise(EXCLUDED)
+    shown = joined.where("_cut is null or block_no <= _cut.block_no")
+    taken = F.octet_length(given).cast("long")
+    if coded:
+        bad = F.col("_bad").isNotNull()
+        reason = F.col("_bad.code")
+        failed = F.when(reason == TOO_LARGE, TOO_LARGE).otherwise(UNREADABLE)
+        status = F.when(bad, failed).otherwise(status)
+        shown = joined.where(
+            "(_bad is null and (_cut is null or block_no <= _cut.block_no))"
+            " or (_bad is not null and block_no = 0)"
+        ).withColumn("code", F.when(bad, reason))
+        taken = F.when(bad, F.lit(0)).otherwise(taken)
+        emitted["body"] = F.when(~bad, emitted["body"])
+        emitted["body_bytes"] = F.when(bad, F.lit(0)).otherwise(emitted["body_bytes"])
     return (
-        joined.where("_cut is null or block_no <= _cut.block_no")
-        .withColumn("status", F.when(F.col("_cut").isNull(), OK).otherwise(EXCLUDED))
-        .withColumn("input_bytes", F.octet_length(given).cast("long"))
-        .withColumns(emitted)
+        shown.withColumn("status", status)
+        .withColumn("input_bytes", taken.cast("long"))
+        .withColumn("body", emitted["body"])
+        .withColumn("body_bytes", emitted["body_bytes"].cast("long"))
         .drop(*marks, *(f"{name}_here" for name in marks))
     )

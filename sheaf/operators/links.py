@@ -11,15 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.content import MAX_DEPTH
 from sheaf.functions.paths import ancestors
+from sheaf.functions.reports import said
 from sheaf.operators.filters import within_caps
 from sheaf.operators.skew import lookup_join, measure
 from sheaf.session import written
 
-MAX_HOPS = 40  # Fixed value: a longer chain of links does not resolve on Linux.
-
-
 def skip_links(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("is_symlink"))
 
@@ -27,45 +24,37 @@ def skip_links(entries: DataFrame) -> DataFrame:
 def _chain_ends(jumps: DataFrame) -> DataFrame:
     """``(path, target, hops)`` per link that other links lead to, with its chain shortened.
 
-    Each round doubles the length covered, so ``MAX_HOPS`` bounds the rounds; they end as soon as
-    no such link leads to another. A link to itself counts as too long at once.
+    Each round doubles the length covered, so the logarithm of the number of links bounds the
+    rounds; they end as soon as no such link leads to another. A chain that leads into itself ends
+    at one of its links.
     """
-    own = F.col("path") == F.col("target")
-    jumps = written(
-        jumps.select("path", "target", F.when(own, MAX_HOPS + 1).otherwise(1).alias("hops")),
-        "jumps",
-    )
+    jumps = written(jumps.select("path", "target", F.lit(1).cast("long").alias("hops")), "jumps")
     count, small = measure(jumps)
-    if not count:
-        return jumps
-    for _ in range(MAX_HOPS.bit_length()):
+    for _ in range(count.bit_length() if count else 0):
         onward = jumps.select(
             F.col("path").alias("target"),
             F.col("target").alias("_next"),
             F.col("hops").alias("_more"),
         )
-        open_ends = jumps.where(F.col("hops") <= MAX_HOPS)
-        moving = open_ends.join(onward.select("target"), "target", "left_semi")
+        moving = jumps.where("path <> target").join(onward.select("target"), "target", "left_semi")
         if moving.isEmpty():
             break
-        moved = lookup_join(open_ends, onward, "target", "left", small=small).select(
+        moved = lookup_join(jumps, onward, "target", "left", small=small).select(
             "path",
             F.coalesce("_next", "target").alias("target"),
-            (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
+            F.least(F.lit(1 << 40), F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
         )
-        jumps = written(moved.unionByName(jumps.where(F.col("hops") > MAX_HOPS)), "jumps")
+        jumps = written(moved, "jumps")
     return jumps
 
 
-def resolve_links(entries: DataFrame) -> DataFrame:
-    """``(path, target, target_is_directory, target_size)`` per link; NULLs if it leads nowhere.
+def _settled(links: DataFrame, entries: DataFrame, max_hops: int | None) -> DataFrame:
+    """Where each of ``links`` (path, target) ends: ``(path, target, target_is_directory,
+    target_size)``, NULLs if at no entry that is not a link.
 
     What each distinct target stands for is settled first, so a target of many links is settled
     once; then every link looks its target up.
     """
-    links = written(
-        entries.where("is_symlink").select("path", F.col("link_target").alias("target")), "links"
-    )
     _, small = measure(links)
     named = links.where("target is not null")
     targets = named.select("target").distinct()
@@ -79,11 +68,9 @@ def resolve_links(entries: DataFrame) -> DataFrame:
         F.col("is_directory").alias("target_is_directory"),
         F.col("size").alias("target_size"),
     )
-    settled = (
-        targets.join(ends, "target", "left")
-        .where("hops is null or hops < " + str(MAX_HOPS))
-        .withColumn("_end", F.coalesce("_end", "target"))
-    )
+    settled = targets.join(ends, "target", "left").withColumn("_end", F.coalesce("_end", "target"))
+    if max_hops is not None:
+        settled = settled.where(F.col("hops").isNull() | (F.col("hops") < max_hops))
     found = lookup_join(settled, places, "_end", spread_by="target", small=small).drop("hops")
     resolved = lookup_join(named, found, "target", "left", small=small).select(
         "path", F.col("_end").alias("target"), "target_is_directory", "target_size"
@@ -92,8 +79,45 @@ def resolve_links(entries: DataFrame) -> DataFrame:
     return resolved.unionByName(unnamed, allowMissingColumns=True)
 
 
+def resolve_links(entries: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``(path, target, target_is_directory, target_size)`` per link; NULLs if it leads nowhere.
+
+    A target may itself lead through links to directories: such a one is replaced by where that
+    link ends, and the links are settled again. Each round takes a part of every such target away,
+    so their depth bounds the rounds. With ``max_hops``, longer chains of links lead nowhere.
+    """
+    links = written(
+        entries.where("is_symlink").select("path", F.col("link_target").alias("target")), "links"
+    )
+    while True:
+        resolved = _settled(links, entries, max_hops)
+        resolved = written(resolved, "resolved-links")
+        lost = resolved.where("target is null").select("path")
+        ways = resolved.where("target_is_directory").select(
+            F.col("path").alias("_above"), F.col("target").alias("_way")
+        )
+        rest = F.substring(F.col("target"), F.length("_above") + 1, F.length("target"))
+        passed = (
+            links.where("target is not null")
+            .join(lost, "path", "left_semi")
+            .withColumn("_above", F.explode(ancestors(F.col("target"))))
+            .join(ways, "_above")
+            .groupBy("path")
+            .agg(F.max(F.struct(F.length("_above"), F.concat("_way", rest).alias("t"))).alias("m"))
+            .select("path", F.col("m.t").alias("_through"))
+        )
+        passed = written(passed, "through")
+        if passed.isEmpty():
+            return resolved
+        moved = links.join(passed, "path", "left")
+        links = written(moved.select("path", F.coalesce("_through", "target").alias("target")), "links")
+
+
 def follow_links(
-    entries: DataFrame, max_depth: int = MAX_DEPTH, resolved: DataFrame | None = None
+    entries: DataFrame,
+    max_depth: int | None = None,
+    resolved: DataFrame | None = None,
+    max_path_bytes: int | None = None,
 ) -> DataFrame:
     """The listing with links followed: ``path`` (logical), ``physical_path``, ``is_directory``,
     ``is_symlink``, ``size``, ``is_cycle``.
@@ -128,7 +152,8 @@ def follow_links(
         "entered", F.concat(root, ancestors(F.col("path")))
     )
     listing = written(_with_descent(start.withColumn("physical", F.col("path"))), "listing")
-    steps = [listing.where(within_caps(F.col("path"), max_depth))]
+    caps = within_caps(F.col("path"), max_depth, max_path_bytes)
+    steps = [listing.where(caps)]
     while True:
         frontier = steps[-1].where("descend").select(
             F.col("path").alias("link"), F.col("here").alias("above"), "entered"
@@ -136,7 +161,7 @@ def follow_links(
         count, small = measure(frontier)
         if not count:
             break
-        steps.append(written(_descend(frontier, small, listing, max_depth), "follow"))
+        steps.append(written(_descend(frontier, small, listing).where(caps), "follow"))
     return reduce(DataFrame.unionByName, steps).select(
         "path",
         F.col("here").alias("physical_path"),
@@ -164,17 +189,17 @@ def _with_descent(rows: DataFrame) -> DataFrame:
     )
 
 
-def _descend(
-    frontier: DataFrame, small: bool, listing: DataFrame, max_depth: int
-) -> DataFrame:
+def _descend(frontier: DataFrame, small: bool, listing: DataFrame) -> DataFrame:
     """All below the targets of the links in ``frontier``, each under its link's path."""
     entries = listing.select("path", "is_directory", "is_symlink", "size", "target")
     below = entries.withColumn("above", F.explode(ancestors(F.col("path"))))
     if small:
         joined = below.join(F.broadcast(frontier), "above")
     else:
+        # What lies below a target is dealt over pieces before it meets that target's links.
         wanted = frontier.select("above").distinct()
-        joined = lookup_join(below.join(wanted, "above", "left_semi"), frontier, "above")
+        reduced = written(lookup_join(below, wanted, "above"), "below")
+        joined = lookup_join(reduced, frontier, "above")
     rest = F.substring(F.col("path"), F.length("above") + 2, F.length("path"))
 
     def physical(directory: Column) -> Column:
@@ -195,11 +220,11 @@ def _descend(
             F.concat("entered", "between").alias("entered"),
         )
     )
-    return _with_descent(rows.where(within_caps(F.col("path"), max_depth)))
+    return _with_descent(rows)
 
 
 def contents_through_links(
-    kept: DataFrame, entries: DataFrame, contents: DataFrame
+    kept: DataFrame, entries: DataFrame, contents: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
     """The files in ``kept`` with ``content``, a link with its target's; NULL if it leads nowhere.
 
@@ -210,7 +235,7 @@ def contents_through_links(
     files = kept.where("not is_directory")
     columns = [*files.columns, "content"]
     own = files.where("not is_symlink").join(contents, "path", "left")
-    resolved = resolve_links(entries).drop("target_size")
+    resolved = resolve_links(entries, max_hops)
     links = written(files.where("is_symlink").join(resolved, "path"), "links")
     # A link to a directory opens but yields nothing to read.
     empty = links.where("target is null or target_is_directory").withColumn(
@@ -219,28 +244,22 @@ def contents_through_links(
     sources = contents.select(F.col("path").alias("target"), "content")
     readable = links.where("not target_is_directory")
     _, small = measure(links)
-    through = lookup_join(readable, sources, "target", small=small)
-    # A target that is listed but has no content row is unreadable, not gone.
-    missing = readable.join(through.select("path"), "path", "left_anti")
-    unread = missing.withColumn("content", F.lit(None).cast("binary"))
+    sizes = readable.groupBy("target").agg(F.max("target_size").alias("bytes"))
+    # A target that is listed but has no content row is unreadable, not gone: its content is NULL.
+    through = lookup_join(readable, sources, "target", "left", small=small, sizes=sizes)
     return (
         own.select(*columns)
         .unionByName(empty.select(*columns))
         .unionByName(through.select(*columns))
-        .unionByName(unread.select(*columns))
     )
 
 
 def link_diagnostics(followed: DataFrame, resolved: DataFrame) -> DataFrame:
     """``(path, code, message)`` for cut cycles and links that lead nowhere."""
     cycles = followed.where("is_cycle").select(
-        "path",
-        F.lit("cycle").alias("code"),
-        F.concat(F.lit("Circular symlink detected, skipping: "), "physical_path").alias("message"),
+        "path", F.lit("cycle").alias("code"), said("cycle", F.col("physical_path"))
     )
     lost = resolved.where("target is null").select(
-        "path",
-        F.lit("unresolvable_link").alias("code"),
-        F.concat(F.lit("Cannot resolve symlink: "), "path").alias("message"),
+        "path", F.lit("unresolvable_link").alias("code"), said("unresolvable_link", F.col("path"))
     )
     return cycles.unionByName(lost)

@@ -16,13 +16,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.functions.content import whole_part
+from sheaf.operators.skew import measure
 from sheaf.session import written
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 PART_BYTES = 256 << 20
-# Bounds the list of boundaries that every task gets.
-MAX_PARTS = 30_000
+# Into so many stretches of parts the keys are routed first; only their bounds are constants.
+COARSE = 1024
 
 
 def ordered_table(keys: DataFrame, order: Sequence[str], costly: bool = False) -> DataFrame:
@@ -97,18 +99,17 @@ def with_offset(table: DataFrame, totalled: DataFrame, group: str, weight: str)
     )
 
 
-def part_size(table: DataFrame, weight: str, part_bytes: int = PART_BYTES) -> int:
-    """Bytes per partition for all of ``weight``: at most ``part_bytes`` and no fewer parts than
-    cores, unless that makes more than ``MAX_PARTS``."""
+def part_size(table: DataFrame, weight: str, part_bytes: int = PART_BYTES) -> tuple[int, int]:
+    """Bytes per partition for all of ``weight``, and how many partitions that makes: at most
+    ``part_bytes`` each, and no fewer than cores."""
     total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    parts = max(-(-total // part_bytes), table.sparkSession.sparkContext.defaultParallelism)
-    return max(-(-total // min(parts, MAX_PARTS)), 1)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    step = max(min(part_bytes, -(-total // cores)), 1)
+    return step, total // step + 1
 
 
-def _part_of(key: Column, starts: Sequence[str]) -> Column:
-    """The number of the part ``key`` falls into, by binary search in the sorted ``starts``."""
-    # One constant, folded once; ``starts`` may be long.
-    sorted_starts = F.from_json(F.lit(json.dumps(list(starts))), "array<string>")
+def _last_at_most(found: Column, count: Column, key: Column) -> Column:
+    """The index of the last of the sorted ``found`` that is not above ``key``, 0 if all are."""
 
     def halve(state: Column, _: Column) -> Column:
         middle = F.shiftright(state.low + state.high, 1)
@@ -116,18 +117,39 @@ def _part_of(key: Column, starts: Sequence[str]) -> Column:
         left = F.struct(state.low.alias("low"), middle.alias("high"))
         return (
             F.when(state.low >= state.high, state)
-            .when(F.get(sorted_starts, middle) <= key, right)
+            .when(F.get(found, middle) <= key, right)
             .otherwise(left)
         )
 
-    whole = F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high"))
-    steps = F.sequence(F.lit(1), F.lit(len(starts).bit_length() + 1))
-    found = F.aggregate(steps, whole, halve, lambda state: state.low)
-    return F.greatest(found - 1, F.lit(0))
+    whole = F.struct(F.lit(0).alias("low"), count.cast("int").alias("high"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(count + 1)).cast("int") + 1)
+    end = F.aggregate(steps, whole, halve, lambda state: state.low)
+    return F.greatest(end - 1, F.lit(0))
 
 
-def route(rows: DataFrame, key: Column, starts: Sequence[str], part: str) -> DataFrame:
-    """Send each row to the partition of its ``key``: partition n holds the keys from
-    ``starts[n]`` up to the next start. Adds the partition number as ``part``."""
-    numbered = rows.withColumn(part, _part_of(key, starts).cast("int"))
-    return numbered.repartitionById(len(starts), F.col(part))
+def route(rows: DataFrame, key: Column, starts: DataFrame, parts: int, part: str) -> DataFrame:
+    """Send each row to the partition of its ``key``. Adds the partition number as ``part``.
+
+    ``starts`` (part, key) is a written table: partition ``part`` holds the keys from its ``key``
+    up to the next start; keys before the first start go with it. Numbers lie below ``parts`` and
+    need not all occur. Rows look their stretch of parts up among at most ``COARSE`` constants,
+    and the part within the stretch's list, so neither the driver nor a task holds all starts.
+    """
+    width = -(-parts // COARSE)
+    staged = starts.withColumn("_stretch", whole_part(F.col("part"), F.lit(width)))
+    firsts = staged.groupBy("_stretch").agg(F.min("key").alias("key")).orderBy("_stretch").collect()
+    if not firsts:
+        return rows.withColumn(part, F.lit(0)).repartitionById(1, F.col(part))
+    # One constant each, folded once.
+    keys = F.from_json(F.lit(json.dumps([r.key for r in firsts])), "array<string>")
+    names = F.from_json(F.lit(json.dumps([r._stretch for r in firsts])), "array<bigint>")
+    lists = staged.groupBy("_stretch").agg(F.sort_array(F.collect_list(F.struct("key", "part"))).alias("_list"))
+    lists = lists.select("_stretch", F.col("_list.key").alias("_keys"), F.col("_list.part").alias("_parts"))
+    lists = written(lists, "starts")
+    small = measure(lists)[1]
+    placed = rows.withColumn("_key", key)
+    stretch = F.get(names, _last_at_most(keys, F.lit(len(firsts)), F.col("_key")))
+    placed = placed.withColumn("_stretch", stretch).join(F.broadcast(lists) if small else lists, "_stretch")
+    number = F.get("_parts", _last_at_most(F.col("_keys"), F.size("_keys"), F.col("_key")))
+    numbered = placed.withColumn(part, number.cast("int"))
+    return numbered.select(*rows.columns, part).repartitionById(parts, F.col(part))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.content import ChunkFunction
+from sheaf.functions.content import ChunkFunction, whole_part
 from sheaf.functions.paths import LOWEST, level, order_key, size_kb
 from sheaf.operators.contents import OK
 from sheaf.operators.ordering import (
@@ -22,6 +22,8 @@ from sheaf.operators.ordering import (
     with_position,
     with_total,
 )
+from sheaf.operators.skew import measure
+from sheaf.session import written
 
 FRAGMENT_ORDER = ["section", "order_key", "block_no"]
 HEAD, STRUCTURE, CONTENT_HEAD, CONTENT, TAIL = range(5)
@@ -178,6 +180,11 @@ def content_fragments(processed: DataFrame, formatter: Formatter) -> DataFrame:
     )
 
 
+def around(entries: DataFrame, formatter: Formatter, show_size: bool = False) -> DataFrame:
+    """All fragments of the whole document but the contents, unsorted."""
+    return _frame(entries, formatter).unionByName(structure_fragments(entries, formatter, show_size))
+
+
 def document(
     entries: DataFrame,
     processed: DataFrame,
@@ -186,11 +193,8 @@ def document(
 ) -> DataFrame:
     """All fragments of the whole document, unsorted."""
     formatter = formatter or TextFormatter()
-    return (
-        _frame(entries, formatter)
-        .unionByName(structure_fragments(entries, formatter, show_size))
-        .unionByName(content_fragments(processed, formatter))
-    )
+    frame = around(entries, formatter, show_size)
+    return frame.unionByName(content_fragments(processed, formatter))
 
 
 def _listed_keys(entries: DataFrame) -> DataFrame:
@@ -208,7 +212,9 @@ def _listed_keys(entries: DataFrame) -> DataFrame:
 
 
 def with_document_position(fragments: DataFrame, entries: DataFrame) -> DataFrame:
-    """Whole-file fragments with their place in the document as ``position``."""
+    """Whole-file fragments, or what is left of them, with their place in the document as
+    ``position``. They meet it by their keys: leave the texts out before, if only digests are
+    wanted."""
     frame = fragments.where(~F.col("section").isin(STRUCTURE, CONTENT))
     keys = _listed_keys(entries).drop("bytes").unionByName(frame.select("section", "order_key"))
     places = with_position(keys, ["section", "order_key"])
@@ -233,11 +239,11 @@ def in_order(
     listed = _listed_keys(entries).unionByName(frame)
     keys = ordered_table(listed, ["section", "order_key"])
     sized = with_total(keys, "bytes")
-    step = part_size(keys, "bytes", part_bytes)
+    step, parts = part_size(keys, "bytes", part_bytes)
     key = F.concat(F.col("section").cast("string"), F.col("order_key"))
-    firsts = sized.groupBy(F.floor(F.col("total") / step)).agg(F.min(key).alias("key"))
-    starts = sorted(row.key for row in firsts.collect())
-    routed = route(fragments, key, starts, "_part").drop("_part")
+    part = whole_part(F.col("total"), F.lit(step)).alias("part")
+    starts = written(sized.groupBy(part).agg(F.min(key).alias("key")), "bounds")
+    routed = route(fragments, key, starts, parts, "_part").drop("_part")
     return routed.sortWithinPartitions(*FRAGMENT_ORDER)
 
 
@@ -260,46 +266,45 @@ def bundles(
     """
     formatter = formatter or TextFormatter()
     path = F.col("path")
-    narrow = files.select(
-        F.col(group).cast("string").alias("_group"), order_key(path).alias("order_key"), "size"
-    )
+    # A NULL group is a group of its own, with a key that no text gives.
+    named = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
+    narrow = files.select(named.alias("_group"), order_key(path).alias("order_key"), "size")
     keys = ordered_table(narrow, ["_group", "order_key"], costly=True)
     totalled = with_total(keys, "size")
     sized = with_offset(keys, totalled, "_group", "size").withColumn(
-        "volume", F.floor(F.col("offset") / volume_bytes)
+        "volume", whole_part(F.col("offset"), F.lit(volume_bytes))
     )
     key = F.concat(F.col("_group"), F.lit(LOWEST), F.col("order_key"))
-    step = part_size(keys, "size", part_bytes)
+    step, parts = part_size(keys, "size", part_bytes)
     volumes = sized.groupBy("_group", "volume").agg(
         F.min(key).alias("key"), F.min("total").alias("total"), F.min("offset").alias("offset")
     )
     first = F.min(F.struct("key", "_group", "offset"))
-    firsts = volumes.groupBy(F.floor(F.col("total") / step)).agg(first.alias("first"))
-    starts = sorted(row.first for row in firsts.collect())
-    if not starts:
-        starts = [("", "", 0)]
-    carry = files.sparkSession.createDataFrame(
-        [(n, begins[1], begins[2]) for n, begins in enumerate(starts)],
-        "_part int, _group string, _carry long",
+    part = whole_part(F.col("total"), F.lit(step)).alias("part")
+    firsts = volumes.groupBy(part).agg(first.alias("first"))
+    firsts = written(firsts.select("part", "first.*"), "bounds")
+    carry = firsts.select(
+        F.col("part").cast("int").alias("_part"), "_group", F.col("offset").alias("_carry")
     )
     texts = processed.select(
         F.col(group),
-        F.col(group).cast("string").alias("_group"),
+        named.alias("_group"),
         order_key(path).alias("order_key"),
         "size",
         file_text(formatter).alias("text"),
     )
-    routed = route(texts, key, [begins[0] for begins in starts], "_part")
+    routed = route(texts, key, firsts.select("part", "key"), parts, "_part")
     within = (
         Window.partitionBy("_part", "_group")
         .orderBy("order_key")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offset = F.coalesce(F.sum("size").over(within), F.lit(0))
-    numbered = routed.withColumn("_local", offset).join(
-        F.broadcast(carry), ["_part", "_group"], "left"
-    )
-    volume = F.floor((F.col("_local") + F.coalesce("_carry", F.lit(0))) / volume_bytes)
+    # A row per partition: broadcast while that is little.
+    carry = F.broadcast(carry) if measure(firsts)[1] else carry
+    numbered = routed.withColumn("_local", offset).join(carry, ["_part", "_group"], "left")
+    begins = F.col("_local") + F.coalesce("_carry", F.lit(0))
+    volume = whole_part(begins, F.lit(volume_bytes))
     return (
         numbered.withColumn("volume", volume.cast("long"))
         .groupBy("_part", group, "volume")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sheaf.functions.content import MAX_DEPTH, MAX_FILE_BYTES, MAX_PATH_BYTES
 from sheaf.functions.paths import level
+from sheaf.functions.reports import said_by_code
 from sheaf.operators.contents import EXCLUDED, TOO_LARGE, UNREADABLE
 
 
@@ -46,40 +46,26 @@ def progress_by_file(processed: DataFrame) -> DataFrame:
 
 
 def listing_diagnostics(
-    entries: DataFrame, max_depth: int = MAX_DEPTH, max_path_bytes: int = MAX_PATH_BYTES
+    entries: DataFrame, max_depth: int | None = None, max_path_bytes: int | None = None
 ) -> DataFrame:
     """``(path, code, message)`` for entries that the listing's limits leave out."""
-    code = F.when(F.octet_length("path") >= max_path_bytes, F.lit("path_too_long")).when(
-        level(F.col("path")) >= max_depth, F.lit("depth_exceeded")
-    )
-    message = F.when(
-        F.col("code") == "path_too_long", F.concat(F.lit("Path too long, skipping: "), "path")
-    ).otherwise(
-        F.format_string("Maximum directory depth (%d) exceeded: %s", F.lit(max_depth), "path")
-    )
-    return (
-        entries.withColumn("code", code)
-        .where("code is not null")
-        .select("path", "code", message.alias("message"))
-    )
-
-
-def content_diagnostics(
-    processed: DataFrame, max_file_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
-    """The same for files whose content could not be taken."""
-    large = F.format_string(
-        "File too large, skipping (limit %d bytes): %s (%d bytes)",
-        F.lit(max_file_bytes),
-        "path",
-        "size",
-    )
-    unread = F.concat(F.lit("Cannot open file: "), F.col("path"))
-    return processed.where(F.col("status").isin(TOO_LARGE, UNREADABLE)).select(
-        "path",
-        F.col("status").alias("code"),
-        F.when(F.col("status") == TOO_LARGE, large).otherwise(unread).alias("message"),
-    )
+    code = F.lit(None).cast("string")
+    if max_depth is not None:
+        code = F.when(level(F.col("path")) >= max_depth, F.lit("depth_exceeded"))
+    if max_path_bytes is not None:
+        long = F.octet_length("path") >= max_path_bytes
+        code = F.when(long, F.lit("path_too_long")).otherwise(code)
+    found = entries.select("path", code.alias("code")).where("code is not null")
+    return found.select("path", "code", said_by_code(F.col("code"), F.col("path")))
+
+
+def content_diagnostics(processed: DataFrame) -> DataFrame:
+    """The same for files whose content could not be taken; a reason found while reading is the
+    code."""
+    rows = processed.where(F.col("status").isin(TOO_LARGE, UNREADABLE))
+    code = F.coalesce("code", "status") if "code" in processed.columns else F.col("status")
+    found = rows.select("path", code.alias("code"))
+    return found.select("path", "code", said_by_code(F.col("code"), F.col("path")))
 
 
 def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:

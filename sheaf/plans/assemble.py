@@ -1,5 +1,6 @@
 """A whole run: from a directory tree or entry and content tables to document, statistics and
-diagnostics. Every part is a lazy DataFrame; only sinks and the tree listing act."""
+diagnostics. Entries, and what links and predicates decide, are written as tables on the way; the
+contents are read when a sink or a counter asks for them."""
 
 from __future__ import annotations
 
@@ -11,17 +12,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions.content import (
-    MAX_DEPTH,
-    MAX_FILE_BYTES,
-    ChunkFunction,
-    ContentRule,
-    link_placeholder,
-)
+from sheaf.functions.content import ChunkFunction, ContentRule, link_placeholder
 from sheaf.operators import contents, filters, links, render, stats
 from sheaf.operators.skew import lookup_join
-from sheaf.plans.plugins import FilterPlugin, chunk_rules, chunk_transforms, path_predicates
-from sheaf.session import written
+from sheaf.plans.plugins import (
+    ContentPlugin,
+    FilterPlugin,
+    chunk_rules,
+    chunk_transforms,
+    path_predicates,
+    run_content_plugins,
+)
+from sheaf.session import drop_written, written
 from sheaf.sources import filetree
 from sheaf.sources.document import write_document
 
@@ -30,7 +32,7 @@ LINK_MODES = ("skip", "follow", "include", "placeholder")
 
 @dataclass(frozen=True)
 class Options:
-    """What to keep and how to show it."""
+    """What to keep and how to show it. Limits that are None do not apply."""
 
     include: Sequence[str] = ()
     exclude: Sequence[str] = ()
@@ -40,8 +42,11 @@ class Options:
     format: str = "text"
     plugins: Sequence[FilterPlugin] = ()
     rules: Sequence[ContentRule] = ()
-    max_file_bytes: int = MAX_FILE_BYTES
-    max_depth: int = MAX_DEPTH
+    content_plugins: Sequence[ContentPlugin] = ()
+    max_file_bytes: int | None = None
+    max_depth: int | None = None
+    max_path_bytes: int | None = None
+    max_hops: int | None = None
     block_bytes: int = filetree.BLOCK_BYTES
     own_output: Sequence[str] = field(default=())
 
@@ -51,7 +56,9 @@ class Options:
         if self.binary not in contents.BINARY_MODES:
             raise ValueError(f"unknown binary mode: {self.binary!r}")
         if self.format != "json":
-            render.formatter_named(self.format)
+            formatter = render.formatter_named(self.format)
+            if self.content_plugins and render.chunk_event(formatter):
+                raise ValueError("a format with a chunk event cannot follow content plugins")
 
 
 @dataclass(frozen=True)
@@ -80,11 +87,15 @@ class Run:
         write_document(_fragments(self.entries, watched, self.options), path, self.entries)
         return report.get | {"seconds": time.monotonic() - started}
 
+    def drop(self) -> None:
+        """Delete the intermediate tables of this application, when no run of it is needed."""
+        drop_written(self.entries.sparkSession)
+
 
 def select_by_row(entries: DataFrame, options: Options) -> DataFrame:
     """What an entry's own row decides: globs, with pruning by path, caps, links."""
     kept = filters.keep_entries(entries, options.include, options.exclude, options.own_output)
-    kept = kept.where(filters.within_caps(F.col("path"), options.max_depth))
+    kept = kept.where(filters.within_caps(F.col("path"), options.max_depth, options.max_path_bytes))
     return links.skip_links(kept) if options.symlinks == "skip" else kept
 
 
@@ -116,15 +127,27 @@ def _fragments(entries: DataFrame, processed: DataFrame, options: Options) -> Da
 
 
 def join_blocks(processed: DataFrame) -> DataFrame:
-    """Block rows back to one row per file; a file is bounded by the size limit."""
+    """Block rows back to one row per file, for what needs whole files."""
     return processed.groupBy("path").agg(
         F.first("size").alias("size"),
         F.max("status").alias("status"),
+        F.max("code").alias("code"),
         F.sum("input_bytes").alias("input_bytes"),
+        F.sum("body_bytes").alias("body_bytes"),
         F.expr("listagg(body, X'') within group (order by block_no)").alias("body"),
     )
 
 
+def _processed(files: DataFrame, options: Options) -> DataFrame:
+    processed = contents.process_files(
+        files,
+        max_file_bytes=options.max_file_bytes,
+        link_placeholders=options.symlinks == "placeholder",
+        **content_settings(options),
+    )
+    return run_content_plugins(processed, options.content_plugins)
+
+
 def assemble_tables(
     entries: DataFrame, file_contents: DataFrame, options: Options | None = None
 ) -> Run:
@@ -132,26 +155,23 @@ def assemble_tables(
     ``(path, content)``."""
     options = options or Options()
     source = entries
-    found = stats.listing_diagnostics(entries, options.max_depth)
+    found = stats.listing_diagnostics(entries, options.max_depth, options.max_path_bytes)
     if options.symlinks == "follow":
-        resolved = written(links.resolve_links(entries), "resolved")
-        followed = links.follow_links(entries, options.max_depth, resolved)
+        resolved = links.resolve_links(entries, options.max_hops)
+        followed = links.follow_links(
+            entries, options.max_depth, resolved, options.max_path_bytes
+        )
         found = found.unionByName(links.link_diagnostics(followed, resolved))
         source = followed
     kept = select_entries(source, options)
     if options.symlinks == "follow":
         files = _followed_contents(kept, resolved, file_contents)
     elif options.symlinks == "include":
-        files = links.contents_through_links(kept, entries, file_contents)
+        files = links.contents_through_links(kept, entries, file_contents, options.max_hops)
     else:
         files = kept.where("not is_directory").join(file_contents, "path", "left")
-    processed = contents.process_files(
-        files,
-        max_file_bytes=options.max_file_bytes,
-        link_placeholders=options.symlinks == "placeholder",
-        **content_settings(options),
-    )
-    found = found.unionByName(stats.content_diagnostics(processed, options.max_file_bytes))
+    processed = _processed(files, options)
+    found = found.unionByName(stats.content_diagnostics(processed))
     return Run(kept, processed, found, options)
 
 
@@ -181,15 +201,10 @@ def assemble_corpus(files: DataFrame, options: Options | None = None) -> Run:
         taken = files.join(kept.select("path"), "path", "left_semi")
     else:
         taken = select_by_row(files.withColumn("is_directory", F.lit(False)), options)
-    processed = contents.process_files(
-        taken,
-        max_file_bytes=options.max_file_bytes,
-        link_placeholders=options.symlinks == "placeholder",
-        **content_settings(options),
-    )
-    found = stats.listing_diagnostics(entries, options.max_depth).unionByName(
-        stats.content_diagnostics(processed, options.max_file_bytes)
-    )
+    processed = _processed(taken, options)
+    found = stats.listing_diagnostics(
+        entries, options.max_depth, options.max_path_bytes
+    ).unionByName(stats.content_diagnostics(processed))
     return Run(kept, processed, found, options)
 
 
@@ -220,26 +235,31 @@ def assemble_tree(
         spark,
         root,
         exclude=[*own, *options.exclude],
+        include=options.include,
         follow=options.symlinks == "follow",
         max_depth=options.max_depth,
+        max_path_bytes=options.max_path_bytes,
     )
     kept = select_entries(listed, options)
     readable = links.skip_links(kept) if options.symlinks == "placeholder" else kept
     processed = _tree_contents(readable, root, options)
     if options.symlinks == "placeholder":
         processed = processed.unionByName(_placeholders(kept, content_settings(options)["written"]))
-    unread = filetree.read_diagnostics(readable, options.max_file_bytes)
-    return Run(kept, processed, found.unionByName(unread), options)
+    if options.content_plugins:
+        processed = run_content_plugins(join_blocks(processed), options.content_plugins)
+    # What failed is known from the reads themselves.
+    return Run(kept, processed, found.unionByName(stats.content_diagnostics(processed)), options)
 
 
 def _tree_contents(entries: DataFrame, root: str, options: Options) -> DataFrame:
     """Files of one block are processed where they are read; only those of several blocks, if
     there are any, need to know of each other's blocks."""
     sized = filetree.with_blocks(entries.where("not is_directory"), options.block_bytes)
-    several = sized.where((F.col("blocks") > 1) & (F.col("size") <= options.max_file_bytes))
+    large = filters.too_large(F.col("size"), options.max_file_bytes)
+    several = sized.where((F.col("blocks") > 1) & ~large)
     if several.isEmpty():
         return process_tree_blocks(_blocks(entries, root, options), options, one_block=True)
-    rest = sized.where((F.col("blocks") == 1) | (F.col("size") > options.max_file_bytes))
+    rest = sized.where((F.col("blocks") == 1) | large)
     single = process_tree_blocks(_blocks(rest, root, options), options, one_block=True)
     return single.unionByName(process_tree_blocks(_blocks(several, root, options), options))
 
@@ -251,24 +271,12 @@ def _blocks(files: DataFrame, root: str, options: Options) -> DataFrame:
 def process_tree_blocks(
     blocks: DataFrame, options: Options, one_block: bool = False
 ) -> DataFrame:
-    good = contents.process_blocks(
-        blocks.where("code is null"), one_block=one_block, **content_settings(options)
-    )
-    columns = ["path", "size", "block_no", "blocks", "status", "input_bytes", "body", "body_bytes"]
-    # A file that cannot be opened is one row, whatever the number of its blocks.
-    bad = blocks.where("code is not null and block_no = 0").select(
-        "path",
-        "size",
-        "block_no",
-        "blocks",
-        F.when(F.col("code") == contents.TOO_LARGE, contents.TOO_LARGE)
-        .otherwise(contents.UNREADABLE)
-        .alias("status"),
-        F.lit(0).cast("long").alias("input_bytes"),
-        F.lit(None).cast("binary").alias("body"),
-        F.lit(0).cast("long").alias("body_bytes"),
-    )
-    return good.select(*columns).unionByName(bad)
+    """Processed blocks; a file of which any block could not be read is unreadable as a whole."""
+    processed = contents.process_blocks(blocks, one_block=one_block, **content_settings(options))
+    return processed.select(*BLOCK_COLUMNS)
+
+
+BLOCK_COLUMNS = ["path", "size", "block_no", "blocks", "status", "code", "input_bytes", "body", "body_bytes"]
 
 
 def _placeholders(kept: DataFrame, written: ChunkFunction | None) -> DataFrame:
@@ -279,6 +287,7 @@ def _placeholders(kept: DataFrame, written: ChunkFunction | None) -> DataFrame:
         F.lit(0).alias("block_no"),
         F.lit(1).alias("blocks"),
         F.lit(contents.OK).alias("status"),
+        F.lit(None).cast("string").alias("code"),
         F.lit(0).cast("long").alias("input_bytes"),
         (written(notice) if written else notice).alias("body"),
         F.octet_length(notice).cast("long").alias("body_bytes"),

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PATTERNS = "pattern_id int, pattern string"
+
 # The rules that derive paths and bytes.
 EXTENSIONS = [".txt", ".md", ".c", ".h", ".log", ".PY"]
 INCLUDE = ["*.c", "*.h", "*.py", "src0/*", "doc_1?.txt"]
@@ -20,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _doc_path(doc_id: Column, source: Column, lang: Column) -> Column:
+def _doc_path(doc_id: Column, source: Column, lang: Column, stem: Column | str = "doc_") -> Column:
     top = (
         F.when(doc_id % 29 == 0, ".git/")
         .when(doc_id % 7 == 0, "src/")
@@ -29,30 +31,40 @@ def _doc_path(doc_id: Column, source: Column, lang: Column) -> Column:
     )
     names = F.array(*(F.lit(e) for e in EXTENSIONS))
     extension = F.get(names, (doc_id % len(EXTENSIONS)).cast("int"))
-    return F.concat(top, source, F.lit("/"), lang, F.lit("/doc_"), doc_id, extension)
+    stem = F.lit(stem) if isinstance(stem, str) else stem
+    return F.concat(top, source, F.lit("/"), lang, F.lit("/"), stem, doc_id, extension)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as ``(doc_id, source, lang, path, content, size, is_symlink, is_directory)``."""
+    """Documents as ``(doc_id, source, lang, path, content, size, is_symlink, is_directory)``.
+
+    Every document with its whole text. Beside some of them stand further files: an empty one, one
+    with a NUL before or behind the text, and a link (a row of its own, whose content is the text).
+    """
     n = F.col("doc_id")
-    raw = F.col("text").cast("binary")
-    content = (
-        F.when(n % 41 == 0, F.lit(b""))
-        .when(n % 26 == 0, F.concat(F.lit(NUL), raw))
-        .when(n % 26 == 13, F.concat(raw, F.lit(NUL)))
-        .otherwise(raw)
+    stems = F.array_compact(
+        F.array(
+            F.lit("doc_"),
+            F.when(n % 41 == 0, "empty_"),
+            F.when((n % 26 == 0) | (n % 26 == 13), "nul_"),
+            F.when(n % 11 == 0, "link_"),
+        )
     )
+    raw, stem = F.col("text").cast("binary"), F.col("stem")
+    with_nul = F.when(n % 26 == 0, F.concat(F.lit(NUL), raw)).otherwise(F.concat(raw, F.lit(NUL)))
+    content = F.when(stem == "empty_", F.lit(b"")).when(stem == "nul_", with_nul).otherwise(raw)
     return (
         table(spark, sf_dir, "documents")
+        .withColumn("stem", F.explode(stems))
         .withColumn("content", content)
         .select(
             "doc_id",
             "source",
             "lang",
-            _doc_path(n, F.col("source"), F.col("lang")).alias("path"),
+            _doc_path(n, F.col("source"), F.col("lang"), stem).alias("path"),
             "content",
             F.octet_length("content").cast("long").alias("size"),
-            (n % 11 == 0).alias("is_symlink"),
+            (stem == "link_").alias("is_symlink"),
             F.lit(False).alias("is_directory"),
         )
     )
@@ -114,7 +126,7 @@ def link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree with every kind of link: documents in ``source/lang`` and links made per directory.
 
     Upward links (cycles), links to themselves, to nothing, to a file, two links to one
-    directory, and chains of links.
+    directory, chains of links, and links whose target lies behind a linked directory.
     """
     docs = table(spark, sf_dir, "documents")
     source, lang = F.col("source"), F.col("lang")
@@ -158,6 +170,8 @@ def link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         link("hop", F.concat(following, F.lit("/hop2")), fresh == 1),
         link("hop2", F.concat(following, F.lit("/en")), fresh == 2),
         link("up", F.concat(F.lit("src"), number - 2), fresh == 3),
+        link("via", F.concat(source, F.lit("/next/en")), fresh == 0),
+        link("beyond", F.concat(source, F.lit("/twin/en/back/"), "head.lang"), fresh == 0),
     )
     at_source = per_source.select(F.inline(F.array_compact(made)))
     links = in_lang.unionByName(at_source).select(

@@ -37,19 +37,22 @@ def _excluded(patterns: list[str], path: str = "path", directory: str = "is_dire
 
 
 _CORPUS = """corpus AS (
-  SELECT doc_id, source, lang, top || source || '/' || lang || '/doc_' || doc_id || ext AS path,
-         content, octet_length(content) AS size, doc_id % 11 = 0 AS is_symlink
+  SELECT doc_id, source, lang, top || source || '/' || lang || '/' || stem || doc_id || ext AS path,
+         content, octet_length(content) AS size, stem = 'link_' AS is_symlink, stem
   FROM (
-    SELECT doc_id, source, lang,
+    SELECT doc_id, source, lang, stem,
       CASE WHEN doc_id % 29 = 0 THEN '.git/' WHEN doc_id % 7 = 0 THEN 'src/'
            WHEN doc_id % 5 = 0 THEN 'build/' ELSE '' END AS top,
       CASE doc_id % 6 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' WHEN 2 THEN '.c' WHEN 3 THEN '.h'
            WHEN 4 THEN '.log' ELSE '.PY' END AS ext,
-      CASE WHEN doc_id % 41 = 0 THEN ''::BLOB
-           WHEN doc_id % 26 = 0 THEN '\\x00'::BLOB || encode(text)
-           WHEN doc_id % 26 = 13 THEN encode(text) || '\\x00'::BLOB
+      CASE WHEN stem = 'empty_' THEN ''::BLOB
+           WHEN stem = 'nul_' AND doc_id % 26 = 0 THEN '\\x00'::BLOB || encode(text)
+           WHEN stem = 'nul_' THEN encode(text) || '\\x00'::BLOB
            ELSE encode(text) END AS content
-    FROM documents))"""
+    FROM (SELECT *, 'doc_' AS stem FROM documents
+          UNION ALL SELECT *, 'empty_' FROM documents WHERE doc_id % 41 = 0
+          UNION ALL SELECT *, 'nul_' FROM documents WHERE doc_id % 26 IN (0, 13)
+          UNION ALL SELECT *, 'link_' FROM documents WHERE doc_id % 11 = 0)))"""
 
 _PAGES = """pages_corpus AS (
   SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/')
@@ -304,7 +307,8 @@ oracle(
 
 _LINKED = """linked AS (
   SELECT a.*, CASE WHEN a.is_symlink THEN coalesce(b.path, 'missing/doc_' || a.doc_id) END
-    AS link_target FROM corpus a LEFT JOIN corpus b ON b.doc_id = a.doc_id + 1)"""
+    AS link_target FROM corpus a
+    LEFT JOIN corpus b ON b.doc_id = a.doc_id + 1 AND b.stem = 'doc_' AND a.is_symlink)"""
 
 oracle(
     "symlink_placeholder",
@@ -464,7 +468,9 @@ links AS (
   UNION ALL SELECT source, 'twin', 'src' || (n + 1) FROM named WHERE n % 4 = 0
   UNION ALL SELECT source, 'hop', 'src' || (n + 1) || '/hop2' FROM named WHERE n % 4 = 1
   UNION ALL SELECT source, 'hop2', 'src' || (n + 1) || '/en' FROM named WHERE n % 4 = 2
-  UNION ALL SELECT source, 'up', 'src' || (n - 2) FROM named WHERE n % 4 = 3),
+  UNION ALL SELECT source, 'up', 'src' || (n - 2) FROM named WHERE n % 4 = 3
+  UNION ALL SELECT source, 'via', source || '/next/en' FROM named WHERE n % 4 = 0
+  UNION ALL SELECT source, 'beyond', source || '/twin/en/back/' || lang FROM named WHERE n % 4 = 0),
 plain AS (
   SELECT source || '/' || lang AS parent, 'doc_' || doc_id || '.txt' AS name, false AS is_directory,
          octet_length(encode(text)) AS size FROM documents
@@ -473,8 +479,9 @@ plain AS (
 places AS (SELECT CASE WHEN parent = '' THEN name ELSE parent || '/' || name END AS path, * FROM plain),
 hops AS (
   SELECT parent || '/' || name AS path, target, 1 AS hop FROM links
-  UNION ALL SELECT h.path, l.target, hop + 1 FROM hops h JOIN links l
-    ON h.target = l.parent || '/' || l.name WHERE hop < 40),
+  UNION ALL SELECT h.path, l.target || substr(h.target, length(l.parent || '/' || l.name) + 1), hop + 1
+    FROM hops h JOIN links l ON (h.target = l.parent || '/' || l.name
+      OR starts_with(h.target, l.parent || '/' || l.name || '/')) WHERE hop < 40),
 ends AS (SELECT h.path, p.path AS target, p.is_directory, p.size FROM hops h JOIN places p
   ON h.target = p.path),
 children AS (
@@ -508,10 +515,10 @@ oracle(
 oracle(
     "link_diagnostics",
     _TREE,
-    """SELECT path, 'cycle' AS code, 'Circular symlink detected, skipping: ' || physical AS message
+    """SELECT path, 'cycle' AS code, physical || ' leads back into a directory on its own way' AS message
          FROM walk WHERE is_cycle
        UNION ALL SELECT parent || '/' || name, 'unresolvable_link',
-         'Cannot resolve symlink: ' || parent || '/' || name FROM links
+         parent || '/' || name || ' leads to nothing that is listed' FROM links
          WHERE parent || '/' || name NOT IN (SELECT path FROM ends)""",
     recursive=True,
 )
@@ -539,14 +546,13 @@ oracle(
 )
 
 _CODES = """found AS (
-  SELECT path, 'depth_exceeded' AS code, 'Maximum directory depth (3) exceeded: ' || path AS message
+  SELECT path, 'depth_exceeded' AS code, path || ' lies deeper than the run goes' AS message
     FROM linked WHERE len(string_split(path, '/')) - 1 >= 3
   UNION ALL
-  SELECT l.path, 'too_large', 'File too large, skipping (limit 8000 bytes): ' || l.path || ' ('
-      || l.size || ' bytes)'
+  SELECT l.path, 'too_large', l.path || ' has more bytes than the run takes'
     FROM linked l WHERE len(string_split(path, '/')) - 1 < 3 AND NOT is_symlink AND size > 8000
   UNION ALL
-  SELECT l.path, 'unreadable', 'Cannot open file: ' || l.path
+  SELECT l.path, 'unreadable', l.path || ' has no content that could be read'
     FROM linked l LEFT JOIN corpus t ON l.link_target = t.path
     WHERE len(string_split(l.path, '/')) - 1 < 3 AND l.is_symlink AND t.path IS NULL)"""
 
@@ -561,10 +567,13 @@ oracle(
 oracle(
     "content_plugin_lines",
     _CORPUS,
-    _chunked(),
+    _KEPT,
+    _chunked("kept"),
     """lines AS (SELECT path, k, chunk, 1 + coalesce(sum(len(regexp_extract_all(hex(chunk),
          '(?:(?:[1-9A-F].|0[0-9B-F])*)(0A)'))) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
          AND 1 PRECEDING), 0) AS line FROM chunks)""",
-    """SELECT path, CAST(k AS INTEGER) AS chunk_no, md5(encode(line || ': ') || chunk) AS md5,
-         octet_length(encode(line || ': ') || chunk) AS bytes FROM lines""",
+    """numbered AS (SELECT path, unhex(string_agg(hex(encode(line || ': ') || chunk), '' ORDER BY k)) AS body
+         FROM lines GROUP BY path)""",
+    """SELECT path, 'ok' AS status, size AS input_bytes, md5(coalesce(body, ''::BLOB)) AS md5,
+         octet_length(coalesce(body, ''::BLOB)) AS bytes FROM kept LEFT JOIN numbered USING (path)""",
 )

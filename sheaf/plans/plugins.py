@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.content import ChunkFunction, ContentRule
+from sheaf.operators.contents import explode_chunks
 
 
 @dataclass(frozen=True)
@@ -38,12 +39,6 @@ def register_filter(
     return _FILTERS[name]
 
 
-def filter_named(name: str) -> FilterPlugin:
-    if name not in _FILTERS:
-        raise ValueError(f"unknown filter: {name!r}")
-    return _FILTERS[name]
-
-
 def path_predicates(plugins: list[FilterPlugin]) -> list[Callable[[DataFrame], Column]]:
     return [p.path for p in plugins if p.path]
 
@@ -79,7 +74,8 @@ def apply_content_plugin(chunks: DataFrame, plugin: ContentPlugin) -> DataFrame:
 
     Files are spread by path and their chunks sorted, then streamed: a task holds one file's
     state and one batch of chunks, never a file. ``end`` needs the file's last chunk, so that
-    one is held back until the next file begins.
+    one is held back until the next file begins. An empty file is one row whose content is NULL:
+    the plugin sees its start and end, and no chunk.
     """
     columns = ["path", "chunk_no", "content"]
     ordered = chunks.select(*columns).repartition("path").sortWithinPartitions("path", "chunk_no")
@@ -89,7 +85,7 @@ def apply_content_plugin(chunks: DataFrame, plugin: ContentPlugin) -> DataFrame:
 
         def closed() -> list:
             tail = plugin.end(state) or b""
-            return [held[0], held[1], held[2] + tail]
+            return [held[0], held[1], bytes(held[2] or b"") + tail]
 
         for batch in batches:
             out = []
@@ -101,8 +97,9 @@ def apply_content_plugin(chunks: DataFrame, plugin: ContentPlugin) -> DataFrame:
                     state = plugin.start(path)
                 if held is not None:
                     out.append(held)
-                data = plugin.chunk(state, row.content)
-                held = [row.path, row.chunk_no, row.content if data is None else data]
+                data = None if row.content is None else plugin.chunk(state, row.content)
+                number = 0 if pd.isna(row.chunk_no) else int(row.chunk_no)
+                held = [row.path, number, row.content if data is None else data]
             if out:
                 yield pd.DataFrame(out, columns=columns)
         if held is not None:
@@ -111,6 +108,23 @@ def apply_content_plugin(chunks: DataFrame, plugin: ContentPlugin) -> DataFrame:
     return ordered.mapInPandas(work, "path string, chunk_no int, content binary")
 
 
+def run_content_plugins(processed: DataFrame, plugins: Sequence[ContentPlugin]) -> DataFrame:
+    """Processed whole files with the bodies of readable ones led through ``plugins``, in order.
+
+    Bodies are cut into the chunks of their files' recorded sizes, also the empty ones. What a
+    plugin makes of a file is joined to one body again.
+    """
+    for plugin in plugins:
+        shown = processed.where(F.col("body").isNotNull())
+        pieces = shown.select("path", "size", F.col("body").alias("content"))
+        made = chunk_body(apply_content_plugin(explode_chunks(pieces, empty=True), plugin))
+        made = made.select("path", F.col("body").alias("_made"))
+        body = F.coalesce("_made", "body")
+        processed = processed.join(made, "path", "left").withColumn("body", body).drop("_made")
+        processed = processed.withColumn("body_bytes", F.octet_length("body").cast("long"))
+    return processed
+
+
 class LineNumbers(ContentPlugin):
     """Puts the running line number in front of every chunk; a line counts where it ends."""
 
@@ -124,7 +138,7 @@ class LineNumbers(ContentPlugin):
 
 
 def chunk_body(chunks: DataFrame) -> DataFrame:
-    """Chunk rows of one file joined in order; a file is bounded by the size limit."""
+    """Chunk rows joined in order to one body per file."""
     return chunks.groupBy("path").agg(
         F.expr("listagg(content, X'') within group (order by chunk_no)").alias("body")
     )

@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import content as C
 from sheaf.functions import paths as P
-from sheaf.functions.globs import matches_any
 from sheaf.operators import contents, filters, links, render, stats
 from sheaf.operators.ordering import with_position
 from sheaf.plans import fixtures, plugins
 from sheaf.plans.assemble import Options, assemble_corpus, assemble_tables
 from sheaf.session import written
-from sheaf.sources import filetree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,36 +159,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "chunk_no", "offset", *digest(F.col("content")))
 
 
-@query
-def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder of the given tables as a tree, each table file read whole in blocks.
-
-    Without SQL: DuckDB is not told where the tables lie.
-    """
-    entries, _ = filetree.read_tree(spark, sf_dir)
-    read = filetree.read_blocks(entries, sf_dir, block_bytes=1 << 20)
-    taken = read.groupBy("path").agg(
-        F.count(F.lit(1)).alias("blocks"),
-        F.sum(F.octet_length("content").cast("long")).alias("bytes"),
-    )
-    shown = entries.select("path", "size", "is_directory", "is_binary", "level")
-    return shown.join(taken, "path", "left")
-
-
 # Filters
 
 
 @query
 def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.col("path")
-    tests = [
-        F.when(matches_any(path, [pattern]), F.lit(number))
-        for number, pattern in enumerate(
-            [*fixtures.INCLUDE, *filters.trimmed(fixtures.EXCLUDE), "*/DE/doc_*[!02468].?"]
-        )
-    ]
-    hits = F.explode(F.array_compact(F.array(*tests))).alias("pattern_id")
-    return fixtures.corpus(spark, sf_dir).select("path", hits)
+    globs = [*fixtures.INCLUDE, *filters.trimmed(fixtures.EXCLUDE), "*/DE/doc_*[!02468].?"]
+    patterns = spark.createDataFrame(list(enumerate(globs)), fixtures.PATTERNS)
+    return filters.match_patterns(fixtures.corpus(spark, sf_dir).select("path"), patterns)
 
 
 @query
@@ -362,9 +338,8 @@ def structure_listing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = kept_files(spark, sf_dir)
-    sources = corpus.select("path", "content")
-    processed = contents.process_files(corpus.drop("content").join(sources, "path", "left"))
+    # Each row has its content: nothing is joined.
+    processed = contents.process_files(kept_files(spark, sf_dir))
     text = render.file_text(render.TextFormatter())
     return processed.select("path", "status", *digest(text))
 
@@ -372,8 +347,10 @@ def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _whole_document(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
     files = kept_files(spark, sf_dir).withColumn("link_target", F.lit(None).cast("string"))
     run = assemble_corpus(files, options)
-    placed = render.with_document_position(run.fragments, run.entries)
-    return placed.select("section", "position", *digest(F.col("text")))
+    # Digests first: no text crosses between tasks to get its position.
+    shown = run.fragments.select("section", "order_key", *digest(F.col("text")))
+    placed = render.with_document_position(shown, run.entries)
+    return placed.select("section", "position", "md5", "bytes")
 
 
 @query
@@ -488,7 +465,7 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def link_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = written(fixtures.link_tree(spark, sf_dir), "entries")
-    resolved = written(links.resolve_links(tree), "resolved")
+    resolved = links.resolve_links(tree)
     return links.link_diagnostics(links.follow_links(tree, resolved=resolved), resolved)
 
 
@@ -499,6 +476,8 @@ def diagnostic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def content_plugin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = contents.explode_chunks(fixtures.corpus(spark, sf_dir))
-    numbered = plugins.apply_content_plugin(pieces, plugins.LineNumbers())
-    return numbered.select("path", "chunk_no", *digest(F.col("content")))
+    """Line numbers through a whole run, as a content plugin of its options."""
+    files = kept_files(spark, sf_dir).withColumn("link_target", F.lit(None).cast("string"))
+    options = Options(binary="include", content_plugins=[plugins.LineNumbers()])
+    processed = assemble_corpus(files, options).processed
+    return processed.select("path", "status", "input_bytes", *digest(F.col("body")))

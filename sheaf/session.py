@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back
-    to a temporary folder, because there every task runs on this machine.
+    to a temporary folder, removed at exit, because there every task runs on this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,7 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sheaf-"))
+        folder = tempfile.mkdtemp(prefix="sheaf-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 

@@ -32,9 +32,11 @@ class _DocumentWriter(DataSourceArrowWriter):
     def _open(self):
         from pyarrow import fs
 
-        if "://" in self.path or self.path.startswith("file:"):
+        if self.path.startswith("file:"):
+            return fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
+        if "://" in self.path:
             return fs.FileSystem.from_uri(self.path)
-        return fs.LocalFileSystem(), self.path
+        raise ValueError(f"the document's path needs a scheme: {self.path}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         context = TaskContext.get()
@@ -92,6 +94,20 @@ class DocumentSink(DataSource):
         return _DocumentWriter(self.options["path"], overwrite)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: without one it lies on the cluster's default file system.
+
+    A file system of one machine is refused on a cluster, as each executor would write to its own.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(conf).makeQualified(place).toString()
+    own = full.startswith("file:") and not path.startswith("file:")
+    if own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} would lie on each machine's own disk; give it a scheme")
+    return full
+
+
 def write_document(fragments: DataFrame, path: str, entries: DataFrame | None = None) -> None:
     """Replace the document at ``path``, a folder that all executors reach.
 
@@ -99,7 +115,8 @@ def write_document(fragments: DataFrame, path: str, entries: DataFrame | None =
     """
     fragments.sparkSession.dataSource.register(DocumentSink)
     ordered = in_order(fragments, entries).select("text")
-    ordered.write.format("document").mode("overwrite").save(path)
+    full = qualified(fragments.sparkSession, path)
+    ordered.write.format("document").mode("overwrite").save(full)
 
 
 def write_text(fragments: DataFrame, path: str, entries: DataFrame | None = None) -> None:

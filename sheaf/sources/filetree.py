@@ -19,16 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.functions.content import (
-    BINARY_FLAG_WINDOW,
-    MAX_DEPTH,
-    MAX_FILE_BYTES,
-    MAX_PATH_BYTES,
-    chunk_bytes,
-)
+from sheaf.functions import reports
+from sheaf.functions.content import BINARY_FLAG_WINDOW, chunk_bytes
 from sheaf.functions.globs import glob_alternation
 from sheaf.operators.contents import TOO_LARGE
-from sheaf.operators.filters import trimmed
+from sheaf.operators.filters import OMITTABLE_PREFIX, too_large, trimmed
 from sheaf.session import new_table_path
 
 BLOCK_BYTES = 16 << 20
@@ -69,54 +64,84 @@ def _code(error: OSError) -> str:
     return "disappeared" if error.errno == errno.ENOENT else "cannot_open"
 
 
-def _warn(path: str, code: str, message: str) -> dict:
+def _warn(path: str, code: str, about: str | None = None) -> dict:
+    message = reports.text(code, path if about is None else about)
     return _BLANK | {"kind": "diagnostic", "path": path, "code": code, "message": message}
 
 
+def _shown(name: str) -> str:
+    """A name of the file system as text: bytes that are not UTF-8 become ``\\xNN``."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
+
+
+def _real(full: str) -> str | bytes:
+    """The name in the file system that ``full`` shows: as it is, unless only escapes explain it."""
+    if "\\x" not in full or os.path.lexists(full):
+        return full
+    raw = re.sub(rb"\\x([0-9a-f]{2})", lambda m: bytes([int(m[1], 16)]), os.fsencode(full))
+    return raw if os.path.lexists(raw) else full
+
+
 def _sniff(full: str) -> tuple[bool, str | None]:
     """Whether the file is binary, or why it cannot be opened."""
     try:
-        with open(full, "rb") as file:
+        with open(_real(full), "rb") as file:
             return b"\x00" in file.read(BINARY_FLAG_WINDOW), None
     except OSError as error:
         return False, _code(error)
 
 
-def _lister(follow: bool, exclude: Sequence[str], max_depth: int, budget: int):
+def _lister(
+    follow: bool,
+    include: Sequence[str],
+    exclude: Sequence[str],
+    max_depth: int | None,
+    max_path_bytes: int | None,
+    sniff: bool,
+    budget: int,
+):
     """The task function: turns todo rows into entries, diagnostics and further todo rows."""
+    wanted = re.compile(glob_alternation(include)).fullmatch if include else None
     hidden = re.compile(glob_alternation(exclude)).fullmatch
     inside = re.compile(glob_alternation([p + "/*" for p in exclude])).fullmatch
 
     def entry(path: str, full: str, depth: int) -> tuple[list[dict], str | None]:
         """The rows of one entry, and the directory to go down if it is one."""
         name = path.rsplit("/", 1)[-1]
-        if len(os.fsencode(full)) >= MAX_PATH_BYTES:
-            return [_warn(path, "path_too_long", f"Path too long, skipping: {name}")], None
+        if max_path_bytes is not None and len(os.fsencode(full)) >= max_path_bytes:
+            return [_warn(path, "path_too_long")], None
+        real = _real(full)
         try:
-            info = os.lstat(full)
+            info = os.lstat(real)
         except OSError as error:
-            return [_warn(path, _code(error), f"Cannot stat: {path}")], None
+            return [_warn(path, _code(error))], None
         rows = []
         is_link = stat.S_ISLNK(info.st_mode)
         is_dir, size, read_size = stat.S_ISDIR(info.st_mode), info.st_size, info.st_size
         target = down = read_error = None
         if is_link:
-            target = os.readlink(full)
             try:
-                seen = os.stat(full)
+                target = _shown(os.fsdecode(os.readlink(real)))
+                seen = os.stat(real)
                 read_size = 0 if stat.S_ISDIR(seen.st_mode) else seen.st_size
                 if follow:
                     is_dir, size = stat.S_ISDIR(seen.st_mode), seen.st_size
-                    down = os.path.realpath(full)
+                    down = _shown(os.fsdecode(os.path.realpath(real)))
             except OSError as error:
                 read_size, read_error = 0, _code(error)
                 if follow:
-                    rows.append(_warn(path, "unresolvable_link", f"Cannot resolve symlink: {path}"))
+                    rows.append(_warn(path, "unresolvable_link"))
+        if wanted and not is_dir:
+            short = path.removeprefix(OMITTABLE_PREFIX)
+            if not (wanted(path) or wanted(name) or wanted(short)):
+                return [], None
         if hidden(path) or hidden(name) or (is_dir and inside(path)):
             return [], None
-        is_binary = False
-        if stat.S_ISREG(info.st_mode):
-            is_binary, read_error = _sniff(full)
+        is_binary = None
+        if sniff:
+            is_binary = False
+            if stat.S_ISREG(info.st_mode):
+                is_binary, read_error = _sniff(full)
         rows.append(
             _BLANK
             | {
@@ -150,26 +175,29 @@ def _lister(follow: bool, exclude: Sequence[str], max_depth: int, budget: int):
                 return
             depth += 1
         try:
-            own = os.stat(full)
+            own = os.stat(_real(full))
             mark = f"{own.st_dev}:{own.st_ino}"
             if mark in entered:
-                yield _warn(path, "cycle", f"Circular symlink detected, skipping: {full}")
+                yield _warn(path, "cycle")
                 return
-            scan = os.scandir(full)
+            scan = os.scandir(os.fsdecode(_real(full)))
         except OSError as error:
-            yield _warn(path, _code(error), f"Cannot open directory: {full}")
+            yield _warn(path, _code(error), path or full)
             return
         entered.append(mark)
         with scan:
             for item in scan:
-                below = f"{path}/{item.name}" if path else item.name
-                if depth >= max_depth:
-                    yield _warn(below, "depth_exceeded", f"Maximum directory depth ({max_depth})")
+                name = _shown(item.name)
+                below = f"{path}/{name}" if path else name
+                if max_depth is not None and depth >= max_depth:
+                    yield _warn(below, "depth_exceeded")
                     continue
+                if os.fsencode(name) != os.fsencode(item.name):
+                    yield _warn(below, "name_not_utf8")
                 todo_row = _BLANK | {
                     "kind": "todo",
                     "path": below,
-                    "full_path": f"{full}/{item.name}",
+                    "full_path": f"{full}/{name}",
                     "level": depth,
                     "entered": entered,
                 }
@@ -213,18 +241,24 @@ def read_tree(
     root: str,
     exclude: Sequence[str] = (),
     follow: bool = False,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     task_entries: int = TASK_ENTRIES,
     parallelism: int | None = None,
+    include: Sequence[str] = (),
+    max_path_bytes: int | None = None,
+    sniff: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """List all below ``root``: ``(entries, diagnostics)``. Nothing that is missing raises.
 
     A task lists up to ``task_entries`` entries and hands the rest back; each round spreads that
     rest over all tasks, so neither a deep subtree nor one huge directory stays with one task.
-    Rounds are written to the shared folder. ``exclude`` globs stop the listing at a directory.
+    Rounds are written to the shared folder. ``exclude`` globs stop the listing at a directory,
+    ``include`` globs leave other files out. No file is opened unless ``sniff`` asks for
+    ``is_binary``. A name that is not UTF-8 is shown with escapes and a diagnostic.
     """
     table = new_table_path(spark, "tree")
-    work = _lister(follow, trimmed(exclude), max_depth, task_entries)
+    globs = trimmed(include), trimmed(exclude)
+    work = _lister(follow, *globs, max_depth, max_path_bytes, sniff, task_entries)
     slots = parallelism or spark.sparkContext.defaultParallelism * 4
     first = _BLANK | {"path": "", "full_path": os.path.abspath(root), "level": 0}
     todo = spark.createDataFrame([first | {"listed": True, "entered": []}], _ROWS)
@@ -289,7 +323,7 @@ def with_blocks(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def _read(base: str, row: dict) -> dict:
     content = code = None
     try:
-        with open(f"{base}/{row['path']}", "rb") as file:
+        with open(_real(f"{base}/{row['path']}"), "rb") as file:
             file.seek(row["block_no"] * row["block_bytes"])
             content = file.read(row["block_bytes"])
     except IsADirectoryError:
@@ -303,7 +337,7 @@ def read_blocks(
     entries: DataFrame,
     root: str,
     block_bytes: int = BLOCK_BYTES,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     parallelism: int | None = None,
 ) -> DataFrame:
     """The bytes of the files in ``entries``: ``(path, size, block_no, blocks, content, code)``.
@@ -329,12 +363,12 @@ def read_blocks(
     files = with_blocks(entries.where(~F.col("is_directory")), block_bytes)
     slots = parallelism or entries.sparkSession.sparkContext.defaultParallelism * 4
     plan = (
-        files.where(F.col("size") <= max_file_bytes)
+        files.where(~too_large(F.col("size"), max_file_bytes))
         .withColumn("block_no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("path", "size", "blocks", "block_bytes", "block_no")
         .repartition(slots, "path", "block_no")
     )
-    large = files.where(F.col("size") > max_file_bytes).select(
+    large = files.where(too_large(F.col("size"), max_file_bytes)).select(
         "path",
         "size",
         F.lit(0).alias("block_no"),
@@ -343,21 +377,3 @@ def read_blocks(
         F.lit(TOO_LARGE).alias("code"),
     )
     return plan.mapInArrow(work, _BLOCKS).unionByName(large)
-
-
-def read_diagnostics(entries: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``(path, code, message)`` for files whose content stays out, as the listing found them."""
-    large = F.col("size") > max_file_bytes
-    cap = F.format_string(
-        "File too large, skipping (limit %d bytes): %s (%d bytes)",
-        F.lit(max_file_bytes),
-        "path",
-        "size",
-    )
-    return entries.where(~F.col("is_directory") & (large | F.col("read_error").isNotNull())).select(
-        "path",
-        F.when(large, F.lit(TOO_LARGE)).otherwise(F.col("read_error")).alias("code"),
-        F.when(large, cap)
-        .otherwise(F.concat(F.lit("Cannot open file: "), "path"))
-        .alias("message"),
-    )

@@ -92,11 +92,14 @@ def test_positions_and_offsets_with_a_hot_group(spark):
     assert {r.path: (r.total, r.offset) for r in sized.collect()} == expected
 
 
+@pytest.mark.parametrize("coarse", [1024, 3])
 @pytest.mark.parametrize("starts", [["a"], ["b", "d"], list("bcdefghijklm"), ["", "zz"]])
-def test_route_finds_the_part_of_a_key(spark, starts):
+def test_route_finds_the_part_of_a_key(spark, starts, coarse, monkeypatch):
+    monkeypatch.setattr(ordering, "COARSE", coarse)
     keys = [c + x for c in "abcdez" for x in ("", "0", "zz")]
     rows = spark.createDataFrame([(k,) for k in keys], "k string")
-    routed = ordering.route(rows, F.col("k"), starts, "part")
+    table = spark.createDataFrame(list(enumerate(starts)), "part long, key string")
+    routed = ordering.route(rows, F.col("k"), table, len(starts), "part")
     got = routed.withColumn("at", F.spark_partition_id()).collect()
     for row in got:
         expected = max([n for n, s in enumerate(starts) if s <= row.k], default=0)
@@ -148,9 +151,7 @@ def test_lookup_join_with_hot_keys(spark, small, how):
     assert pieces == {"hot": 14}
 
 
-@pytest.mark.parametrize("listed", [500, 0])
-def test_pruning_by_row_predicates(spark, monkeypatch, listed):
-    monkeypatch.setattr(filters, "LISTED_DIRECTORIES", listed)
+def test_pruning_by_row_predicates(spark):
     rows = [(f"a{n % 5}/b{n % 3}/f{n}", False) for n in range(60)]
     directories = {p.rsplit("/", k)[0] for p, _ in rows for k in (1, 2)}
     entries = spark.createDataFrame(rows + [(d, True) for d in directories], "path string, is_directory boolean")
@@ -180,13 +181,32 @@ def chain(spark, length):
 def test_chains_of_links_resolve_up_to_the_limit(spark, monkeypatch, fits):
     if not fits:
         monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
-    got = {r.path: r for r in links.resolve_links(chain(spark, 43)).collect()}
-    assert len(got) == 49
-    for n in range(1, 44):
-        assert got[f"l{n}"].target == ("file" if n <= 40 else None), n
-    assert got["l40"].target_size == 9
-    for name in ("x", "y", "z", "self", "lost", "raw"):
-        assert got[name].target is None
+    for limit in (None, 40):
+        got = {r.path: r for r in links.resolve_links(chain(spark, 43), limit).collect()}
+        assert len(got) == 49
+        for n in range(1, 44):
+            assert got[f"l{n}"].target == ("file" if n <= 40 or limit is None else None), n
+        assert got["l40"].target_size == 9
+        for name in ("x", "y", "z", "self", "lost", "raw"):
+            assert got[name].target is None
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_links_through_linked_directories(spark, monkeypatch, fits):
+    if not fits:
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    rows = [("d", True, False, 0, None), ("d/e", True, False, 0, None), ("d/e/f", False, False, 2, None),
+            ("ld", False, True, 1, "d"), ("d/up", False, True, 1, "d"), ("x", False, True, 4, "ld/e/f"),
+            ("y", False, True, 4, "ld/up/up/e"), ("z", False, True, 4, "y/f"), ("w", False, True, 4, "z"),
+            ("bad", False, True, 4, "ld/none"), ("in", False, True, 4, "in/side"), ("a", False, True, 4, "b/c"),
+            ("b", False, True, 4, "a/c")]
+    got = {r.path: r.target for r in links.resolve_links(spark.createDataFrame(rows, LINKS)).collect()}
+    assert got == {"ld": "d", "d/up": "d", "x": "d/e/f", "y": "d/e", "z": "d/e/f", "w": "d/e/f",
+                   "bad": None, "in": None, "a": None, "b": None}
+    data = spark.createDataFrame([("d/e/f", bytearray(b"hi"))], "path string, content binary")
+    run = assemble_tables(spark.createDataFrame(rows, LINKS), data, Options(symlinks="include"))
+    shown = {r.path: (r.status, bytes(r.body or b"")) for r in run.processed.collect()}
+    assert shown["x"] == shown["w"] == ("ok", b"hi") and shown["bad"][0] == "unreadable"
 
 
 def test_following_without_small_sides(spark, sf_dir, monkeypatch):
@@ -281,9 +301,14 @@ def test_content_plugin_sees_a_files_chunks_in_order(spark):
 
     rows = [(f"f{n}", bytes([97 + n]) * (n * 9000), n * 9000) for n in range(5)]
     files = spark.createDataFrame(rows, "path string, content binary, size long")
-    chunks = plugins.apply_content_plugin(contents.explode_chunks(files), Tail())
+    chunks = plugins.apply_content_plugin(contents.explode_chunks(files, empty=True), Tail())
     got = {r.path: bytes(r.body) for r in plugins.chunk_body(chunks).collect()}
-    assert got == {p: d + f"|{p}:{s}".encode() for p, d, s in rows if s}
+    assert got == {p: d + f"|{p}:{s}".encode() for p, d, s in rows}
+    table = files.withColumns({"is_symlink": F.lit(False), "link_target": F.lit(None).cast("string")})
+    run = assemble_corpus(table, Options(content_plugins=[Tail(), Tail()]))
+    twice = {p: d + f"|{p}:{s}".encode() for p, d, s in rows}
+    twice = {p: d + f"|{p}:{len(d)}".encode() for p, d in twice.items()}
+    assert {r.path: bytes(r.body) for r in run.processed.collect()} == twice
 
 
 def test_streamed_fragments_equal_the_batch(spark, tmp_path):
@@ -304,6 +329,121 @@ def test_streamed_fragments_equal_the_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_streams_obey_options_or_raise(spark):
+    from sheaf.streaming.files import document_so_far, stream_fragments
+
+    rows = [("a", b"x", 1, False, None), ("b", b"y", 1, False, None), ("l", b"", 1, True, "a")]
+    files = spark.createDataFrame(rows, "path string, content binary, size long, is_symlink boolean, link_target string")
+    only_a = plugins.register_filter("only_a", path=lambda e: F.col("path") == "a")
+    shown = stream_fragments(files, Options(plugins=[only_a])).collect()
+    assert [bytes(r.text) for r in shown] == [b"// File: a\nx\n\n"]
+    shown = stream_fragments(files, Options(symlinks="placeholder")).collect()
+    assert any(b"Symbolic link to: a" in bytes(r.text) for r in shown)
+    for wrong in ({"symlinks": "follow"}, {"symlinks": "include"}, {"format": "json"}, {"content_plugins": [plugins.LineNumbers()]}):
+        with pytest.raises(ValueError):
+            stream_fragments(files, Options(**wrong))
+    assert document_so_far.__doc__
+
+
+def test_a_streamed_document_has_heads_and_listing(spark, tmp_path):
+    from sheaf.streaming.files import document_so_far, stream_fragments
+
+    files = spark.createDataFrame([("a", b"x", 1, False)], "path string, content binary, size long, is_symlink boolean")
+    stream_fragments(files).write.parquet(str(tmp_path / "t"))
+    entries = files.select("path", "size", F.lit(False).alias("is_directory"))
+    document_so_far(spark, str(tmp_path / "t"), str(tmp_path / "out"), entries)
+    text = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))).decode()
+    assert text.startswith("Directory Structure:") and "a\n\nFile Contents:" in text
+    assert text.endswith("// File: a\nx\n\n")
+
+
+def test_bundles_take_null_groups(spark):
+    rows = [(None if n % 2 else f"g{n % 3}", f"f{n:03d}", b"x" * n, n) for n in range(60)]
+    files = spark.createDataFrame(rows, "grp string, path string, content binary, size long")
+    got = render.bundles(files, contents.process_files(files), "grp", volume_bytes=300, part_bytes=200).collect()
+    text = {}
+    for r in sorted(got, key=lambda r: (r.grp or "", r.volume)):
+        text[r.grp] = text.get(r.grp, b"") + bytes(r.text)
+    want = {}
+    for group, path, data, _ in sorted(rows, key=lambda r: r[1]):
+        want[group] = want.get(group, b"") + f"// File: {path}\n".encode() + data + b"\n\n"
+    assert text == want
+
+
+def test_no_limit_applies_by_itself(spark):
+    deep, long = "/".join(["d"] * 300) + "/f", "p" * 5000
+    rows = [(deep, b"1", False, 1, None), (long, b"2", False, 1, None)]
+    files = spark.createDataFrame(rows, "path string, content binary, is_symlink boolean, size long, link_target string")
+    run = assemble_corpus(files)
+    assert {r.path for r in run.processed.collect()} == {deep, long} and run.diagnostics.count() == 0
+    cut = assemble_corpus(files, Options(max_depth=256, max_path_bytes=4096))
+    assert cut.processed.count() == 0
+    codes = {(r.path, r.code) for r in cut.diagnostics.collect()}
+    assert {(deep, "depth_exceeded"), (long, "path_too_long")} <= codes
+
+
+def test_pruning_hides_what_exclusion_hides(spark):
+    rng = random.Random(11)
+    names = ["a", "b", "a\\", "ab", "d.c", "[a"]
+    paths = {"/".join(rng.choices(names, k=rng.randrange(1, 4))) for _ in range(60)}
+    paths |= {p.rsplit("/", k)[0] for p in paths for k in (1, 2) if p.count("/") >= k}
+    rows = [(p, any(q.startswith(p + "/") for q in paths)) for p in sorted(paths)]
+    entries = spark.createDataFrame(rows, "path string, is_directory boolean")
+    long = "a" * 1030
+    rows.append((f"{long}/x/y", False))
+    patterns = ["a\\", "a", "*b", "[a", "a/*", "b\\", "?", "d.*", long]
+    for pattern in patterns:
+        own = {r.path for r in filters.keep_entries(entries, exclude=[pattern], prune=False).collect()}
+        pruned = {r.path for r in filters.keep_entries(entries, exclude=[pattern]).collect()}
+        gone = {p for p, _ in rows if p not in own}
+        want = {p for p in own if not any(p.startswith(g + "/") for g in gone)}
+        assert pruned == want, pattern
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_patterns_as_a_table(spark, monkeypatch, fits):
+    if not fits:
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    from sheaf.functions.globs import matches_any
+
+    rng = random.Random(5)
+    paths = ["".join(rng.choices("aB/.c\u00e9", k=rng.randrange(0, 9))) for _ in range(150)]
+    globs = ["", "*", "a*", "*.C", "?b*c", "[ab]*", "a\\*", "*/c", "AB", "*é", "**", "a*b*c", "*" + "c" * 20, "a" * 20 + "*", None]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    table = spark.createDataFrame(list(enumerate(globs)), "pattern_id int, pattern string")
+    got = sorted((r.path, r.pattern_id) for r in filters.match_patterns(frame, table).collect())
+    want = []
+    for number, glob in enumerate(globs):
+        if glob:
+            want += [(r.path, number) for r in frame.where(matches_any(F.col("path"), [glob])).collect()]
+    assert got == sorted(want)
+    assert filters.match_patterns(frame, table.where("pattern_id < 0")).count() == 0
+
+
+def test_hot_keys_are_few_and_weighed_by_bytes(spark, monkeypatch):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), (F.col("id") % 10).cast("string")).alias("key"))
+    assert skew.hot_keys(rows, "key", 50).count() == 10
+    monkeypatch.setattr(skew, "MOST_HOT", 5)
+    assert skew.hot_keys(rows, "key", 50).count() == 0
+    monkeypatch.setattr(skew, "MOST_HOT", 10_000)
+    sizes = spark.createDataFrame([("k3", skew.PIECE_BYTES)], "key string, bytes long")
+    assert {r.key: r["_pieces"] for r in skew.hot_keys(rows, "key", 1000, sizes).collect()} == {"k3": 100}
+
+
+def test_a_documents_path_is_qualified(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from sheaf.sources.document import _DocumentWriter, qualified
+
+    assert qualified(spark, str(tmp_path)).startswith("file:/")
+    context = spark.sparkContext
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=context._jvm, _jsc=context._jsc, master="yarn"))
+    with pytest.raises(ValueError, match="scheme"):
+        qualified(cluster, "/out")
+    with pytest.raises(ValueError, match="scheme"):
+        _DocumentWriter("/out", True)._open()
+
+
 def test_intermediate_tables_can_be_dropped(spark):
     import os
 

@@ -64,7 +64,7 @@ def test_listing_finds_everything_for_any_task_budget(spark, tmp_path, budget):
 def test_attributes(spark, tmp_path):
     root = make(tmp_path / "t", {"a.bin": b"x\0y", "late.bin": b"x" * 9000 + b"\0", "d/t.txt": "ü"})
     os.symlink("a.bin", f"{root}/link")
-    entries, _ = filetree.read_tree(spark, root)
+    entries, _ = filetree.read_tree(spark, root, sniff=True)
     mode = F.col("permissions")
     rows = {
         r.path: r
@@ -293,6 +293,58 @@ def test_caps(spark, tmp_path):
     assert [(r.path, r.code) for r in found.collect()] == [("d/d/d", "depth_exceeded")]
 
 
+def test_a_file_with_a_failed_block_is_unreadable_as_a_whole(spark, tmp_path, monkeypatch):
+    root = make(tmp_path / "t", {"bad": b"a" * 49152, "good": b"b" * 49152, "gone": b"c"})
+    usual = filetree.read_blocks
+
+    def failing(*args, **settings):
+        at = (F.col("path") == "bad") & (F.col("block_no") == 1)
+        lost = usual(*args, **settings).withColumn("code", F.when(at, "cannot_open").otherwise(F.col("code")))
+        return lost.withColumn("content", F.when(F.col("code").isNull(), F.col("content")))
+
+    monkeypatch.setattr(filetree, "read_blocks", failing)
+    run = assemble_tree(spark, root, Options(block_bytes=16384))
+    os.remove(f"{root}/gone")
+    text = text_of(spark, run, tmp_path / "out")
+    assert text.endswith(b"// File: bad\n// File: good\n" + b"b" * 49152 + b"\n\n// File: gone\n")
+    codes = {(r.path, r.code) for r in run.diagnostics.collect()}
+    assert codes == {("bad", "cannot_open"), ("gone", "disappeared")}
+    states = {r.path: r.status for r in run.processed.where("block_no = 0").collect()}
+    assert states == {"bad": "unreadable", "good": "ok", "gone": "unreadable"}
+
+
+def test_names_that_are_not_utf8_are_escaped(spark, tmp_path):
+    root = make(tmp_path / "t", {"plain": "p", r"lit\xff.txt": "l"})
+    raw = os.fsencode(root)
+    os.mkdir(raw + b"/d\xfe")
+    for name in (b"/bad\xff.txt", b"/d\xfe/in"):
+        with open(raw + name, "wb") as file:
+            file.write(b"raw")
+    os.symlink(b"bad\xff.txt", raw + b"/link")
+    run = assemble_tree(spark, root, Options(symlinks="include"))
+    text = text_of(spark, run, tmp_path / "out").decode()
+    for name, data in ((r"bad\xff.txt", "raw"), (r"d\xfe/in", "raw"), (r"lit\xff.txt", "l"), ("link", "raw")):
+        assert f"// File: {name}\n{data}\n" in text
+    codes = {(r.path, r.code) for r in run.diagnostics.collect()}
+    assert codes == {(r"bad\xff.txt", "name_not_utf8"), (r"d\xfe", "name_not_utf8")}
+
+
+def test_the_listing_takes_includes_and_opens_nothing(spark, tmp_path):
+    root = make(tmp_path / "t", {"a.c": "x", "b.md": "y", "src/d.c": "z", "e/f.md": "w"})
+    entries, _ = filetree.read_tree(spark, root, include=["*.C"])
+    assert paths(entries) == ["a.c", "e", "src", "src/d.c"]
+    assert {r.is_binary for r in entries.collect()} == {None}
+
+
+def test_content_plugins_on_a_tree(spark, tmp_path):
+    from sheaf.plans.plugins import LineNumbers
+
+    root = make(tmp_path / "t", {"a": "x\ny", "empty": ""})
+    run = assemble_tree(spark, root, Options(content_plugins=[LineNumbers()]))
+    text = text_of(spark, run, tmp_path / "out").split(MIDDLE.encode(), 1)[1]
+    assert text == b"// File: a\n1: x\ny\n\n// File: empty\n\n\n"
+
+
 def test_plugins_on_a_tree(spark, tmp_path):
     root = make(tmp_path / "t", {"keep/a.txt": "abc", "drop/b.txt": "b", "keep/secret.txt": "KEY"})
     plugin = register_filter(
