@@ -25,6 +25,8 @@ COUNTER_BITS, BLOCK_BITS = 22, 16
 FINE_BITS, FRAGMENTS = 9, 8
 #: Rows of one n-gram that are compared at a time, n-grams that may be split, rows of a task's bucket.
 CELL_ROWS, MOST_SPLIT, BUCKET_ROWS, WIDE = 2048, 100_000, 20_000, 64
+#: Bytes of text that a task works on at a time, and heads that a document is compared with first.
+SLICE, HEADS = 1 << 20, 2
 #: Bits that say which documents are in a candidate pair (a fixed 8 MB at most; false ones do no harm).
 MEMBER_BITS = 26
 
@@ -64,9 +66,9 @@ def _scan(words: int):
         counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         names = [c.split()[0] for c in _SCAN.split(", ")]
         kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             row, gram = shingle_sets(batch.column("text"), words)
-            counters += np.bincount((gram >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters)).astype(np.uint32)
+            np.add.at(counters, gram >> np.uint64(64 - COUNTER_BITS), np.uint32(1))
             n = np.bincount(row, minlength=batch.num_rows)
             begins = np.append(0, np.cumsum(n))
             sums = []
@@ -113,7 +115,7 @@ def _prefixes(texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
     """(gram, key): the first n-grams of every document, of which similar documents share one."""
 
     def prefixes(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             row, gram = shingle_sets(batch.column("text"), words)
             kind = classes.value[(gram >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
             gram = gram[np.lexsort((gram, kind, row))]
@@ -138,7 +140,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             bits = batch.column("bit").to_numpy() - 1
             there = [shared.value.get(b // 32768 + 1, empty)[b % 32768 // 8] >> (b % 8) & 1 for b in bits.tolist()]
-            for part in slices([batch.filter(pa.array(there, pa.int32()).cast(pa.bool_()))], "text"):
+            for part in slices([batch.filter(pa.array(there, pa.int32()).cast(pa.bool_()))], "text", SLICE):
                 row, gram = shingle_sets(part.column("text"), words)
                 # The n-grams are sorted by hash, so fragments are stretches of each text's.
                 piece = row * FRAGMENTS + (gram >> np.uint64(32)).astype(np.int64) * FRAGMENTS // (1 << 32)
@@ -261,7 +263,10 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     rows = written(rows, "shared-prefixes")
     release(spark)
     heads = rows.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a < last").select("gram", "a")
-    stars = rows.join(heads, "gram").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    # Of a document's heads, those that share most of its first n-grams; the others wait.
+    shared = rows.join(heads, "gram").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    stars = shared.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= HEADS).select("a", "b")
     size = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sizes").alias(f"s{c}"))
     stars = stars.join(size("a"), "a").join(size("b"), "b").mapInArrow(_possible(percent), "a long, b long")
     stars = written(stars, "stars")
