@@ -99,13 +99,20 @@ def with_offset(table: DataFrame, totalled: DataFrame, group: str, weight: str)
     )
 
 
-def part_size(table: DataFrame, weight: str, part_bytes: int = PART_BYTES) -> tuple[int, int]:
-    """Bytes per partition for all of ``weight``, and how many partitions that makes: at most
-    ``part_bytes`` each, and no fewer than cores."""
+def part_size(table: DataFrame, weight: str, part_bytes: int = PART_BYTES) -> int:
+    """Bytes per partition for all of ``weight``: at most ``part_bytes``, and so that there are no
+    fewer partitions than cores."""
     total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     cores = table.sparkSession.sparkContext.defaultParallelism
-    step = max(min(part_bytes, -(-total // cores)), 1)
-    return step, total // step + 1
+    return max(min(part_bytes, -(-total // cores)), 1)
+
+
+def numbered_parts(firsts: DataFrame) -> tuple[DataFrame, int]:
+    """``firsts``, a row per partition with its first ``key``, with the partitions' numbers in key
+    order as ``part``; and how many there are."""
+    placed = with_position(firsts, ["key"], "_n")
+    table = written(placed.withColumn("part", F.col("_n") - 1).drop("_n"), "bounds")
+    return table, table.count()
 
 
 def _last_at_most(found: Column, count: Column, key: Column) -> Column:
@@ -131,8 +138,8 @@ def route(rows: DataFrame, key: Column, starts: DataFrame, parts: int, part: str
     """Send each row to the partition of its ``key``. Adds the partition number as ``part``.
 
     ``starts`` (part, key) is a written table: partition ``part`` holds the keys from its ``key``
-    up to the next start; keys before the first start go with it. Numbers lie below ``parts`` and
-    need not all occur. Rows look their stretch of parts up among at most ``COARSE`` constants,
+    up to the next start; keys before the first start go with it. There are ``parts`` of them. Rows
+    look their stretch of parts up among at most ``COARSE`` constants,
     and the part within the stretch's list, so neither the driver nor a task holds all starts.
     """
     width = -(-parts // COARSE)

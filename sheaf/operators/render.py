@@ -15,6 +15,7 @@ from sheaf.functions.paths import LOWEST, level, order_key, size_kb
 from sheaf.operators.contents import OK
 from sheaf.operators.ordering import (
     PART_BYTES,
+    numbered_parts,
     ordered_table,
     part_size,
     route,
@@ -23,7 +24,6 @@ from sheaf.operators.ordering import (
     with_total,
 )
 from sheaf.operators.skew import measure
-from sheaf.session import written
 
 FRAGMENT_ORDER = ["section", "order_key", "block_no"]
 HEAD, STRUCTURE, CONTENT_HEAD, CONTENT, TAIL = range(5)
@@ -239,10 +239,10 @@ def in_order(
     listed = _listed_keys(entries).unionByName(frame)
     keys = ordered_table(listed, ["section", "order_key"])
     sized = with_total(keys, "bytes")
-    step, parts = part_size(keys, "bytes", part_bytes)
+    step = part_size(keys, "bytes", part_bytes)
     key = F.concat(F.col("section").cast("string"), F.col("order_key"))
-    part = whole_part(F.col("total"), F.lit(step)).alias("part")
-    starts = written(sized.groupBy(part).agg(F.min(key).alias("key")), "bounds")
+    part = whole_part(F.col("total"), F.lit(step)).alias("_of")
+    starts, parts = numbered_parts(sized.groupBy(part).agg(F.min(key).alias("key")).drop("_of"))
     routed = route(fragments, key, starts, parts, "_part").drop("_part")
     return routed.sortWithinPartitions(*FRAGMENT_ORDER)
 
@@ -275,14 +275,14 @@ def bundles(
         "volume", whole_part(F.col("offset"), F.lit(volume_bytes))
     )
     key = F.concat(F.col("_group"), F.lit(LOWEST), F.col("order_key"))
-    step, parts = part_size(keys, "size", part_bytes)
+    step = part_size(keys, "size", part_bytes)
     volumes = sized.groupBy("_group", "volume").agg(
         F.min(key).alias("key"), F.min("total").alias("total"), F.min("offset").alias("offset")
     )
     first = F.min(F.struct("key", "_group", "offset"))
-    part = whole_part(F.col("total"), F.lit(step)).alias("part")
+    part = whole_part(F.col("total"), F.lit(step)).alias("_of")
     firsts = volumes.groupBy(part).agg(first.alias("first"))
-    firsts = written(firsts.select("part", "first.*"), "bounds")
+    firsts, parts = numbered_parts(firsts.select("first.*"))
     carry = firsts.select(
         F.col("part").cast("int").alias("_part"), "_group", F.col("offset").alias("_carry")
     )
