@@ -306,7 +306,7 @@ def test_a_file_with_a_failed_block_is_unreadable_as_a_whole(spark, tmp_path, mo
     run = assemble_tree(spark, root, Options(block_bytes=16384))
     os.remove(f"{root}/gone")
     text = text_of(spark, run, tmp_path / "out")
-    assert text.endswith(b"// File: bad\n// File: good\n" + b"b" * 49152 + b"\n\n// File: gone\n")
+    assert text.endswith(b"// File: bad\n// File: gone\n// File: good\n" + b"b" * 49152 + b"\n\n")
     codes = {(r.path, r.code) for r in run.diagnostics.collect()}
     assert codes == {("bad", "cannot_open"), ("gone", "disappeared")}
     states = {r.path: r.status for r in run.processed.where("block_no = 0").collect()}
