@@ -22,7 +22,7 @@ from sheaf.session import written
 #: Counters of the n-grams' frequencies, and the blocks they are summed in: a fixed 16 MB.
 COUNTER_BITS, BLOCK_BITS = 22, 16
 #: Fine fragments, whose sizes travel with candidates, and fragments that overlaps are counted in.
-FINE_BITS, FRAGMENTS = 9, 8
+FINE_BITS, FRAGMENTS = 10, 8
 #: Rows of one n-gram that are compared at a time, n-grams that may be split, rows of a task's bucket.
 CELL_ROWS, MOST_SPLIT, BUCKET_ROWS, WIDE = 2048, 100_000, 20_000, 64
 #: Bytes of text that a task works on at a time, and heads that a document is compared with first.
