@@ -19,8 +19,9 @@ from sheaf.session import written
 SIZE, END = 2048, 1
 #: Pieces of one length are ranked in groups of about this many, and in at most so many groups.
 RANK_ROWS, MOST_GROUPS = 512, 100_000
-#: Words a worker remembers the ids of (some 200 MB); beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Words a worker remembers the ids of (some 60 MB, also while it does other work); beyond that it
+#: starts anew.
+REMEMBERED = 300_000
 
 
 class Tokens:
