@@ -18,9 +18,9 @@ from sheaf.llm.common import LETTERS, bytes_of, id_column, read, slices, text_co
 BITS = 20
 #: The classifier is fitted on at most so many labelled documents, those with the smallest id hash.
 SAMPLE = 6000
-#: A word has a weight if it is in this share of a class's documents of the sample and tells the
-#: classes apart by so many standard errors of its log ratio; words by chance do neither.
-LEAST_SHARE, LEAST_Z = 0.05, 3.5
+#: A word has a weight if it is in so many documents of the sample, whatever share of a class they
+#: are, and tells the classes apart by so many standard errors; words by chance do neither.
+LEAST_DOCS, LEAST_Z = 3, 3.5
 #: A word marks toxicity if labelled toxic documents hold it so many times as often as the others;
 #: a toxic document with so many different such words has grade 2, with fewer grade 1.
 LIFT, SEVERE = 8.0, 5
@@ -48,14 +48,20 @@ def grades(weights, thresholds, rows, feature, counts, n) -> np.ndarray:
 
 
 def telling(toxic, rows, feature) -> tuple[np.ndarray, np.ndarray]:
-    """Which features tell the classes apart, and how many times as frequent toxic texts hold each."""
+    """Which features tell the classes apart, and how many times as frequent toxic texts hold each.
+
+    The standard errors are the root of the likelihood ratio, which also holds for a word that one
+    class never has; those of the log ratio ask for about ten documents there.
+    """
     size = 1 << BITS
     bad, good = np.bincount(feature, toxic[rows], size), np.bincount(feature, 1 - toxic[rows], size)
     n_bad, n_good = toxic.sum(), len(toxic) - toxic.sum()
     lift = (bad + 0.5) / (n_bad + 1) / ((good + 0.5) / (n_good + 1))
-    z = np.abs(np.log(lift)) / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    often = (bad >= LEAST_SHARE * n_bad) & (bad > 1) | (good >= LEAST_SHARE * n_good) & (good > 1)
-    return often & (z >= LEAST_Z), lift
+    held = bad + good
+    expected = held * n_bad / max(len(toxic), 1)
+    cells = ((bad, expected), (good, held - expected), (n_bad - bad, n_bad - expected), (n_good - good, n_good - held + expected))
+    ratio = 2 * sum(n * np.log(np.maximum(n, 1) / np.where(n > 0, e, 1)) for n, e in cells)
+    return (held >= LEAST_DOCS) & (np.sqrt(np.maximum(ratio, 0)) >= LEAST_Z), lift
 
 
 def severity_grades(toxic, rows, feature) -> np.ndarray:

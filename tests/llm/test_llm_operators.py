@@ -561,6 +561,27 @@ def test_toxicity_on_held_out_documents(spark, sf_dir):
     assert held[held.toxic == 1].rejected.mean() > 0.4
 
 
+@pytest.mark.parametrize("held_out", [0, 1])
+def test_toxicity_on_held_out_documents_of_each_language(spark, sf_dir, held_out):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    trained = toxicity.train(docs, labels.where(f"doc_id % 2 != {held_out}"))
+    rated = toxicity.rate(docs.select("doc_id", "text", "lang"), trained).select("row.doc_id", "row.lang", F.col("toxic").alias("rejected"))
+    held = rated.join(labels.where(f"doc_id % 2 = {held_out}"), "doc_id").toPandas()
+    share = held.groupby(["lang", "toxic"]).rejected.mean()
+    for lang, least in (("en", 0.8), ("fr", 0.8), ("de", 0.7), ("es", 0.4)):
+        assert share[lang, 1] > least and share[lang, 0] < 0.02, share
+
+
+def test_toxic_words_of_a_small_part_of_the_documents():
+    # Word 1: in all of 40 toxic documents of one language; word 2: in all of 5 of another; 3: in one.
+    toxic = np.array([1] * 200 + [0] * 1800)
+    rows = np.array([*range(40), *range(40, 45), 45, *range(2000)])
+    feature = np.array([1] * 40 + [2] * 5 + [3] + [4] * 2000)
+    told, lift = toxicity.telling(toxic, rows, feature)
+    assert np.flatnonzero(told).tolist() == [1, 2] and lift[1] > lift[2] > 8
+
+
 def test_ordinal_model_orders_grades():
     rng = np.random.default_rng(14)
     n = 1500
