@@ -27,8 +27,10 @@ REMEMBERED = 300_000
 class Tokens:
     """Ids of whole texts. No token spans white space, so the ids of a text are those of its words.
 
-    Words are remembered. New ones of letters only, but for one mark at the end, are encoded many in
-    one string: each is one stretch for the merges, which ends with an end-of-word id.
+    Words are remembered. New ones of letters only are encoded many in one string: each is one
+    stretch for the merges, which ends with an end-of-word id. One mark at the end is a stretch of
+    its own, unless normalization ends the letters in a combining mark; words with a letter that
+    the tokenizer does not keep in a stretch with others are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -40,6 +42,7 @@ class Tokens:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
         self._each([b".", b","])
         self.marks = dict(self.known)
 
@@ -60,11 +63,20 @@ class Tokens:
                 self.known[word] = data[4 * start : 4 * end]
                 start = end
 
+    def _letters(self, core: str) -> bool:
+        """Whether all are letters to the tokenizer too, after normalization; known by character."""
+        if not core.isalpha():
+            return False
+        for c in set(core).difference(self.letters):
+            ids = self.tokenizer.encode(f"a{c}a", add_special_tokens=False).ids
+            self.letters[c] = int(self.last[ids].sum()) == 1
+        return all(map(self.letters.__getitem__, core))
+
     def _learn(self, words: set[bytes]) -> None:
         cores, single, marked = set(), [], []
         for word in words:
             core = word[:-1] if word[-1:] in self.marks else word
-            if core.isalpha() or not core.isascii() and core.decode().isalpha():
+            if core.isalpha() or not core.isascii() and self._letters(core.decode()):
                 if core not in self.known:
                     cores.add(core)
                 if core is not word:

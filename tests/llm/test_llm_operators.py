@@ -525,6 +525,17 @@ def test_packing_round_trip(spark, awkward):
         assert at <= 2048
 
 
+def test_ids_of_words_that_normalization_ends_in_a_mark():
+    import public_tokenizers
+
+    tokens = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    cores = ["YENİ", "İ", "\u0958", "अक\u0958", "a\ufb2a", "\ufb2a", "É", "E\u0301", "Straße", "Σς", "ǅ", "plain", "日本語"]
+    texts = [core + mark for core in cores for mark in ("", ".", ",", ".,", ",x")]
+    for text in [*texts, " ".join(texts), " ".join(reversed(texts))]:
+        ids = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens([text.encode()])[0], "<u4").tolist() == ids, text
+
+
 def test_shortest_pack_first_places_every_piece():
     rng = np.random.default_rng(13)
     for _ in range(30):
