@@ -85,7 +85,7 @@ def test_path_rules_match_their_definition(spark):
             "d",
             include_match(path, is_dir, rules).alias("inc"),
             exclude_match(path, is_dir, rules).alias("exc"),
-            hidden_match(path, rules).alias("hid"),
+            hidden_match(path, is_dir, rules).alias("hid"),
         ).collect()
         for r in rows:
             candidates = [r.path, base(r.path)]
