@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import read, slices, text_column
+from sheaf.llm.common import read, slices, store_of_worker, text_column
 
 #: What a worker keeps of states and of short pieces of text before it starts anew.
 MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT_PIECE = 100_000, 500_000, 400_000, 64
@@ -340,7 +339,7 @@ class Coder:
 
 def coder_of_worker(path: str | None = None, pattern: str | None = None) -> Coder:
     """The coder of this worker process, with what its earlier tasks have worked out."""
-    store = sys.modules.setdefault("_bytepairs_worker", types.ModuleType("_bytepairs_worker")).__dict__
+    store = store_of_worker("bytepairs")
     if (path, pattern) not in store:
         store[path, pattern] = Coder(path, pattern)
     return store[path, pattern]
@@ -359,8 +358,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """
 
     def run(batches):
-        coder = coder_of_worker(path, pattern)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", SLICE, keep="bytepairs"):
+            coder = coder_of_worker(path, pattern)
             ids = [np.frombuffer(b"".join(coder.encode(t)), "<i4") for t in batch.column("text").to_pylist()]
             ends = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)))
@@ -397,8 +396,8 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """
 
     def run(batches):
-        coder = coder_of_worker(path, pattern)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", SLICE, keep="bytepairs"):
+            coder = coder_of_worker(path, pattern)
             rows = [[], [], []]
             for text in batch.column("text").to_pylist():
                 n, listed, plain, decoder = 0, hashlib.sha256(), hashlib.sha256(), coder.decoder()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,31 @@ def text_column(name: str = "text") -> F.Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches again, cut so that ``column`` holds about ``most`` bytes or one row in each."""
+def store_of_worker(name: str) -> dict:
+    """What tasks of one operator keep in their worker process for later ones; see ``slices``."""
+    return sys.modules.setdefault(f"_sheaf_kept_{name}", types.ModuleType(name)).__dict__.setdefault("kept", {})
+
+
+def tidy() -> None:
+    """Give memory that is free in this worker back, as its next task may be of quite another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give it back by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches again, cut so that ``column`` holds about ``most`` bytes or one row in each.
+
+    Goes through all of a task's rows, so what other operators' tasks kept in this worker is dropped
+    before (all but the store ``keep``), and free memory is given back after.
+    """
+    for name in [n for n in sys.modules if n.startswith("_sheaf_kept_") and n != f"_sheaf_kept_{keep}"]:
+        del sys.modules[name]
+    yield from _sliced(batches, column, most)
+    tidy()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = batch.column(column)
         ends = np.cumsum(lengths_of(values))

@@ -27,6 +27,8 @@ FINE_BITS, FRAGMENTS = 10, 8
 CELL_ROWS, MOST_SPLIT, BUCKET_ROWS, WIDE = 2048, 100_000, 20_000, 64
 #: Bytes of text that a task works on at a time, and heads that a document is compared with first.
 SLICE, HEADS = 1 << 20, 2
+#: Rounds of heads at most, and of how many compared pairs one must be a link for another round.
+ROUNDS, WORTH = 2, 10
 #: Bits that say which documents are in a candidate pair (a fixed 8 MB at most; false ones do no harm).
 MEMBER_BITS = 26
 
@@ -231,6 +233,41 @@ def _candidates(percent: int):
     return candidates
 
 
+def _recurring(batches):
+    """Of rows sorted by ``gram`` those that are not alone in it: only the last row waits for the next batch."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = batch if held is None else pa.concat_batches([held, batch])
+        gram = whole.column("gram").to_numpy()
+        same = gram[1:] == gram[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        # The held row is known to be shared if it was so before, which its mark says.
+        if held is not None and held.schema.metadata:
+            shared[0] = True
+        last = whole.slice(whole.num_rows - 1)
+        held = last.replace_schema_metadata({"shared": "1"} if shared[-1] else None)
+        yield whole.slice(0, whole.num_rows - 1).filter(pa.array(shared[:-1])).replace_schema_metadata(None)
+    if held is not None and held.schema.metadata:
+        yield held.replace_schema_metadata(None)
+
+
+def _stars(named: DataFrame, round_: int) -> DataFrame:
+    """(a, b), a < b: each document with those of its n-grams' heads that share most of them.
+
+    An n-gram's head is the document with the smallest hash of this round; rows are (gram, key,
+    component), and documents are compared with heads of other components only.
+    """
+    by_hash = F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(round_)))
+    heads = named.groupBy("gram").agg(by_hash.alias("head"))
+    near = named.join(heads, "gram").where("component <> head.component")
+    near = near.groupBy("key", F.col("head.key").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+    best = Window.partitionBy("key").orderBy(F.desc("shared"), "other")
+    near = near.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= HEADS)
+    return near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """Groups of documents linked by the Jaccard similarity of their word n-gram sets.
 
@@ -244,9 +281,10 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     each for itself. A null id counts as smaller than all others. An empty table gives an empty
     result. Other columns are not looked at. N-grams are compared by 64-bit hashes.
 
-    Documents with equal sets are compared once. A first round compares every prefix n-gram's
-    documents with one of them, so that large groups mostly fall together without pairs; the second
-    one compares, exactly, all that share a prefix n-gram and are still apart. N-grams with many
+    Documents with equal sets are compared once. Rounds compare every prefix n-gram's documents with
+    one of them, another one each time, so that large groups mostly fall together without pairs, and
+    go on while that finds links. Then all that share a prefix n-gram and are still apart are
+    candidates, and compared until no candidates are left of different components. N-grams with many
     documents are dealt over pairs of pieces.
     """
     spark = docs.sparkSession
@@ -256,41 +294,55 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     same = everything.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("key"), F.min("doc").alias("least"), F.first("sizes").alias("sizes"))
     sets = written(same, "shingle-sets")
     classes = spark.sparkContext.broadcast(_classes(scanned))
-    # Made twice rather than written: they are many, and cheap to find again.
     prefixes = _prefixes(texts, classes, words, percent)
-    often = prefixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    rows = prefixes.join(often, "gram").join(sets.select("key"), "key", "left_semi").distinct()
-    rows = written(rows, "shared-prefixes")
+    # One exchange: sorted, those of one document only are dropped as they stream by.
+    rows = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_recurring, "gram long, key long")
+    rows = written(rows.join(sets.select("key"), "key", "left_semi").distinct(), "shared-prefixes")
     release(spark)
-    heads = rows.groupBy("gram").agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a < last").select("gram", "a")
-    # Of a document's heads, those that share most of its first n-grams; the others wait.
-    shared = rows.join(heads, "gram").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    stars = shared.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= HEADS).select("a", "b")
     size = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sizes").alias(f"s{c}"))
-    stars = stars.join(size("a"), "a").join(size("b"), "b").mapInArrow(_possible(percent), "a long, b long")
-    stars = written(stars, "stars")
-    release(spark)
-    links = written(_linked(texts, sets, stars, words, percent), "links")
-    # What is still apart: cells of n-grams whose documents are of different components.
-    now = components(links).select(F.col("node").alias("key"), "component")
-    named = rows.join(now, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    spread = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
-    spread = written(spread.where("low < high").select("gram", "rows"), "apart")
+    links, compared, named = None, None, rows.withColumn("component", F.col("key"))
+    for round_ in range(ROUNDS):
+        stars = _stars(named, round_)
+        if compared is not None:
+            stars = stars.join(compared, ["a", "b"], "left_anti")
+        stars = stars.join(size("a"), "a").join(size("b"), "b").mapInArrow(_possible(percent), "a long, b long")
+        stars = written(stars, "stars")
+        release(spark)
+        found = written(_linked(texts, sets, stars, words, percent), "links")
+        compared = stars if compared is None else compared.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        now = components(links).select(F.col("node").alias("key"), "component")
+        # What is still apart: n-grams whose documents are of different components.
+        named = rows.join(now, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        spread = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
+        spread = written(spread.where("low < high").select("gram", "rows"), "apart")
+        named = written(named.join(spread.select("gram"), "gram", "left_semi"), "apart-rows")
+        if found.count() * WORTH < stars.count():
+            break
     total = spread.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     split = max(CELL_ROWS, total / MOST_SPLIT)
     # At most MOST_SPLIT n-grams can be that large, so their list may be broadcast.
     large = spread.where(F.col("rows") > split).select("gram", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("pieces"))
-    apart = named.join(spread.select("gram"), "gram", "left_semi").join(F.broadcast(large), "gram", "left")
+    apart = named.join(F.broadcast(large), "gram", "left")
     apart = apart.withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("i"), F.greatest(o, F.col("piece")).alias("j")))
     cells = apart.join(sets.select("key", "n", "sizes"), "key").withColumn("cell", F.explode(others))
     cells = cells.select("gram", "cell.i", "cell.j", "piece", "key", "component", "n", "sizes")
     buckets = max(1, int(total // BUCKET_ROWS))
     pairs = cells.groupBy(F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)).alias("bucket")).applyInArrow(_candidates(percent), "a long, b long")
-    pairs = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = written(_linked(texts, sets, pairs, words, percent), "links")
-    groups = components(links.unionByName(more))
+    pairs = written(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+    groups = components(links)
+    # Some of each document's pairs at a time, ever more: what these join needs no comparison any more.
+    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    most = HEADS
+    while pairs.take(1):
+        pairs = written(pairs.select("a", "b", turn.alias("turn")), "pairs")
+        links = links.unionByName(written(_linked(texts, sets, pairs.where(F.col("turn") <= most).select("a", "b"), words, percent), "links"))
+        groups = components(links)
+        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        left = pairs.where(F.col("turn") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        pairs = written(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "pairs")
+        most *= 8
     grouped = sets.join(groups, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = grouped.join(least, "component").select("n", "f1", "f2", "component", "component_id")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from bisect import insort
 
@@ -13,14 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import read, slices, text_column
+from sheaf.llm.common import read, slices, store_of_worker, text_column
 from sheaf.session import written
 
 SIZE, END = 2048, 1
 #: Pieces of one length are ranked in groups of about this many, and in at most so many groups.
 RANK_ROWS, MOST_GROUPS = 512, 100_000
-#: Words a worker remembers the ids of (some 60 MB, also while it does other work); beyond that it
-#: starts anew.
+#: Words a worker remembers the ids of (some 60 MB, until it does other work); beyond that it starts anew.
 REMEMBERED = 300_000
 
 
@@ -108,7 +105,7 @@ def tokens_of_worker(path: str | None) -> Tokens:
     import public_tokenizers
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    store = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker")).__dict__
+    store = store_of_worker("packing")
     if path not in store:
         store[path] = Tokens(path)
     return store[path]
@@ -120,9 +117,10 @@ def pieces_of(docs: DataFrame, size: int = SIZE, path: str | None = None, with_i
     kinds = kinds if with_ids else kinds[:-1]
 
     def cut(batches):
-        tokens, end = tokens_of_worker(path), np.array([END], "<u4").tobytes()
-        for batch in slices(batches, "text"):
+        tokens, end = None, np.array([END], "<u4").tobytes()
+        for batch in slices(batches, "text", keep="packing"):
             rows, values = [], []
+            tokens = tokens or tokens_of_worker(path)
             for k, ids in enumerate(tokens(batch.column("text").cast(pa.binary()).to_pylist())):
                 ids += end
                 total = len(ids) // 4
