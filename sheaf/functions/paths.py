@@ -31,6 +31,36 @@ def join_path(directory: Column, name: Column) -> Column:
     return F.concat_ws(SEPARATOR, F.nullif(directory, F.lit("")), name)
 
 
+def normalize_path(path: Column) -> Column:
+    """``path`` without empty and ``.`` segments, each ``..`` taking back the segment before it.
+
+    By its text alone, relative to the top; the top itself is empty, and what leads above it NULL.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.size(kept) - 1))
+        further = F.concat(kept, F.array(segment))
+        return F.when(segment.isin("", "."), kept).when(segment == "..", up).otherwise(further)
+
+    return F.aggregate(F.split(path, SEPARATOR), none, step, lambda kept: F.array_join(kept, SEPARATOR))
+
+
+def target_path(path: Column, target: Column, root: str | None = None) -> Column:
+    """Where the link at ``path`` leads, as a path of the same table, or NULL if that is outside of it.
+
+    ``target`` is what the link holds: relative to the link's directory, or absolute, which leads
+    into the table only below ``root``. A ``..`` takes back the segment written before it, also
+    where that segment is itself a link.
+    """
+    relative = normalize_path(F.concat_ws(SEPARATOR, parent(path), target))
+    absolute = F.lit(None).cast("string")
+    if root is not None:
+        top = F.concat(F.lit(SEPARATOR), normalize_path(F.lit(root)))
+        absolute = relative_path(top, F.concat(F.lit(SEPARATOR), normalize_path(target)))
+    return F.when(target.isNotNull(), F.when(F.startswith(target, F.lit(SEPARATOR)), absolute).otherwise(relative))
+
+
 def relative_path(base: Column, target: Column) -> Column:
     """``target`` below ``base``, or NULL; both absolute."""
     prefix = F.when(F.endswith(base, F.lit(SEPARATOR)), base).otherwise(

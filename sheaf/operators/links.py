@@ -11,12 +11,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.paths import ancestors
+from sheaf.functions.paths import ancestors, target_path
 from sheaf.functions.reports import said
 from sheaf.operators.filters import within_caps
 from sheaf.operators.skew import lookup_join, measure
 from sheaf.session import written
 
+
+def placed_targets(entries: DataFrame, root: str | None = None) -> DataFrame:
+    """Entries whose ``link_target`` is what the file system gives, with paths of the table instead.
+
+    Relative targets (``..``, ``.``, empty segments) are taken from the link's directory, absolute
+    ones have to lie below ``root``; links that lead outside get NULL and so lead nowhere.
+    """
+    return entries.withColumn("link_target", target_path(F.col("path"), F.col("link_target"), root))
+
+
 def skip_links(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("is_symlink"))
 

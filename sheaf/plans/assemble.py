@@ -47,6 +47,9 @@ class Options:
     max_depth: int | None = None
     max_path_bytes: int | None = None
     max_hops: int | None = None
+    #: Set if links hold targets as the file system gives them: relative to the link, or absolute
+    #: below this folder. None: targets are paths of the table.
+    link_root: str | None = None
     block_bytes: int = filetree.BLOCK_BYTES
     own_output: Sequence[str] = field(default=())
 
@@ -154,6 +157,8 @@ def assemble_tables(
     """From ``entries`` (path, is_directory, is_symlink, size, link_target) and contents
     ``(path, content)``."""
     options = options or Options()
+    if options.link_root is not None and options.symlinks in ("follow", "include"):
+        entries = links.placed_targets(entries, options.link_root)
     source = entries
     found = stats.listing_diagnostics(entries, options.max_depth, options.max_path_bytes)
     if options.symlinks == "follow":

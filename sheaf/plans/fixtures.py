@@ -122,6 +122,29 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where the relative tree is mounted, for links that hold absolute targets.
+MOUNT = "/data/tree"
+
+
+def relative_link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``link_tree`` with what a file system holds: targets relative to the link, with ``.``, ``..``
+    and empty segments, absolute ones below and outside of ``MOUNT``, and one that leads above the top."""
+    tree = link_tree(spark, sf_dir)
+    target, name = F.col("link_target"), F.substring_index("path", "/", -1)
+    levels = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
+    climb = F.repeat(F.lit("../"), levels)
+    raw = (
+        F.when(name == "self", F.lit("./self"))
+        .when(name == "lost", F.concat(F.lit("../"), climb, target))
+        .when(name == "first", F.concat(F.lit(".//x/.././"), climb, target, F.lit("/.")))
+        .when(name == "twin", F.concat(F.lit(MOUNT + "/./"), target, F.lit("/")))
+        .when(name == "up", F.concat(F.lit("/data/other/"), target))
+        .otherwise(F.concat(climb, target))
+    )
+    held = tree.withColumn("link_target", F.when(F.col("is_symlink"), raw))
+    return held.withColumn("size", F.when(F.col("is_symlink"), F.octet_length("link_target")).otherwise(F.col("size")).cast("long"))
+
+
 def link_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree with every kind of link: documents in ``source/lang`` and links made per directory.
 

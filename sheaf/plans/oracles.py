@@ -143,6 +143,20 @@ oracle(
          CASE WHEN starts_with(path, source || '/') THEN substr(path, length(source) + 2) END
            AS relative FROM corpus""",
 )
+def _normalized(path: str) -> str:
+    """``/`` and the normal path; ``!`` in front if it leads above the top."""
+    return f"""list_reduce(string_split({path}, '/'), lambda kept, s: CASE WHEN s IN ('', '.') THEN kept
+      WHEN s <> '..' THEN kept || '/' || s WHEN kept IN ('', '!') THEN '!' ELSE regexp_replace(kept, '/[^/]*$', '') END, '')"""
+
+
+oracle(
+    "path_normalize",
+    _CORPUS,
+    """raw AS (SELECT doc_id, source || ['/./', '//', '/x/../', '/../', '/../../', '/', '/a/b/../../..//'][doc_id % 7 + 1]
+         || path || CASE WHEN doc_id % 3 = 0 THEN '/..' ELSE '/.' END AS raw FROM corpus)""",
+    f"SELECT doc_id, raw, CASE WHEN NOT starts_with(n, '!') THEN substr(n, 2) END AS normalized FROM (SELECT *, {_normalized('raw')} AS n FROM raw)",
+)
+
 oracle(
     "path_join",
     _CORPUS,
@@ -577,3 +591,20 @@ oracle(
     """SELECT path, 'ok' AS status, size AS input_bytes, md5(coalesce(body, ''::BLOB)) AS md5,
          octet_length(coalesce(body, ''::BLOB)) AS bytes FROM kept LEFT JOIN numbered USING (path)""",
 )
+
+
+_RELATIVE = f"""raw AS (SELECT parent, name, CASE name WHEN 'self' THEN './self' WHEN 'lost' THEN '../' || climb || target
+    WHEN 'first' THEN './/x/.././' || climb || target || '/.' WHEN 'twin' THEN '/data/tree/./' || target || '/'
+    WHEN 'up' THEN '/data/other/' || target ELSE climb || target END AS raw
+  FROM (SELECT *, repeat('../', 1 + length(parent) - length(replace(parent, '/', ''))) AS climb FROM direct)),
+links AS (SELECT parent, name, CASE WHEN starts_with(raw, '/') THEN CASE WHEN starts_with(n, '/data/tree/') THEN substr(n, 12) END
+    WHEN NOT starts_with(n, '!') THEN substr(n, 2) END AS target, raw
+  FROM (SELECT *, {_normalized("CASE WHEN starts_with(raw, '/') THEN raw ELSE parent || '/' || raw END")} AS n FROM raw)),
+plain AS ("""
+_RELATIVE_TREE = _TREE.replace("links AS (", "direct AS (", 1).replace("plain AS (", _RELATIVE, 1).replace("encode(l.target)", "encode(l.raw)").replace("strlen(l.target)", "strlen(l.raw)")
+oracle(
+    "symlink_relative",
+    _RELATIVE_TREE,
+    "SELECT path, physical AS physical_path, is_directory, is_symlink, size, is_cycle FROM walk",
+    recursive=True,
+)

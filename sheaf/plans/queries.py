@@ -76,6 +76,13 @@ def path_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    way = F.element_at(F.array(*map(F.lit, ("/./", "//", "/x/../", "/../", "/../../", "/", "/a/b/../../..//"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    raw = F.concat("source", way, "path", F.when(F.col("doc_id") % 3 == 0, "/..").otherwise("/."))
+    return fixtures.corpus(spark, sf_dir).select("doc_id", raw.alias("raw"), P.normalize_path(raw).alias("normalized"))
+
+
 @query
 def path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = F.when(F.col("doc_id") % 10 == 0, "").otherwise(P.parent(F.col("path")))
@@ -425,6 +432,14 @@ def symlink_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return followed.select("path", "is_directory", "is_symlink", "size", depth)
 
 
+@query
+def symlink_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links followed whose targets are relative to the link, or absolute."""
+    placed = links.placed_targets(fixtures.relative_link_tree(spark, sf_dir), fixtures.MOUNT)
+    followed = links.follow_links(written(placed, "entries"))
+    return followed.select("path", "physical_path", "is_directory", "is_symlink", "size", "is_cycle")
+
+
 @query
 def symlink_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     followed = links.follow_links(written(fixtures.link_tree(spark, sf_dir), "entries"))
