@@ -191,6 +191,23 @@ oracle(
     "SELECT path, octet_length(encode(text)) AS size, md5(text) AS md5 FROM conv",
 )
 oracle("directories", _CORPUS, _prefixes("corpus"), "SELECT path, level FROM dirs")
+oracle(
+    "subtree_sizes",
+    _CORPUS,
+    _prefixes("corpus"),
+    """SELECT d.path, count(*) AS files, CAST(sum(f.size) AS BIGINT) AS bytes
+         FROM dirs d JOIN corpus f ON starts_with(f.path, d.path || '/') GROUP BY d.path
+       UNION ALL SELECT '', count(*), CAST(sum(size) AS BIGINT) FROM corpus HAVING count(*) > 0""",
+)
+oracle(
+    "subtree_intervals",
+    _CORPUS,
+    _prefixes("corpus"),
+    """entries AS (SELECT path, false AS is_directory FROM corpus UNION ALL SELECT path, true FROM dirs),
+       placed AS (SELECT *, row_number() OVER (ORDER BY string_split(path, '/')) AS enter FROM entries)""",
+    """SELECT e.path, e.is_directory, e.enter, e.enter + 1 + count(b.path) AS leave
+         FROM placed e LEFT JOIN placed b ON starts_with(b.path, e.path || '/') GROUP BY e.path, e.is_directory, e.enter""",
+)
 oracle("page_directories", _PAGES, _prefixes("pages_corpus"), "SELECT path, level FROM dirs")
 oracle(
     "chunks",

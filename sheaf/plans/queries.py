@@ -11,6 +11,7 @@ from sheaf.functions import content as C
 from sheaf.functions import paths as P
 from sheaf.operators import contents, filters, links, render, stats
 from sheaf.operators.ordering import with_position
+from sheaf.operators.subtrees import nested_sets, subtree_sizes as sizes_below
 from sheaf.plans import fixtures, plugins
 from sheaf.plans.assemble import Options, assemble_corpus, assemble_tables
 from sheaf.session import written
@@ -155,6 +156,16 @@ def directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.directories_of(fixtures.corpus(spark, sf_dir))
 
 
+@query
+def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sizes_below(entries_of(fixtures.corpus(spark, sf_dir)))
+
+
+@query
+def subtree_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested_sets(entries_of(fixtures.corpus(spark, sf_dir)))
+
+
 @query
 def page_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.directories_of(fixtures.pages(spark, sf_dir))
