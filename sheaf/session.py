@@ -55,11 +55,19 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{_tables_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once no DataFrame over them is needed."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _tables_root(spark))
+
+
+def discard(table: DataFrame) -> None:
+    """Delete one table that ``written`` returned, once a later one stands in its place."""
+    _delete(table.sparkSession, table.__dict__.pop("_written_to"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -70,4 +78,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
