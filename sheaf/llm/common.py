@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.session import written
+from sheaf.session import discard, written
 
 #: Stands for a null id inside operators: smaller than every other id.
 NULL_ID = -(1 << 63)
@@ -121,7 +121,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = written(small.where("a != b").distinct(), "edges")
+        last, now = now, written(small.where("a != b").distinct(), "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))

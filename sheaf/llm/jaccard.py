@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import bytes_of, components, id_back, id_column, maybe_marked, mixed, read, release, slices, text_column, texts_with_keys, word_hashes
-from sheaf.session import written
+from sheaf.session import discard, written
 
 #: Counters of the n-grams' frequencies, and the blocks they are summed in: a fixed 16 MB.
 COUNTER_BITS, BLOCK_BITS = 22, 16
@@ -156,6 +156,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     right = found.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"))
     out = written(partial.groupBy("a", "b").agg(F.sum("common").alias("common")), "overlaps")
+    discard(found)
     release(spark)
     return out
 
@@ -340,8 +341,10 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
         links = links.unionByName(written(_linked(texts, sets, pairs.where(F.col("turn") <= most).select("a", "b"), words, percent), "links"))
         groups = components(links)
         of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        now = pairs
         left = pairs.where(F.col("turn") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
         pairs = written(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "pairs")
+        discard(now)
         most *= 8
     grouped = sets.join(groups, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

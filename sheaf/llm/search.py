@@ -25,12 +25,11 @@ def _dense(vectors: pa.ChunkedArray) -> np.ndarray:
 
 
 def top_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Positions of the k best scores, ties to smaller ids, without the query's own row."""
-    if len(scores) > k + 1:
-        chosen = np.flatnonzero(scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
-    else:
-        chosen = np.arange(len(scores))
-    chosen = chosen[ids[chosen] != own]
+    """Positions of the k best scores, ties to smaller ids, without rows of the query's own id."""
+    chosen = np.flatnonzero(ids != own)
+    if len(chosen) > k:
+        others = scores[chosen]
+        chosen = chosen[others >= np.partition(others, len(others) - k)[len(others) - k]]
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))[:k]]
 
 
@@ -69,8 +68,9 @@ def top_k(vectors: DataFrame, asked: F.Column, k: int = 20, scale: int = 64) ->
     Queries are the rows of ``vectors`` (vec_id, embedding) where ``asked`` holds, candidates all
     rows but the query's own. Components become floor(scale * x); the score is the inner product,
     components that one side lacks count 0; ties go to the smaller vec_id. Vectors that are null or
-    hold null or non-finite components take no part, nor do rows without an id. Of rows with the
-    same vec_id the one with the smallest vector counts. Empty vectors score 0 with everything. An
+    hold null or non-finite components take no part, nor do rows without an id. Rows with one
+    vec_id are candidates each, but not for one another; if they are queries, the best hits of all of
+    them are that query's. Empty vectors score 0 with everything. An
     empty table, or one without queries, gives an empty result. Scores are exact while they fit
     in 64 bits.
 
@@ -81,11 +81,11 @@ def top_k(vectors: DataFrame, asked: F.Column, k: int = 20, scale: int = 64) ->
     good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     weights = F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double")))
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & good)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("w")).groupBy("vec_id").agg(F.min("w").alias("w"))
-    rows = written(rows, "vectors")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("w"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, n_asked = rows.agg(F.count(F.lit(1)), F.count(F.when(asked, 1))).first()
     across, down = max(1, -(-n_asked // QUERY_ROWS)), max(1, -(-n // CANDIDATE_ROWS))
-    block = lambda of: F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")
+    block = lambda of: F.pmod(F.xxhash64("row"), F.lit(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     queries = rows.where(asked).select(block(across).alias("q"), each(down).alias("c"), F.lit(True).alias("asked"), "vec_id", "w")
     others = rows.select(each(across).alias("q"), block(down).alias("c"), F.lit(False).alias("asked"), "vec_id", "w")

@@ -320,10 +320,10 @@ def test_top_k(spark, blocks, monkeypatch):
     rows += [(100, None), (120, [float("inf")]), (140, [None]), (160, []), (None, [1.0]), (20, rows[20][1]), (180, [3.0, 0.0, -1.0])]
     got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5)
     have = [(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()]
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in good if i % 20 == 0):
-        scored = sorted(((-sum(a * b for a, b in zip(good[q], good[c])), c) for c in good if c != q))[:5]
+    for q in {i for i, _ in good if i % 20 == 0}:  # rows with one id are one query, and candidates each
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, v in good if i == q for c, w in good if c != q)[:5]
         want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
     assert sorted(have) == sorted(want)
 
