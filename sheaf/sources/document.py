@@ -21,6 +21,17 @@ class _Part(WriterCommitMessage):
     partition: int
 
 
+def open_folder(path: str) -> tuple:
+    """The file system of ``path``, which has a scheme, and its place there."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    raise ValueError(f"the document's path needs a scheme: {path}")
+
+
 class _DocumentWriter(DataSourceArrowWriter):
     """Each task writes one part of raw bytes; the commit keeps the parts of successful attempts."""
 
@@ -29,18 +40,9 @@ class _DocumentWriter(DataSourceArrowWriter):
         self.overwrite = overwrite
         self.run = uuid.uuid4().hex[:12]
 
-    def _open(self):
-        from pyarrow import fs
-
-        if self.path.startswith("file:"):
-            return fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")
-        if "://" in self.path:
-            return fs.FileSystem.from_uri(self.path)
-        raise ValueError(f"the document's path needs a scheme: {self.path}")
-
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         context = TaskContext.get()
-        filesystem, base = self._open()
+        filesystem, base = open_folder(self.path)
         number = context.partitionId()
         name = None
         out = None
@@ -58,7 +60,7 @@ class _DocumentWriter(DataSourceArrowWriter):
     def _files(self) -> tuple:
         from pyarrow import fs
 
-        filesystem, base = self._open()
+        filesystem, base = open_folder(self.path)
         filesystem.create_dir(base, recursive=True)
         return filesystem, base, filesystem.get_file_info(fs.FileSelector(base))
 
