@@ -316,6 +316,11 @@ def bundles(
     )
 
 
+def one_line_base64(data: Column) -> Column:
+    """Base64 without line breaks, whatever the session's setting for them is."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def json_files(processed: DataFrame) -> DataFrame:
     """One JSON object per file, ``path``, ``size`` and ``content``, as ``json``.
 
@@ -326,7 +331,7 @@ def json_files(processed: DataFrame) -> DataFrame:
     record = F.struct(
         F.col("path"),
         F.col("size"),
-        F.when(valid, body).otherwise(F.base64(F.col("body"))).alias("content"),
+        F.when(valid, body).otherwise(one_line_base64(F.col("body"))).alias("content"),
         F.when(~valid, F.lit("base64")).alias("encoding"),
     )
     return processed.withColumn("json", F.to_json(record))

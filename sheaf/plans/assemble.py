@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.content import ChunkFunction, ContentRule, link_placeholder
 from sheaf.operators import contents, filters, links, render, stats
+from sheaf.operators.json_blocks import json_block_document
 from sheaf.operators.skew import lookup_join
 from sheaf.plans.plugins import (
     ContentPlugin,
@@ -123,24 +124,12 @@ def content_settings(options: Options) -> dict:
 def _fragments(entries: DataFrame, processed: DataFrame, options: Options) -> DataFrame:
     if options.format == "json":
         if "block_no" in processed.columns:
-            processed = join_blocks(processed)
+            return json_block_document(entries, processed)
         return render.json_document(entries, processed)
     formatter = render.formatter_named(options.format)
     return render.document(entries, processed, formatter, options.show_size)
 
 
-def join_blocks(processed: DataFrame) -> DataFrame:
-    """Block rows back to one row per file, for what needs whole files."""
-    return processed.groupBy("path").agg(
-        F.first("size").alias("size"),
-        F.max("status").alias("status"),
-        F.max("code").alias("code"),
-        F.sum("input_bytes").alias("input_bytes"),
-        F.sum("body_bytes").alias("body_bytes"),
-        F.expr("listagg(body, X'') within group (order by block_no)").alias("body"),
-    )
-
-
 def _processed(files: DataFrame, options: Options) -> DataFrame:
     processed = contents.process_files(
         files,
@@ -251,7 +240,7 @@ def assemble_tree(
     if options.symlinks == "placeholder":
         processed = processed.unionByName(_placeholders(kept, content_settings(options)["written"]))
     if options.content_plugins:
-        processed = run_content_plugins(join_blocks(processed), options.content_plugins)
+        processed = run_content_plugins(processed, options.content_plugins, options.block_bytes)
     # What failed is known from the reads themselves.
     return Run(kept, processed, found.unionByName(stats.content_diagnostics(processed)), options)
 

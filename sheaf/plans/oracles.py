@@ -400,17 +400,28 @@ oracle(
 )
 
 
-def _document(frame: str, line: str, text: str, where: str) -> list[str]:
-    return [
-        f"""parts AS (
+def _parts(frame: str, line: str, text: str, where: str) -> str:
+    return f"""parts AS (
   SELECT * FROM (VALUES {frame}) f(section, path, text)
   UNION ALL SELECT 1, path, encode({line}) FROM entries WHERE {where}
-  UNION ALL SELECT 3, path, {text} FROM judged JOIN entries USING (path) WHERE {where})""",
+  UNION ALL SELECT 3, path, {text} FROM judged JOIN entries USING (path) WHERE {where})"""
+
+
+def _document(*parts: str) -> list[str]:
+    return [
+        _parts(*parts),
         """SELECT section, md5(text) AS md5, octet_length(text) AS bytes,
              row_number() OVER (ORDER BY section, string_split(path, '/')) AS position FROM parts""",
     ]
 
 
+_TEXT_DOCUMENT = (
+    """(0, '', encode('Directory Structure:' || chr(10) || '==================' || chr(10) || chr(10))),
+           (2, '', encode(chr(10) || 'File Contents:' || chr(10) || '=============' || chr(10) || chr(10)))""",
+    _LINE % _SIZE,
+    _TEXT,
+    f"{_included()} AND NOT {_excluded(_EXCLUDE)} AND path NOT IN (SELECT path FROM hidden)",
+)
 oracle(
     "render_text",
     _CORPUS,
@@ -418,13 +429,19 @@ oracle(
     _entries("kept"),
     _hidden(_EXCLUDE),
     _judged(table="kept"),
-    *_document(
-        """(0, '', encode('Directory Structure:' || chr(10) || '==================' || chr(10) || chr(10))),
-           (2, '', encode(chr(10) || 'File Contents:' || chr(10) || '=============' || chr(10) || chr(10)))""",
-        _LINE % _SIZE,
-        _TEXT,
-        f"{_included()} AND NOT {_excluded(_EXCLUDE)} AND path NOT IN (SELECT path FROM hidden)",
-    ),
+    *_document(*_TEXT_DOCUMENT),
+)
+oracle(
+    "document_index",
+    _CORPUS,
+    _KEPT,
+    _entries("kept"),
+    _hidden(_EXCLUDE),
+    _judged(table="kept"),
+    _parts(*_TEXT_DOCUMENT),
+    """SELECT section, path, md5(text) AS md5, octet_length(text) AS bytes,
+         CAST(coalesce(sum(octet_length(text)) OVER (ORDER BY section, string_split(path, '/')
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM parts""",
 )
 oracle(
     "custom_format",
@@ -451,14 +468,15 @@ oracle(
     """SELECT section, md5(text) AS md5, octet_length(text) AS bytes,
          row_number() OVER (ORDER BY section, string_split(path, '/')) AS position FROM parts""",
 )
-oracle(
-    "render_json",
-    _CORPUS,
-    _KEPT,
-    _judged(table="kept"),
-    """SELECT path, size, coalesce(TRY(decode(body)), to_base64(body)) AS content,
-         CASE WHEN TRY(decode(body)) IS NULL THEN 'base64' END AS encoding FROM judged""",
-)
+for _name in ("render_json", "render_json_blocks"):
+    oracle(
+        _name,
+        _CORPUS,
+        _KEPT,
+        _judged(table="kept"),
+        """SELECT path, size, coalesce(TRY(decode(body)), to_base64(body)) AS content,
+             CASE WHEN TRY(decode(body)) IS NULL THEN 'base64' END AS encoding FROM judged""",
+    )
 oracle(
     "bundle_by_source",
     _CORPUS,

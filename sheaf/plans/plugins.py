@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.content import ChunkFunction, ContentRule
-from sheaf.operators.contents import explode_chunks
+from sheaf.functions.content import LARGE_FILE, SMALL_FILE, ChunkFunction, ContentRule
+from sheaf.sources.filetree import BLOCK_BYTES
 
 
 @dataclass(frozen=True)
@@ -108,21 +109,144 @@ def apply_content_plugin(chunks: DataFrame, plugin: ContentPlugin) -> DataFrame:
     return ordered.mapInPandas(work, "path string, chunk_no int, content binary")
 
 
-def run_content_plugins(processed: DataFrame, plugins: Sequence[ContentPlugin]) -> DataFrame:
-    """Processed whole files with the bodies of readable ones led through ``plugins``, in order.
+class _Stage:
+    """One plugin on one file, fed in pieces of any length; it sees the file's chunks."""
 
-    Bodies are cut into the chunks of their files' recorded sizes, also the empty ones. What a
-    plugin makes of a file is joined to one body again.
+    def __init__(self, plugin: ContentPlugin, path: str, step: int) -> None:
+        self.plugin, self.step = plugin, step
+        self.state = plugin.start(path)
+        self.rest = bytearray()
+
+    def _made(self, data: bytes) -> bytes:
+        made = self.plugin.chunk(self.state, data)
+        return data if made is None else bytes(made)
+
+    def feed(self, data: bytes) -> bytes:
+        self.rest += data
+        whole = len(self.rest) - len(self.rest) % self.step
+        out = [self._made(bytes(self.rest[k : k + self.step])) for k in range(0, whole, self.step)]
+        del self.rest[:whole]
+        return b"".join(out)
+
+    def end(self) -> bytes:
+        last = self._made(bytes(self.rest)) if self.rest else b""
+        return last + bytes(self.plugin.end(self.state) or b"")
+
+
+class _File:
+    """A file led through all plugins: what one makes is cut into chunks anew for the next."""
+
+    def __init__(self, plugins: Sequence[ContentPlugin], path: str, size: int) -> None:
+        self.stages = [_Stage(p, path, _step(size)) for p in plugins]
+
+    def feed(self, data: bytes, first: int = 0) -> bytes:
+        for stage in self.stages[first:]:
+            data = stage.feed(data)
+        return data
+
+    def end(self) -> bytes:
+        return b"".join(self.feed(stage.end(), k + 1) for k, stage in enumerate(self.stages))
+
+
+def _step(size: int | None) -> int:
+    """The chunk size of a file whose recorded size is ``size``, as ``chunk_bytes`` has it."""
+    if size is None or size >= SMALL_FILE:
+        return SMALL_FILE if size is not None and size < LARGE_FILE else LARGE_FILE
+    return size if size > 0 else SMALL_FILE
+
+
+def _replaced(batch: pa.RecordBatch, values: dict[str, list]) -> pa.RecordBatch:
+    for name, column in values.items():
+        at = batch.schema.get_field_index(name)
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(column, batch.schema.field(at).type))
+    return batch
+
+
+def _whole_files(plugins: Sequence[ContentPlugin]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, paths, sizes = (batch.column(batch.schema.get_field_index(c)) for c in ("body", "path", "size"))
+            made = []
+            for body, path, size in zip(bodies, paths.to_pylist(), sizes.to_pylist()):
+                if body.is_valid:
+                    file = _File(plugins, path, size)
+                    made.append(file.feed(body.as_py()) + file.end())
+                else:
+                    made.append(None)
+            lengths = [None if m is None else len(m) for m in made]
+            yield _replaced(batch, {"body": made, "body_bytes": lengths})
+
+    return work
+
+
+def _blocked_files(plugins: Sequence[ContentPlugin], block_bytes: int):
+    """Over block rows sorted by file and block: blocks again, of at most ``block_bytes``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file, row, pending, number, taken = None, None, None, bytearray(), 0, 0
+
+        def block(data: bytes | None, last: bool) -> pa.RecordBatch:
+            nonlocal number, taken
+            length = 0 if data is None else len(data)
+            # How many there are is known with the last one only; before, there is one more.
+            blocks = number + 1 if last else number + 2
+            values = {"block_no": [number], "blocks": [blocks], "input_bytes": [taken], "body": [data], "body_bytes": [length]}
+            number, taken = number + 1, 0
+            return _replaced(row, values)
+
+        def full() -> Iterator[pa.RecordBatch]:
+            # More than a block, as what is left may be the last one, which closes the file.
+            while len(pending) > block_bytes:
+                yield block(bytes(pending[:block_bytes]), False)
+                del pending[:block_bytes]
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if row is None:
+                return
+            if file is None:
+                yield block(None, True)
+                return
+            pending.extend(file.end())
+            yield from full()
+            yield block(bytes(pending), True)
+
+        for batch in batches:
+            at = {c: batch.schema.get_field_index(c) for c in ("path", "size", "body", "input_bytes")}
+            for k in range(batch.num_rows):
+                name, size, body, given = (batch.column(at[c])[k] for c in ("path", "size", "body", "input_bytes"))
+                if row is None or name.as_py() != path:
+                    yield from closed()
+                    path, number, taken = name.as_py(), 0, 0
+                    pending.clear()
+                    # A row without its body, which is read already.
+                    row = _replaced(batch.slice(k, 1), {"body": [None]})
+                    file = _File(plugins, path, size.as_py()) if body.is_valid else None
+                taken += given.as_py() or 0
+                if file is not None and body.is_valid:
+                    pending.extend(file.feed(body.as_py()))
+                    yield from full()
+        yield from closed()
+
+    return work
+
+
+def run_content_plugins(
+    processed: DataFrame, plugins: Sequence[ContentPlugin], block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Processed files with the bodies of readable ones led through ``plugins``, in order.
+
+    Bodies are cut into the chunks of their files' recorded sizes. Whole-file rows are worked on
+    where they are. Block rows of a file meet in one task, sorted, and stream through it: it holds
+    one block and the plugins' states, and emits blocks of at most ``block_bytes``, numbered anew;
+    ``blocks`` is right in the last one and larger than ``block_no`` + 1 before. A file without a
+    body stays so. No rows give no rows.
     """
-    for plugin in plugins:
-        shown = processed.where(F.col("body").isNotNull())
-        pieces = shown.select("path", "size", F.col("body").alias("content"))
-        made = chunk_body(apply_content_plugin(explode_chunks(pieces, empty=True), plugin))
-        made = made.select("path", F.col("body").alias("_made"))
-        body = F.coalesce("_made", "body")
-        processed = processed.join(made, "path", "left").withColumn("body", body).drop("_made")
-        processed = processed.withColumn("body_bytes", F.octet_length("body").cast("long"))
-    return processed
+    if not plugins:
+        return processed
+    if "block_no" not in processed.columns:
+        return processed.mapInArrow(_whole_files(plugins), processed.schema)
+    ordered = processed.repartition("path").sortWithinPartitions("path", "block_no")
+    return ordered.mapInArrow(_blocked_files(plugins, block_bytes), processed.schema)
 
 
 class LineNumbers(ContentPlugin):

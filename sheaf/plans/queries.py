@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from sheaf.functions import content as C
 from sheaf.functions import paths as P
 from sheaf.operators import contents, filters, links, render, stats
+from sheaf.operators.json_blocks import json_blocks
 from sheaf.operators.ordering import with_position
 from sheaf.operators.subtrees import nested_sets, subtree_sizes as sizes_below
 from sheaf.plans import fixtures, plugins
 from sheaf.plans.assemble import Options, assemble_corpus, assemble_tables
 from sheaf.session import written
+from sheaf.sources.index import document_index as index_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 SMALL_CAP = 8000
 SHALLOW = 3
 SHORT_VOLUME = 64 << 10
+SHORT_BLOCK = 101
 OWN_ROOT, OWN_OUTPUT = "/corpus", "/corpus/out/doc_?7.md"
 
 
@@ -377,6 +380,14 @@ def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_document(spark, sf_dir, options)
 
 
+@query
+def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every fragment of ``render_text``'s document lies in it."""
+    files = kept_files(spark, sf_dir).withColumn("link_target", F.lit(None).cast("string"))
+    options = Options(include=fixtures.INCLUDE, exclude=fixtures.EXCLUDE, show_size=True)
+    return index_of(assemble_corpus(files, options).fragments).drop("block_no")
+
+
 class MarkdownFormatter(render.Formatter):
     """A format of a user's own: every event writes something."""
 
@@ -417,6 +428,19 @@ def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(parsed.alias("j")).select("j.*")
 
 
+@query
+def render_json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from block rows; only this comparison puts a file's texts together."""
+    files = contents.process_files(kept_files(spark, sf_dir)).select("path", "size", "body")
+    count = F.greatest(F.ceil(F.octet_length("body") / SHORT_BLOCK), F.lit(1))
+    blocks = files.withColumn("block_no", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
+    piece = F.substring(F.col("body"), F.col("block_no") * SHORT_BLOCK + 1, F.lit(SHORT_BLOCK))
+    made = json_blocks(blocks.withColumn("body", piece))
+    rows = made.groupBy("path").agg(F.expr("listagg(json, '') within group (order by block_no)").alias("json"))
+    parsed = F.from_json("json", "path string, size bigint, content string, encoding string")
+    return rows.select(parsed.alias("j")).select("j.*")
+
+
 @query
 def bundle_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = kept_files(spark, sf_dir)
