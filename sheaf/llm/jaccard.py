@@ -291,10 +291,11 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     spark = docs.sparkSession
     texts = texts_with_keys(docs)
     scanned = written(texts.mapInArrow(_scan(words), _SCAN), "shingle-scan")
-    everything = scanned.where("key is not null").select("key", "doc", "n", "f1", "f2", "sizes")
-    same = everything.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("key"), F.min("doc").alias("least"), F.first("sizes").alias("sizes"))
+    same = scanned.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("key").alias("key"), F.min("doc").alias("least"), F.first("sizes").alias("sizes"))
     sets = written(same, "shingle-sets")
+    everything = written(scanned.where("key is not null").select("key", "doc", "n", "f1", "f2"), "documents-seen")
     classes = spark.sparkContext.broadcast(_classes(scanned))
+    discard(scanned)
     prefixes = _prefixes(texts, classes, words, percent)
     # One exchange: sorted, those of one document only are dropped as they stream by.
     rows = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_recurring, "gram long, key long")
@@ -320,6 +321,8 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
         named = written(named.join(spread.select("gram"), "gram", "left_semi"), "apart-rows")
         if found.count() * WORTH < stars.count():
             break
+    discard(rows)
+    release(spark)
     total = spread.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     split = max(CELL_ROWS, total / MOST_SPLIT)
     # At most MOST_SPLIT n-grams can be that large, so their list may be broadcast.
@@ -349,7 +352,7 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     grouped = sets.join(groups, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = grouped.join(least, "component").select("n", "f1", "f2", "component", "component_id")
-    out = everything.drop("sizes").join(by_set, ["n", "f1", "f2"], "left")
+    out = everything.join(by_set, ["n", "f1", "f2"], "left")
     return out.select("key", "doc", "n", F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("component", "key").alias("component"))
 
 
