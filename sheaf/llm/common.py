@@ -55,10 +55,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20,
     """Batches again, cut so that ``column`` holds about ``most`` bytes or one row in each.
 
     Goes through all of a task's rows, so what other operators' tasks kept in this worker is dropped
-    before (all but the store ``keep``), and free memory is given back after.
+    before (all but the store ``keep``), and free memory is given back before and after.
     """
     for name in [n for n in sys.modules if n.startswith("_sheaf_kept_") and n != f"_sheaf_kept_{keep}"]:
         del sys.modules[name]
+    tidy()
     yield from _sliced(batches, column, most)
     tidy()
 
