@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,17 @@ from sheaf.session import written
 SIZE, END = 2048, 1
 #: Pieces of one length are ranked in groups of about this many, and in at most so many groups.
 RANK_ROWS, MOST_GROUPS = 512, 100_000
-#: Words a worker remembers the ids of (some 60 MB, until it does other work); beyond that it starts anew.
+#: Words a worker remembers the ids of (some 60 MB, until it does other work): beyond that it drops the half it met
+#: longest ago.
 REMEMBERED = 300_000
+#: Bytes of text whose words are looked up, and new ones encoded, together.
+SLICE = 1 << 18
 
 
 class Tokens:
     """Ids of whole texts. No token spans white space, so the ids of a text are those of its words.
 
-    Words are remembered. New ones of letters only are encoded many in one string: each is one
+    Words are remembered, the ones met last. New ones of letters only are encoded many in one string: each is one
     stretch for the merges, which ends with an end-of-word id. One mark at the end is a stretch of
     its own, unless normalization ends the letters in a combining mark; words with a letter that
     the tokenizer does not keep in a stretch with others are encoded whole.
@@ -39,6 +43,7 @@ class Tokens:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
         self._each([b".", b","])
         self.marks = dict(self.known)
@@ -69,34 +74,38 @@ class Tokens:
             self.letters[c] = int(self.last[ids].sum()) == 1
         return all(map(self.letters.__getitem__, core))
 
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """Words that are not remembered; those that only the older half of the memory holds come back from there."""
+        words = words.difference(self.known)
+        back = words & self.older.keys()
+        self.known.update((word, self.older[word]) for word in back)
+        return words - back
+
     def _learn(self, words: set[bytes]) -> None:
         cores, single, marked = set(), [], []
         for word in words:
             core = word[:-1] if word[-1:] in self.marks else word
             if core.isalpha() or not core.isascii() and self._letters(core.decode()):
-                if core not in self.known:
-                    cores.add(core)
+                cores.add(core)
                 if core is not word:
                     marked.append((word, core, word[-1:]))
             else:
                 single.append(word)
-        self._together(list(cores))
+        self._together(list(self._unknown(cores)))
         self._each(single)
         for word, core, mark in marked:
             self.known[word] = self.known[core] + self.marks[mark]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        out = []
-        for text in texts:
-            # Letters are lower-cased by the tokenizer, but for what may be its special tokens.
-            words = (text if b"<|" in text else text.lower()).split()
-            new = set(words).difference(self.known)
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-            if len(self.known) > REMEMBERED:
-                self.known = dict(self.marks)
+        """The ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are encoded together."""
+        # Letters are lower-cased by the tokenizer, but for what may be its special tokens.
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        new = self._unknown(set(chain.from_iterable(words)))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, of_text)) for of_text in words]
+        if 2 * len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, dict(self.marks)
         return out
 
 
@@ -118,7 +127,7 @@ def pieces_of(docs: DataFrame, size: int = SIZE, path: str | None = None, with_i
 
     def cut(batches):
         tokens, end = None, np.array([END], "<u4").tobytes()
-        for batch in slices(batches, "text", keep="packing"):
+        for batch in slices(batches, "text", SLICE, keep="packing"):
             rows, values = [], []
             tokens = tokens or tokens_of_worker(path)
             for k, ids in enumerate(tokens(batch.column("text").cast(pa.binary()).to_pylist())):
