@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import bytes_of, components, id_back, id_column, maybe_marked, mixed, read, release, slices, text_column, texts_with_keys, word_hashes
+from sheaf.llm.common import bytes_of, components, id_back, id_column, maybe_marked, mixed, read, release, slices, text_column, texts_with_keys, tidy, word_hashes
 from sheaf.session import discard, written
 
 #: Counters of the n-grams' frequencies, and the blocks they are summed in: a fixed 16 MB.
@@ -25,8 +25,12 @@ COUNTER_BITS, BLOCK_BITS = 22, 16
 FINE_BITS, FRAGMENTS = 10, 8
 #: Rows of one n-gram that are compared at a time, n-grams that may be split, rows of a task's bucket.
 CELL_ROWS, MOST_SPLIT, BUCKET_ROWS, WIDE = 2048, 100_000, 20_000, 64
+#: Pairs whose sizes of fragments are compared at a time (some 2 MB for each side).
+STEP = 1 << 11
 #: Bytes of text that a task works on at a time, and heads that a document is compared with first.
 SLICE, HEADS = 1 << 20, 2
+#: Orders of n-grams whose minima say in which n-gram a pair of documents is given: n-grams exclusive or these.
+SALTS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, -0x2B3D7A9C41F0E586)
 #: Rounds of heads at most, and of how many compared pairs one must be a link for another round.
 ROUNDS, WORTH = 2, 10
 #: Bits that say which documents are in a candidate pair (a fixed 8 MB at most; false ones do no harm).
@@ -196,44 +200,88 @@ def _possible(percent: int):
     return possible
 
 
-def _candidates(percent: int):
+def _candidates(percent: int, most: int):
+    """(a, b) of documents that share an n-gram, ``most`` behind each in a run; n-grams with more come back as ``more``.
+
+    Documents whose n-grams' minima agree for a salt both have that n-gram: the pair is given there
+    only (for the first such salt), not once for every n-gram that they share.
+    """
+
     def candidates(table):
         table = table.sort_by([(c, "ascending") for c in ("gram", "i", "j", "key")])
         gram, i, j, piece, key, part, n = (table.column(c).to_numpy() for c in ("gram", "i", "j", "piece", "key", "component", "n"))
+        least = [table.column(f"least_{k}").to_numpy() for k in range(len(SALTS))]
         sizes = _unpacked(table.column("sizes").to_pylist())
         n = n.astype(np.int64)
         new = np.append(True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(gram) else np.zeros(0, bool)
         begins = np.flatnonzero(new)
         run, lengths = np.cumsum(new) - 1, np.diff(np.append(begins, len(gram)))
-        out = [np.zeros((2, 0), np.int64)]
+        out, taken, more = [np.zeros((2, 0), np.int64)], np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
 
-        def keep(p, q):
+        def fitting(p, q):
+            """Which pairs are apart, belong here, and may be similar."""
             ok = (part[p] != part[q]) & ((i[p] == j[p]) | (piece[p] != piece[q]))
+            open_ = np.ones(len(p), bool)
+            for salt, low in zip(SALTS, least):
+                agree = open_ & (low[p] == low[q])
+                ok &= ~agree | (low[p] == gram[p] ^ salt)
+                open_ &= ~agree
             p, q = p[ok], q[ok]
-            for start in range(0, len(p), 1 << 13):
-                a, b = p[start : start + (1 << 13)], q[start : start + (1 << 13)]
-                ok = _close(n, sizes, a, b, percent)
-                if ok.any():
-                    x, y = key[a[ok]], key[b[ok]]
-                    out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+            ok = _close(n, sizes, p, q, percent)
+            return p[ok], q[ok]
+
+        def give(p, q):
+            x, y = key[p], key[q]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
 
         for begin, length in zip(begins[lengths > WIDE].tolist(), lengths[lengths > WIDE].tolist()):
             for row in range(begin, begin + length - 1):
-                rest = np.arange(row + 1, begin + length)
-                keep(np.full(len(rest), row), rest)
+                for start in range(row + 1, begin + length, STEP):
+                    q = np.arange(start, min(start + STEP, begin + length))
+                    p, q = fitting(np.full(len(q), row), q)
+                    room = most - taken[row]
+                    more[row] = len(q) > room
+                    taken[row] += len(q[:room])
+                    give(p[:room], q[:room])
+                    if more[row]:
+                        break
         narrow = np.repeat(lengths <= WIDE, lengths)
         for step in range(1, int(lengths[lengths <= WIDE].max(initial=0))):
-            p = np.flatnonzero((run[step:] == run[:-step]) & narrow[step:])
-            keep(p, p + step)
+            at = np.flatnonzero((run[step:] == run[:-step]) & narrow[step:] & ~more[:-step])
+            for start in range(0, len(at), STEP):
+                p = at[start : start + STEP]
+                p, q = fitting(p, p + step)
+                full = taken[p] >= most
+                more[p[full]] = True
+                taken[p] += 1
+                give(p[~full], q[~full])
         a, b = np.concatenate(out, axis=1)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-        return pa.table({"a": a[new], "b": b[new]})
+        pairs = pa.table({"a": a[new], "b": b[new], "more": pa.nulls(int(new.sum()), pa.int64())})
+        left = np.unique(gram[more])
+        nothing = pa.nulls(len(left), pa.int64())
+        tidy()
+        return pa.concat_tables([pairs, pa.table({"a": nothing, "b": nothing, "more": left})])
 
     return candidates
 
 
+def _cells(apart: DataFrame, spread: DataFrame, sets: DataFrame, minima: DataFrame) -> tuple[DataFrame, int]:
+    """Rows to compare, n-grams with many of them dealt over pairs of pieces, and the number of buckets for them."""
+    total = spread.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    split = max(CELL_ROWS, total / MOST_SPLIT)
+    # At most MOST_SPLIT n-grams can be that large, so their list may be broadcast.
+    large = spread.where(F.col("rows") > split).select("gram", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("pieces"))
+    apart = apart.join(F.broadcast(large), "gram", "left")
+    apart = apart.withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("i"), F.greatest(o, F.col("piece")).alias("j")))
+    cells = apart.join(minima, "key").join(sets.select("key", "n", "sizes"), "key").withColumn("cell", F.explode(others))
+    least = [f"least_{k}" for k in range(len(SALTS))]
+    return cells.select("gram", "cell.i", "cell.j", "piece", "key", "component", "n", "sizes", *least), max(1, int(total // BUCKET_ROWS))
+
+
 def _recurring(batches):
     """Of rows sorted by ``gram`` those that are not alone in it: only the last row waits for the next batch."""
     held: pa.RecordBatch | None = None
@@ -285,8 +333,9 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     Documents with equal sets are compared once. Rounds compare every prefix n-gram's documents with
     one of them, another one each time, so that large groups mostly fall together without pairs, and
     go on while that finds links. Then all that share a prefix n-gram and are still apart are
-    candidates, and compared until no candidates are left of different components. N-grams with many
-    documents are dealt over pairs of pieces.
+    candidates. Each document is compared with a few behind it in an n-gram; n-grams where that were
+    not all are gone through again with the components found since and eight times as many, until
+    nothing is left out. N-grams with many documents are dealt over pairs of pieces.
     """
     spark = docs.sparkSession
     texts = texts_with_keys(docs)
@@ -302,7 +351,7 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     rows = written(rows.join(sets.select("key"), "key", "left_semi").distinct(), "shared-prefixes")
     release(spark)
     size = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sizes").alias(f"s{c}"))
-    links, compared, named = None, None, rows.withColumn("component", F.col("key"))
+    links, compared, superseded, named = None, None, [], rows.withColumn("component", F.col("key"))
     for round_ in range(ROUNDS):
         stars = _stars(named, round_)
         if compared is not None:
@@ -319,35 +368,37 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
         spread = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
         spread = written(spread.where("low < high").select("gram", "rows"), "apart")
         named = written(named.join(spread.select("gram"), "gram", "left_semi"), "apart-rows")
+        for table in superseded:
+            discard(table)
+        superseded = [spread, named]
         if found.count() * WORTH < stars.count():
             break
     discard(rows)
     release(spark)
-    total = spread.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    split = max(CELL_ROWS, total / MOST_SPLIT)
-    # At most MOST_SPLIT n-grams can be that large, so their list may be broadcast.
-    large = spread.where(F.col("rows") > split).select("gram", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("pieces"))
-    apart = named.join(F.broadcast(large), "gram", "left")
-    apart = apart.withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.least(o, F.col("piece")).alias("i"), F.greatest(o, F.col("piece")).alias("j")))
-    cells = apart.join(sets.select("key", "n", "sizes"), "key").withColumn("cell", F.explode(others))
-    cells = cells.select("gram", "cell.i", "cell.j", "piece", "key", "component", "n", "sizes")
-    buckets = max(1, int(total // BUCKET_ROWS))
-    pairs = cells.groupBy(F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)).alias("bucket")).applyInArrow(_candidates(percent), "a long, b long")
-    pairs = written(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-    groups = components(links)
-    # Some of each document's pairs at a time, ever more: what these join needs no comparison any more.
-    turn = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-    most = HEADS
-    while pairs.take(1):
-        pairs = written(pairs.select("a", "b", turn.alias("turn")), "pairs")
-        links = links.unionByName(written(_linked(texts, sets, pairs.where(F.col("turn") <= most).select("a", "b"), words, percent), "links"))
-        groups = components(links)
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
-        now = pairs
-        left = pairs.where(F.col("turn") > most).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        pairs = written(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "pairs")
-        discard(now)
+    minima = [F.min(F.col("gram").bitwiseXOR(F.lit(salt))).alias(f"least_{k}") for k, salt in enumerate(SALTS)]
+    minima = written(named.groupBy("key").agg(*minima), "minima")
+    groups, most = None, HEADS
+    while True:
+        cells, buckets = _cells(named, spread, sets, minima)
+        found = cells.groupBy(F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)).alias("bucket")).applyInArrow(_candidates(percent, most), "a long, b long, more long")
+        found = written(found, "candidates")
+        release(spark)
+        pairs = written(found.where("more is null").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        if pairs.take(1):
+            links = links.unionByName(written(_linked(texts, sets, pairs, words, percent), "links"))
+            compared, groups = compared.unionByName(pairs), None
+        if groups is None:
+            groups = components(links)
+        rest = found.where("more is not null").select(F.col("more").alias("gram")).distinct()
+        if not rest.take(1):
+            break
+        # N-grams whose documents had more candidates than were given, as far as they are still apart.
+        now = groups.select(F.col("node").alias("key"), "component")
+        named = named.drop("component").join(rest, "gram", "left_semi").join(now, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        named = written(named, "apart-rows")
+        spread = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows"))
+        spread = written(spread.where("low < high").select("gram", "rows"), "apart")
+        named = named.join(spread.select("gram"), "gram", "left_semi")
         most *= 8
     grouped = sets.join(groups, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
