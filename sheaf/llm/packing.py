@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import read, slices, store_of_worker, text_column
-from sheaf.session import written
+from sheaf.llm.common import read, slices, store_of_worker, text_column, tidy
+from sheaf.session import small_batches, written
 
 SIZE, END = 2048, 1
 #: Pieces of one length are ranked in groups of about this many, and in at most so many groups.
@@ -117,6 +117,7 @@ def tokens_of_worker(path: str | None) -> Tokens:
     store = store_of_worker("packing")
     if path not in store:
         store[path] = Tokens(path)
+        tidy()  # reading the file takes more than what is kept of it
     return store[path]
 
 
@@ -208,7 +209,8 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: b
     with very many pieces is spread over tasks.
     """
     spark = docs.sparkSession
-    pieces = written(pieces_of(docs, size, path, with_ids), "pieces")
+    with small_batches(spark):  # whole batches of texts are held twice in the executor and twice in the worker
+        pieces = written(pieces_of(docs, size, path, with_ids), "pieces")
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = slots(shortest_pack_first(histogram, size))
     per_group = max(RANK_ROWS, sum(histogram.values()) // MOST_GROUPS)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for the bytes of a batch of rows for a Python worker, and what texts are given to them by.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 
 def local_session(
     cpus: int | str = "*", app: str = "sheaf", config: dict[str, str] | None = None
@@ -70,6 +74,17 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table.__dict__.pop("_written_to"))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Meanwhile a batch of rows that goes to a Python worker has ``BATCH_BYTES`` and one row at most."""
+    before = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
