@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
+import time
 import types
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ from sheaf.session import discard, written
 
 #: Stands for a null id inside operators: smaller than every other id.
 NULL_ID = -(1 << 63)
+#: Seconds for the driver to have shuffle files deleted that it found unused.
+RELEASE_S = 0.25
 #: White space of words and lines, as bytes and as a trim set.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -209,8 +212,13 @@ def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of what has been written: they go when the driver finds them unused."""
+    """Let go of the shuffle files of what has been written: they go when the driver finds them unused.
+
+    Twice, as right after a query its plan may still be on the way to listeners or finalizers.
+    """
     import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(RELEASE_S)

@@ -156,6 +156,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 
     found = texts.select("key", bit.alias("bit"), "text").mapInArrow(segments, "key long, fragment int, grams array<long>")
     found = written(found.join(members, "key", "left_semi").dropDuplicates(["key", "fragment"]), "segments")
+    release(spark)  # the n-grams' next exchanges need not lie beside that of their writing
     left = found.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = found.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"))
