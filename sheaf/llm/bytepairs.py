@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import sys
 from collections.abc import Iterator
 
@@ -144,17 +145,19 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         """Where a byte leads, and the last token of all bytes up to it."""
-        child, token_at, inner, pairs = self.child, self.token_at, self.inner, self.pairs
+        child, token_at, inner, known = self.child.get, self.token_at, self.inner, self.pairs.get
         ends, kept = -1, []
         for prefix in self.states[state]:
-            node = child.get(prefix >> _TOKEN_BITS << 8 | byte)
+            node = child(prefix >> _TOKEN_BITS << 8 | byte)
             if node is None:
                 continue
             last = prefix & _NONE
-            if ends < 0 and token_at[node] >= 0:
-                fits = pairs.get(last << _TOKEN_BITS | token_at[node])
-                if fits or fits is None and self.follows(last, token_at[node]):
-                    ends = token_at[node]
+            if ends < 0:
+                token = token_at[node]
+                if token >= 0:
+                    fits = known(last << _TOKEN_BITS | token)
+                    if fits or fits is None and self.follows(last, token):
+                        ends = token
             if inner[node]:
                 kept.append(node << _TOKEN_BITS | last)
         kept.append(_ROOT << _TOKEN_BITS | ends)
@@ -162,12 +165,13 @@ class Transducer:
 
     def _chain(self, ends: list[int], at: int, until: int = 0) -> list[int]:
         """The tokens from ``until`` up to ``at``, by the last tokens of the prefixes."""
-        out = []
+        out, lengths = [], self.lengths
         while at > until:
             token = ends[at - 1]
             out.append(token)
-            at -= self.lengths[token]
-        return out[::-1]
+            at -= lengths[token]
+        out.reverse()
+        return out
 
     def _certain(self, ends: list[int]) -> int:
         """The last place that all prefixes agree on whose last token may still grow."""
@@ -187,22 +191,23 @@ class Transducer:
             return [self.ranks[data]]
         out: list[int] = []
         ends: list[int] = []
-        state, moves = 0, self.moves
-        for byte in data:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                if len(self.states) > MOST_STATES:
-                    key = self.states[state]
-                    self._forget()
-                    moves, state = self.moves, self._state(key)
-                step = moves[state << 8 | byte] = self._move(state, byte)
-            state = step >> _TOKEN_BITS
-            ends.append(step & _NONE)
-            if len(ends) == WINDOW:
+        state, move, add, none = 0, self.moves.get, ends.append, _NONE
+        for begin in range(0, len(data), WINDOW):
+            for byte in data[begin : begin + WINDOW]:
+                step = move(state << 8 | byte)
+                if step is None:
+                    if len(self.states) > MOST_STATES:
+                        key = self.states[state]
+                        self._forget()
+                        move, state = self.moves.get, self._state(key)
+                    step = self.moves[state << 8 | byte] = self._move(state, byte)
+                state = step >> _TOKEN_BITS
+                add(step & none)
+            if begin + WINDOW < len(data):
                 certain = self._certain(ends)
                 out += self._chain(ends, certain)
                 del ends[:certain]
-        return out + self._chain(ends, len(ends))
+        return out + self._chain(ends, len(ends)) if out else self._chain(ends, len(ends))
 
 
 #: UTF-8: how the first byte of a character limits the second one where it does. Fixed values.
@@ -323,11 +328,11 @@ class Coder:
         for pieces in self.pieces(text):
             if len(self.known) > MOST_PIECES:
                 self.known = {}
-            known, out = self.known, []
+            known, out, encoded = self.known, [], self.transducer
             for piece in pieces:
                 ids = known.get(piece)
                 if ids is None:
-                    ids = np.array(self.transducer(piece.encode()), "<i4").tobytes()
+                    ids = struct.pack(f"<{len(tokens := encoded(piece.encode()))}i", *tokens)
                     if len(piece) <= SHORT_PIECE:
                         known[piece] = ids
                 out.append(ids)
