@@ -71,9 +71,36 @@ def anchors(data: np.ndarray, bounds: np.ndarray):
 
 def _packed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Numbers in the order of the triples (a, b, c), equal where these are."""
-    if max(int(x.max(initial=0)) for x in (a, b, c)) < 1 << 21:
-        return a << 42 | b << 21 | c
-    return np.unique(a << 31 | b, return_inverse=True)[1] << 31 | c
+    bits = [int(x.max(initial=0)).bit_length() for x in (a, b, c)]
+    if sum(bits) < 64:
+        return a << bits[1] + bits[2] | b << bits[2] | c
+    return _named(a << bits[1] | b)[1] << bits[2] | c
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """The places of numbers from 0 in their order, equal ones as they stand."""
+    bits = len(x).bit_length()
+    if int(x.max(initial=0)).bit_length() + bits < 64:  # sorting numbers is much faster than sorting places
+        return np.sort(x << bits | np.arange(len(x))) & ((1 << bits) - 1)
+    return np.argsort(x, kind="stable")
+
+
+def _named(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different number first stands, in their order, and each number's rank among them."""
+    order = _order(x)
+    inorder = x[order]
+    new = np.append(True, inorder[1:] != inorder[:-1])[: len(x)]
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
+
+
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of triples: two sorts of short numbers where one would be of long ones."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (a, b, c)]
+    if sum(bits) + len(a).bit_length() < 64:
+        return _named(_packed(a, b, c))
+    return _named(_named(a << bits[1] | b)[1] << bits[2] | c)
 
 
 def ranks(s: np.ndarray, depth: int) -> np.ndarray:
@@ -87,33 +114,28 @@ def ranks(s: np.ndarray, depth: int) -> np.ndarray:
     n = -(-(len(s) + 3) // 3) * 3
     s = np.append(s, np.zeros(n + 3 - len(s), np.int64))
     if depth <= 3:
-        return np.unique(_packed(s[:n], s[1 : n + 1], s[2 : n + 2]), return_inverse=True)[1] + 1
+        return _triples(s[:n], s[1 : n + 1], s[2 : n + 2])[1] + 1
     first, second = np.arange(1, n, 3), np.arange(2, n, 3)
     sampled = np.concatenate([first, second])
-    names, name = np.unique(_packed(s[sampled], s[sampled + 1], s[sampled + 2]), return_inverse=True)
+    names, name = _triples(s[sampled], s[sampled + 1], s[sampled + 2])
     name = name + 1
     if len(names) < len(name):
         name = ranks(name, -(-depth // 3))[: len(name)]
     rank = np.zeros(n + 3, np.int64)
     rank[sampled] = name
     # Every sampled rank once, and every different suffix at 0 (mod 3) once, both in order.
-    _, at, to = np.unique(name, return_index=True, return_inverse=True)
+    at, to = _named(name)
     q = sampled[at]
     zero = np.arange(0, n, 3)
-    one = s[:n] << 31 | rank[1 : n + 1]  # compares with a sampled suffix one further on
-    _, at, to_zero = np.unique(one[zero], return_index=True, return_inverse=True)
+    one = s[:n] << int(rank.max()).bit_length() | rank[1 : n + 1]  # compares with a sampled suffix one further on
+    at, to_zero = _named(one[zero])
     a = zero[at]
     two = _packed(s[:n], s[1 : n + 1], rank[2 : n + 2])  # with one two further on
     by_one = q % 3 == 1
-    keys = np.where(by_one, one[q], two[q])
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), len(q))
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_]) >> 1
-        less = keys[mid] < np.where(by_one[mid], one[a[open_]], two[a[open_]])
-        low[open_] = np.where(less, mid + 1, low[open_])
-        high[open_] = np.where(less, high[open_], mid)
+    # Both kinds are in order each for itself, so the smaller ones are counted apart.
+    low = np.searchsorted(one[q[by_one]], one[a]) + np.searchsorted(two[q[~by_one]], two[a])
     near = np.minimum(low, len(q) - 1)
-    same = (low < len(q)) & (keys[near] == np.where(by_one[near], one[a], two[a]))
+    same = (low < len(q)) & np.where(by_one[near], one[q[near]] == one[a], two[q[near]] == two[a])
     between = low[~same]
     merged = np.arange(len(q)) + np.searchsorted(between, np.arange(len(q)), "right")
     merged_zero = merged[near]
@@ -147,7 +169,7 @@ def repeats(table):
     piece = np.repeat(np.arange(len(counts)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     spot = bounds[piece] + piece + offset
-    order = np.argsort(rank[spot], kind="stable")
+    order = _order(rank[spot])
     spot, piece, offset = spot[order], piece[order], offset[order]
     apart = np.append(True, rank[spot[1:]] != rank[spot[:-1]]) if len(spot) else np.zeros(0, bool)
     # Neighbours of different rank may still agree in the first LENGTH bytes.
