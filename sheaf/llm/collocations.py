@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import bytes_of, mixed, read, slices, text_column, word_hashes
 from sheaf.operators.skew import lookup_join, measure
-from sheaf.session import written
+from sheaf.session import small_batches, written
 
 #: Words that are numbered: those with more than one part in 2 ** SHARE_BITS of all occurrences.
 SHARE_BITS, ID_BITS = 20, 21
@@ -25,6 +25,8 @@ SHARE_BITS, ID_BITS = 20, 21
 HOT_BITS, HOT_SHARE = 16, 1024
 #: Bytes of text, and words of a long text, that a task works on at a time.
 SLICE, WORDS = 4 << 20, 1 << 20
+#: Rows that a task gives out at a time.
+GIVEN = 1 << 16
 #: Candidates that are sorted in one task at a time.
 RANKED = 500_000
 
@@ -82,6 +84,12 @@ def _spelled(data: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(_LOWER[data[spot]])])
 
 
+def _given(batch: pa.RecordBatch):
+    """All rows of a batch, a few at a time: the executor holds what it is given as a whole."""
+    for start in range(0, batch.num_rows, GIVEN):
+        yield batch.slice(start, GIVEN)
+
+
 def _vocabulary(batches):
     """(code, lang, word, n) of the words of each slice; (counter, n) of the nodes in the whole task."""
     counters = np.zeros(1 << HOT_BITS, np.int64)
@@ -94,9 +102,9 @@ def _vocabulary(batches):
             second = np.append(codes[1:], 0) * (left > 1)
             counters += np.bincount((_node_hash(codes, second) >> np.uint64(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS)
             seen, at, n = np.unique(codes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(keys[row[at]]), _spelled(data, bounds, at), pa.nulls(len(seen), pa.int32()), pa.array(n)], names)
+            yield from _given(pa.RecordBatch.from_arrays([pa.array(seen), pa.array(keys[row[at]]), _spelled(data, bounds, at), pa.nulls(len(seen), pa.int32()), pa.array(n)], names))
     there = np.flatnonzero(counters)
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(there), k) for k in kinds[:3]), pa.array(there.astype(np.int32)), pa.array(counters[there])], names)
+    yield from _given(pa.RecordBatch.from_arrays([*(pa.nulls(len(there), k) for k in kinds[:3]), pa.array(there.astype(np.int32)), pa.array(counters[there])], names))
 
 
 _EDGE = "node long, third long, first long, second long, hot boolean, n long"
@@ -115,7 +123,7 @@ def _edges(numbered, hot):
             for data, bounds, keys in _parts(batch):
                 codes, left, _ = _words(data, bounds, keys)
                 for start in range(0, len(codes), WORDS):
-                    yield _edge_rows(codes[start : start + WORDS + 2], left[start : start + WORDS], known, counters)
+                    yield from _given(_edge_rows(codes[start : start + WORDS + 2], left[start : start + WORDS], known, counters))
 
     return edges
 
@@ -157,7 +165,8 @@ def graph(docs: DataFrame, least: int = 10) -> Graph:
     lang = F.coalesce(F.col("lang"), F.lit("und"))
     rows = docs.select(text_column().alias("text"), F.xxhash64(lang).alias("lang_key"))
     seen = rows.mapInArrow(_vocabulary, "code long, lang_key long, word string, counter int, n long")
-    seen = written(seen.groupBy("code", "lang_key", "word", "counter").agg(F.sum("n").alias("n")), "vocabulary")
+    with small_batches(spark):  # whole batches of texts are held twice in the executor and twice in the worker
+        seen = written(seen.groupBy("code", "lang_key", "word", "counter").agg(F.sum("n").alias("n")), "vocabulary")
     total = seen.where("code is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # At most 2 ** SHARE_BITS words and HOT_SHARE counters can have such a share: these lists are bounded.
     often = seen.where(F.col("n").cast("decimal(38,0)") * (1 << SHARE_BITS) > total).where("code is not null").select("code")
@@ -167,7 +176,8 @@ def graph(docs: DataFrame, least: int = 10) -> Graph:
     nodes = _nodes(found.where("not hot").repartition("node"), least)
     if len(hot):  # the edges of one node are spread, and its flows meet pre-aggregated
         nodes = nodes.unionByName(_nodes(found.where("hot"), least))
-    nodes = written(nodes, "nodes")
+    with small_batches(spark):
+        nodes = written(nodes, "nodes")
     unpacked = lambda packed, other: F.when(F.col("node") >= 0, packed).otherwise(F.col(other)).alias(other)
     nodes = nodes.select(unpacked(F.shiftright("node", ID_BITS), "first"), unpacked(F.col("node").bitwiseAND((1 << ID_BITS) - 1), "second"), "flow", "onward")
     langs = written(docs.select(lang.alias("lang")).distinct().select("lang", F.xxhash64("lang").alias("lang_key")), "langs")
