@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from bisect import insort
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,37 @@ RANK_ROWS, MOST_GROUPS = 512, 100_000
 REMEMBERED = 300_000
 #: Bytes of text whose words are looked up, and new ones encoded, together.
 SLICE = 1 << 18
+#: ASCII marks that stand together in one stretch, whatever their number (an apostrophe may begin another one).
+MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+class _Spelled(dict):
+    """Character to how byte-level models spell its UTF-8 bytes, worked out when asked for; a space stays."""
+
+    def __init__(self):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.bytes = {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+        super().__init__({" ": " "})
+
+    def __missing__(self, c: str) -> str:
+        self[c] = "".join(map(self.bytes.__getitem__, c.encode()))
+        return self[c]
 
 
 class Tokens:
     """Ids of whole texts. No token spans white space, so the ids of a text are those of its words.
 
     Words are remembered, the ones met last. New ones of letters only are encoded many in one string: each is one
-    stretch for the merges, which ends with an end-of-word id. One mark at the end is a stretch of
-    its own, unless normalization ends the letters in a combining mark; words with a letter that
-    the tokenizer does not keep in a stretch with others are encoded whole.
+    stretch for the merges, which ends with an end-of-word id. Marks at the end are a stretch of
+    their own, unless normalization ends the letters in a combining mark; words with a letter that
+    the tokenizer does not keep in a stretch with others are encoded whole. Where a stretch is known to be one,
+    the tokenizer's model gets it without being asked to look for stretches again, normalized before.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,65 +64,103 @@ class Tokens:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, bool] = {}
+        self.kept: set[str] = set()
+        self.spelled = _Spelled()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        # Another file may normalize, split or spell otherwise; then it gets stretches like whole texts.
+        probes = "abcdefghijklm nopqrstuvwxyz", "éèçß ñüÀÖ łøжש"
+        spelled = [(probe, self._stretches(probe.encode())) for probe in probes]
+        if any(self._ids(self.tokenizer, a) != self._ids(self.model, b) for a, b in spelled):
+            self.model = None
         self._each([b".", b","])
         self.marks = dict(self.known)
 
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
     def _each(self, words: list[bytes]) -> None:
         for word, got in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
             self.known[word] = np.array(got.ids, "<u4").tobytes()
 
+    def _stretches(self, text: bytes) -> str:
+        """Words of letters as the model gets them: normalized and spelled by byte."""
+        if text.isascii():
+            return text.lower().decode()
+        normalizer = self.tokenizer.normalizer
+        return "".join(map(self.spelled.__getitem__, normalizer.normalize_str(text.decode()) if normalizer else text.decode()))
+
     def _together(self, words: list[bytes], step: int = 1000) -> None:
         parts = [words[k : k + step] for k in range(0, len(words), step)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        texts = map(b" ".join, parts)
+        if self.model is not None:
+            found = self.model.encode_batch_fast([*map(self._stretches, texts)], add_special_tokens=False)
+        else:
+            found = self.tokenizer.encode_batch_fast([*map(bytes.decode, texts)], add_special_tokens=False)
+        for part, got in zip(parts, found):
+            data = struct.pack(f"<{len(ids := got.ids)}I", *ids)
+            ends = (4 * np.flatnonzero(self.last[np.frombuffer(data, "<u4")]) + 4).tolist()
             if len(ends) != len(part):
                 self._each(part)
                 continue
-            data, start = ids.tobytes(), 0
-            for word, end in zip(part, ends):
-                self.known[word] = data[4 * start : 4 * end]
-                start = end
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
 
     def _letters(self, core: str) -> bool:
         """Whether all are letters to the tokenizer too, after normalization; known by character."""
+        if self.kept.issuperset(core):
+            return True
         if not core.isalpha():
             return False
         for c in set(core).difference(self.letters):
-            ids = self.tokenizer.encode(f"a{c}a", add_special_tokens=False).ids
+            ids = self._ids(self.tokenizer, f"a{c}a")
             self.letters[c] = int(self.last[ids].sum()) == 1
+            if self.letters[c]:
+                self.kept.add(c)
         return all(map(self.letters.__getitem__, core))
 
     def _unknown(self, words: set[bytes]) -> set[bytes]:
         """Words that are not remembered; those that only the older half of the memory holds come back from there."""
         words = words.difference(self.known)
-        back = words & self.older.keys()
-        self.known.update((word, self.older[word]) for word in back)
-        return words - back
+        back = {word: self.older[word] for word in words if word in self.older}
+        self.known.update(back)
+        return words.difference(back)
 
     def _learn(self, words: set[bytes]) -> None:
-        cores, single, marked = set(), [], []
+        plain, others, single, marked = set(), set(), [], []
         for word in words:
-            core = word[:-1] if word[-1:] in self.marks else word
-            if core.isalpha() or not core.isascii() and self._letters(core.decode()):
-                cores.add(core)
-                if core is not word:
-                    marked.append((word, core, word[-1:]))
+            core = word.rstrip(MARKS)
+            if core.isalpha():
+                plain.add(core)
+            elif not core.isascii() and self._letters(core.decode()):
+                others.add(core)
             else:
                 single.append(word)
-        self._together(list(self._unknown(cores)))
-        self._each(single)
-        for word, core, mark in marked:
-            self.known[word] = self.known[core] + self.marks[mark]
+                continue
+            if len(core) < len(word):
+                marked.append((word, core, word[len(core) :]))
+        self._together(list(self._unknown(plain)))
+        self._together(list(self._unknown(others)))
+        self._each([*single, *self._unknown({marks for _, _, marks in marked})])
+        known = self.known
+        for word, core, marks in marked:
+            known[word] = known[core] + known[marks]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; new words of all texts are encoded together."""
         # Letters are lower-cased by the tokenizer, but for what may be its special tokens.
         words = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        new = self._unknown(set(chain.from_iterable(words)))
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, of_text)) for of_text in words]
+        flat = list(chain.from_iterable(words))
+        found = list(map(self.known.get, flat))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            new = self._unknown({flat[k] for k in missing})
+            if new:
+                self._learn(new)
+            for k in missing:
+                found[k] = self.known[flat[k]]
+        ends = [0, *accumulate(map(len, words))]
+        out = [b"".join(found[start:end]) for start, end in zip(ends, ends[1:])]
         if 2 * len(self.known) > REMEMBERED:
             self.older, self.known = self.known, dict(self.marks)
         return out
