@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import read, slices, store_of_worker, text_column
 
 #: What a worker keeps of states and of short pieces of text before it starts anew.
-MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT_PIECE = 100_000, 500_000, 400_000, 64
+MOST_STATES, MOST_PAIRS, MOST_PIECES, SHORT_PIECE = 400_000, 500_000, 800_000, 64
 #: Characters that a task splits at a time, and bytes of text it takes at a time.
 CHUNK, SLICE = 1 << 18, 1 << 20
 #: Bytes of one piece after which its certain tokens are given out (far more than the longest token has).
@@ -46,21 +46,23 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.child: dict[int, int] = {}  # of node << 8 | byte
-        self.token_at, self.inner = [-1], [False]
+        child: dict[int, int] = {}
+        token_at, inner = [-1], [False]
         for token, rank in ranks.items():
             node = _ROOT
             for byte in token:
                 step = node << 8 | byte
-                self.inner[node] = True
-                if step not in self.child:
-                    self.child[step] = len(self.inner)
-                    self.token_at.append(-1)
-                    self.inner.append(False)
-                node = self.child[step]
-            self.token_at[node] = rank
+                inner[node] = True
+                if step not in child:
+                    child[step] = len(inner)
+                    token_at.append(-1)
+                    inner.append(False)
+                node = child[step]
+            token_at[node] = rank
+        # Of node << 8 | byte: the next node's token (-1: none), the node, whether more may follow.
+        self.child = {step: token_at[node] << _TOKEN_BITS + 1 | node << 1 | inner[node] for step, node in child.items()}
         self.pairs: dict[int, bool] = {}
-        self.edges: dict[tuple[int, bool], list[tuple[int, int, bytes]] | None] = {}
+        self.edges: tuple[dict[int, list[tuple[int, int, bytes]] | None], ...] = {}, {}
         self._forget()
 
     def _forget(self) -> None:
@@ -94,8 +96,8 @@ class Transducer:
         Times are ranks. None if a part is made later than what it becomes part of, which merges
         learned from a text never do, or if the merges do not give the token at all.
         """
-        key = (token, right)
-        if key not in self.edges:
+        edges = self.edges[right]
+        if token not in edges:
             out, until = [], sys.maxsize
             part: bytes | None = self.tokens[token]
             while part is not None:
@@ -107,8 +109,8 @@ class Transducer:
                     break
                 out.append((made, until, part))
                 until, part = made, None if single else halves[-1 if right else 0]
-            self.edges[key] = out
-        return self.edges[key]
+            edges[token] = out
+        return edges[token]
 
     def alone(self, token: int) -> bool:
         """Whether merging the bytes of ``token`` gives it."""
@@ -125,13 +127,17 @@ class Transducer:
         if left is None or right is None:
             return self.merged(self.tokens[last] + self.tokens[token]) == [self.tokens[last], self.tokens[token]]
         rank_of = self.ranks.get
-        for made, until, part in left:
-            for made_right, until_right, part_right in right:
-                if made < until_right and made_right < until:
-                    rank = rank_of(part + part_right)
-                    if rank is not None and rank < until and rank <= until_right:
-                        return False
-        return True
+        at = at_right = 0
+        while True:  # parts that are there at one time, from the last time back: what was made later is undone first
+            made, until, part = left[at]
+            made_right, until_right, part_right = right[at_right]
+            rank = rank_of(part + part_right)
+            if rank is not None and rank < until and rank <= until_right:
+                return False
+            if made == made_right == -1:
+                return True
+            at += made >= made_right
+            at_right += made_right >= made
 
     def follows(self, last: int, token: int) -> bool:
         """Whether ``token`` may stand behind ``last``, or at the beginning."""
@@ -144,30 +150,28 @@ class Transducer:
         return known
 
     def _move(self, state: int, byte: int) -> int:
-        """Where a byte leads, and the last token of all bytes up to it."""
-        child, token_at, inner, known = self.child.get, self.token_at, self.inner, self.pairs.get
+        """Where a byte leads (ready for the next byte), and the last token of all bytes up to it."""
+        child, known = self.child.get, self.pairs.get
         ends, kept = -1, []
         for prefix in self.states[state]:
-            node = child(prefix >> _TOKEN_BITS << 8 | byte)
-            if node is None:
+            found = child(prefix >> _TOKEN_BITS << 8 | byte)
+            if found is None:
                 continue
-            last = prefix & _NONE
-            if ends < 0:
-                token = token_at[node]
-                if token >= 0:
-                    fits = known(last << _TOKEN_BITS | token)
-                    if fits or fits is None and self.follows(last, token):
-                        ends = token
-            if inner[node]:
-                kept.append(node << _TOKEN_BITS | last)
+            if ends < 0 <= found:
+                last, token = prefix & _NONE, found >> _TOKEN_BITS + 1
+                fits = known(last << _TOKEN_BITS | token)
+                if fits or fits is None and self.follows(last, token):
+                    ends = token
+            if found & 1:
+                kept.append((found >> 1 & _NONE) << _TOKEN_BITS | prefix & _NONE)
         kept.append(_ROOT << _TOKEN_BITS | ends)
-        return self._state(tuple(kept)) << _TOKEN_BITS | ends
+        return self._state(tuple(kept)) << _TOKEN_BITS + 8 | ends
 
     def _chain(self, ends: list[int], at: int, until: int = 0) -> list[int]:
-        """The tokens from ``until`` up to ``at``, by the last tokens of the prefixes."""
+        """The tokens from ``until`` up to ``at``, by the moves, which end with the last tokens of the prefixes."""
         out, lengths = [], self.lengths
         while at > until:
-            token = ends[at - 1]
+            token = ends[at - 1] & _NONE
             out.append(token)
             at -= lengths[token]
         out.reverse()
@@ -179,7 +183,7 @@ class Transducer:
         while len(at) > 1:
             last = max(at)
             at.remove(last)
-            at.add(last - self.lengths[ends[last - 1]] if last else 0)
+            at.add(last - self.lengths[ends[last - 1] & _NONE] if last else 0)
         return at.pop()
 
     def __call__(self, data: bytes) -> list[int]:
@@ -191,18 +195,18 @@ class Transducer:
             return [self.ranks[data]]
         out: list[int] = []
         ends: list[int] = []
-        state, move, add, none = 0, self.moves.get, ends.append, _NONE
+        state, move, add = 0, self.moves.get, ends.append
         for begin in range(0, len(data), WINDOW):
             for byte in data[begin : begin + WINDOW]:
-                step = move(state << 8 | byte)
+                step = move(state | byte)
                 if step is None:
                     if len(self.states) > MOST_STATES:
-                        key = self.states[state]
+                        key = self.states[state >> 8]
                         self._forget()
-                        move, state = self.moves.get, self._state(key)
-                    step = self.moves[state << 8 | byte] = self._move(state, byte)
+                        move, state = self.moves.get, self._state(key) << 8
+                    step = self.moves[state | byte] = self._move(state >> 8, byte)
                 state = step >> _TOKEN_BITS
-                add(step & none)
+                add(step)
             if begin + WINDOW < len(data):
                 certain = self._certain(ends)
                 out += self._chain(ends, certain)
@@ -247,6 +251,7 @@ class _Moves(dict):
     def __init__(self, states: dict[bytes, _Moves], tokens: dict[int, bytes], pending: bytes = b""):
         super().__init__()
         self.states, self.tokens, self.pending = states, tokens, pending
+        self.whole = _Whole(self)
         states[pending] = self
 
     def __missing__(self, token: int):
@@ -259,6 +264,21 @@ class _Moves(dict):
         return self[token]
 
 
+class _Whole(dict):
+    """Token to characters, of the tokens that lead from a state back to it; a KeyError for all others."""
+
+    def __init__(self, state: _Moves):
+        super().__init__()
+        self.state = state
+
+    def __missing__(self, token: int) -> bytes:
+        following, out = self.state[token]
+        if following is not self.state:
+            raise KeyError(token)
+        self[token] = out
+        return out
+
+
 class Decoder:
     """Text of tokens that come a few at a time; a character is given out when its last byte is there."""
 
@@ -267,9 +287,12 @@ class Decoder:
 
     def __call__(self, ids, last: bool = False) -> bytes:
         out, now = [], self.now
-        for token in ids:
-            now, whole = now[token]
-            out.append(whole)
+        try:  # mostly every token ends with a character
+            out.append(b"".join(map(now.whole.__getitem__, ids)))
+        except KeyError:
+            for token in ids:
+                now, whole = now[token]
+                out.append(whole)
         self.now = now
         if last and now.pending:
             out.append(_REPLACEMENT)
@@ -289,6 +312,9 @@ class Coder:
         self.transducer = Transducer(ranks)
         self.start = _Moves({}, self.transducer.tokens)
         self.known: dict[str, bytes] = {}
+        # By the word with a space before it; only of the pattern that is known not to cross a space behind a word.
+        self.words: dict[str, bytes] | None = {} if pattern in (None, public_tokenizers.PATTERN) else None
+        self.decimals = {rank: str(rank) for rank in ranks.values()}
         self.stand_ins: dict[int, str] | None = None
 
     def _stand_ins(self) -> dict[int, str]:
@@ -307,36 +333,77 @@ class Coder:
                     self.stand_ins[ord(c)] = other
         return self.stand_ins
 
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """The matches of the pattern, chunk by chunk; chunks end where white space begins, as no match crosses that."""
+    @staticmethod
+    def _alike(part: str) -> bool:
+        return part.isascii() or not _ALIKE.search(part)
+
+    def chunks(self, text: str) -> Iterator[str]:
+        """Parts of a text; they end where white space begins, as no match of the pattern crosses that."""
         start = 0
         while start < len(text):
             end = len(text)
             if start + CHUNK < end:
                 near = regex.compile(r"(?<=\S)\s").search(text, start + CHUNK)
                 end = near.start() if near else end
-            part = text[start:end]
-            if part.isascii() or not _ALIKE.search(part):
-                yield self.pattern.findall(part)
-            else:
-                found = self.pattern.finditer(part.translate(self._stand_ins()))
-                yield [part[m.start() : m.end()] for m in found]
+            yield text[start:end]
             start = end
 
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The matches of the pattern, chunk by chunk."""
+        return map(self._matches, self.chunks(text))
+
+    def _matches(self, part: str) -> list[str]:
+        if self._alike(part):
+            return self.pattern.findall(part)
+        return [part[m.start() : m.end()] for m in self.pattern.finditer(part.translate(self._stand_ins()))]
+
     def encode(self, text: str) -> Iterator[bytes]:
         """The tokens as little-endian 32-bit numbers, chunk by chunk."""
-        for pieces in self.pieces(text):
-            if len(self.known) > MOST_PIECES:
-                self.known = {}
-            known, out, encoded = self.known, [], self.transducer
-            for piece in pieces:
-                ids = known.get(piece)
-                if ids is None:
-                    ids = struct.pack(f"<{len(tokens := encoded(piece.encode()))}i", *tokens)
-                    if len(piece) <= SHORT_PIECE:
-                        known[piece] = ids
-                out.append(ids)
-            yield b"".join(out)
+        for part in self.chunks(text):
+            found = self._by_word(part) if self.words is not None and self._alike(part) else None
+            yield b"".join(self._by_piece(self._matches(part)) if found is None else found)
+
+    def _by_piece(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > MOST_PIECES:
+            self.known = {}
+        known, encoded = self.known, self.transducer
+        out = list(map(known.get, pieces))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            piece = pieces[k]
+            ids = known.get(piece)
+            if ids is None:
+                ids = struct.pack(f"<{len(tokens := encoded(piece.encode()))}i", *tokens)
+                if len(piece) <= SHORT_PIECE:
+                    known[piece] = ids
+            out[k] = ids
+        return out
+
+    def _by_word(self, part: str) -> list[bytes] | None:
+        """The tokens of each word with the space before it; None where white space meets a space.
+
+        No match crosses a space that stands behind a word, so what matches from there on depends
+        on the word alone. Words met before are remembered.
+        """
+        first, *words = part.split(" ")
+        if first and first[-1].isspace():
+            return None
+        if len(self.words) > MOST_PIECES:
+            self.words = {}
+        known = self.words
+        found = list(map(known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            new = list({words[k] for k in missing})
+            if any(not word or word[-1].isspace() for word in new):
+                return None
+            pieces = self.pattern.findall(" " + " ".join(new))
+            ids = self._by_piece(pieces)
+            begins = [k for k, piece in enumerate(pieces) if piece[0] == " "]
+            learned = dict(zip(new, [b"".join(ids[k:end]) for k, end in zip(begins, [*begins[1:], len(ids)])]))
+            known.update((word, ids) for word, ids in learned.items() if len(word) <= SHORT_PIECE)
+            for k in missing:
+                found[k] = learned[words[k]]
+        return self._by_piece(self.pattern.findall(first)) + found
 
     def decoder(self) -> Decoder:
         return Decoder(self.start)
@@ -408,7 +475,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 n, listed, plain, decoder = 0, hashlib.sha256(), hashlib.sha256(), coder.decoder()
                 for part in coder.encode(text):
                     ids = np.frombuffer(part, "<i4").tolist()
-                    listed.update((("," if n else "") + ",".join(map(str, ids))).encode() if ids else b"")
+                    listed.update((("," if n else "") + ",".join(map(coder.decimals.__getitem__, ids))).encode() if ids else b"")
                     plain.update(decoder(ids))
                     n += len(ids)
                 plain.update(decoder([], last=True))
